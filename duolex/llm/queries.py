@@ -50,6 +50,27 @@ def op1_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard, sizes_of
+
+    placed = shard(sizes_of(table(spark, sf_dir, "documents")), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import BASE, find_personal_data
+
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *(span_count(F.col("spans"), k).alias(f"n_{k}") for k in BASE),
+        span_digest(F.col("spans"), BASE).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+        span_count(F.col("spans"), "iban").alias("n_iban"),
+        F.coalesce(F.round(F.aggregate("spans", F.lit(0.0), lambda a, x: F.greatest(a, x.score)), 3), F.lit(0.0)).alias("top_score"),
+    )
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets
 
