@@ -86,6 +86,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(table(spark, sf_dir, "documents"), ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearjoin import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents"))[0]
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity
 
