@@ -23,10 +23,12 @@ from .common import Scratch, slices
 
 STATISTICS = ("words", "word_length", "distinct", "upper", "symbols", "digits", "stops", "repeated_lines", "commonest", "adjacent", "line_length", "odd_ends")
 #: Shrinkage towards the pooled covariance, then towards the diagonal; the least variance.
-POOLED, DIAGONAL, LEAST = 0.05, 0.05, 1e-4
+POOLED, DIAGONAL, LEAST = 0.2, 0.05, 1e-4
 #: Log density differences are divided by this before the logistic, as statistics aren't quite normal.
 SOFTEN = 3.0
 KEEP = 0.3
+#: Added to the counts that shares are taken of, so that a few words decide little.
+PRIOR = 8
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"-()?"]] = True
@@ -46,16 +48,16 @@ def statistics(text: str) -> list[float]:
     return [
         np.log1p(n),
         np.log(chars / n),
-        np.log(len(counts)) / np.log(n) if n > 1 else 1.0,
-        (sum(map(str.isupper, words)) / n) ** 0.5,
-        (raw[_SYMBOLS].sum() / chars) ** 0.5,
-        (raw[48:58].sum() / chars) ** 0.5,
-        ((raw[44] + raw[46]) / n) ** 0.5,
-        (1 - len(set(lines)) / len(lines)) ** 0.5,
-        (max(counts.values()) / n) ** 0.5 if n > 4 else 0.3,
-        (sum(map(eq, words, words[1:])) / n) ** 0.5,
+        np.log(len(counts) + PRIOR) / np.log(n + PRIOR),
+        (sum(map(str.isupper, words)) / (n + PRIOR)) ** 0.5,
+        (raw[_SYMBOLS].sum() / (chars + PRIOR)) ** 0.5,
+        (raw[48:58].sum() / (chars + 5 * PRIOR)) ** 0.5,
+        ((raw[44] + raw[46]) / (n + PRIOR)) ** 0.5,
+        ((len(lines) - len(set(lines))) / (len(lines) + PRIOR)) ** 0.5,
+        (max(counts.values()) / (n + PRIOR)) ** 0.5,
+        (sum(map(eq, words, words[1:])) / (n + PRIOR)) ** 0.5,
         np.log1p(n / len(lines)),
-        (ends / len(counts)) ** 0.5,
+        (ends / (len(counts) + PRIOR)) ** 0.5,
     ]
 
 
