@@ -24,7 +24,7 @@ IDENTITY = (
 #: Labelled rows that are learned from at most (the first by a hash of the id), and features that are kept.
 FIT_ROWS, FEATURES = 20_000, 2048
 #: Documents of the fit that a feature is in at least.
-LEAST_DOCUMENTS = 5
+LEAST_DOCUMENTS = 3
 #: Length of the word beginnings.
 STEM = 5
 #: Weight of squared weights, and of squared score changes under swapped terms.
