@@ -49,14 +49,21 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], lo: str, hi:
 
 
 def match_either(left: DataFrame, right: DataFrame, first: list[str], second: list[str]) -> DataFrame:
-    """Inner join on the first or the second keys as two equi-joins, each pair once."""
-    one = left.join(right, first)
-    two = left.join(right.withColumnsRenamed({k: f"__{k}" for k in first if k not in second}), second)
-    differs = F.lit(False)
+    """Inner join on the first or the second keys as two equi-joins, each pair once; right's keys don't come along."""
+    keys = [*dict.fromkeys([*first, *second])]
+    right = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+
+    def on(names: list[str]) -> DataFrame:
+        renamed = right.withColumnsRenamed({f"__{k}": k for k in names})
+        return left.join(renamed, names)
+
+    both = F.lit(True)
     for k in first:
         if k not in second:
-            differs = differs | ~F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return one.unionByName(two.filter(differs).drop(*(f"__{k}" for k in first if k not in second)))
+            both = both & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    one, two = on(first), on(second).filter(~both)
+    drop = [f"__{k}" for k in keys]
+    return one.drop(*drop).unionByName(two.drop(*drop))
 
 
 def fallback(left: DataFrame, right: DataFrame, first: list[str], second: list[str], order: str, value: str) -> DataFrame:

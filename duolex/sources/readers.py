@@ -121,7 +121,7 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """Exactly these columns; one that df has besides them is an error, as is a missing one."""
     if extra := set(df.columns) - set(columns):
         raise ValueError(f"unknown columns: {sorted(extra)}")
-    df.select(columns).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    df.select(columns).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_union_csv(parts: list[DataFrame], path: str) -> None:
