@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from duolex.plans import relational_queries, scalar_queries, text_queries, vector_queries  # noqa: F401
+from duolex.plans import entity_queries, relational_queries, scalar_queries, text_queries, vector_queries  # noqa: F401
 from duolex.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
