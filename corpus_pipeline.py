@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duolex.llm.bpe import encode_decode
-from duolex.llm.common import Scratch, remainder, table
+from duolex.llm.common import Scratch, join_ids, remainder, table
 from duolex.llm.decontaminate import drop_leaks
 from duolex.llm.nearjoin import drop_near_copies
 from duolex.llm.pii import find_personal_data, redact
@@ -18,8 +18,7 @@ from duolex.llm.queries import token_digests
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under KEEP go. Labels of documents that the operator's query holds out teach nothing here either. Rows with a null id stay."""
     scored = score_quality(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
-    rejected = scored.filter(F.col("score") < KEEP).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    return join_ids(docs, scored.filter(F.col("score") < KEEP).select("doc_id"), "doc_id", "left_anti", Scratch(spark), "rejected")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, small_batches
 
-#: Entries of a worker's cache of pre-tokens; it starts anew beyond that.
-CACHE = 300_000
+#: Entries of each of the two generations of a worker's cache of pre-tokens.
+CACHE = 80_000
 #: How bytes that aren't visible ASCII are written.
 CHARS = {b: 256 + b for b in range(256) if not 33 <= b < 127}
 #: Pre-tokens of at most so many characters are cached.
@@ -116,6 +116,7 @@ class Coder:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(token for token, _ in ranks), np.uint8)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pre_tokens(self, text: str) -> list[str]:
         if self.split_latin is not None and (text.isascii() or len(text.encode("latin-1", "ignore")) == len(text)):
@@ -142,10 +143,16 @@ class Coder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self.cache, self.older = {}, self.cache
         found = [self.pre_tokens(x) for x in texts]
         seen = set().union(*found)
-        self.learn([*seen.difference(self.cache)])
+        fresh, older = [], self.older
+        for x in seen.difference(self.cache):
+            if (known := older.get(x)) is not None:
+                self.cache[x] = known
+            else:
+                fresh.append(x)
+        self.learn(fresh)
         get = self.cache.__getitem__
         ids = [np.frombuffer(b"".join(map(get, x)), np.int32) for x in found]
         for x in seen:
@@ -184,6 +191,7 @@ def encode_decode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "d
     """
     ranks = read_ranks(vocabulary)
     model, pairs = serialise(ranks), sorted(ranks.items(), key=lambda x: x[1])
+    small_batches(df.sparkSession)
     source = df.select(id_col, text_col)
     shared = source.sparkSession.sparkContext.broadcast((model, pairs, pattern, newer_characters(ranks, pattern)))
 

@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a Python worker turns into one output batch at most, and their characters; a single longer text is a batch of its own.
-SLICE_ROWS, SLICE_CHARS = 512, 4_000_000
+SLICE_ROWS, SLICE_CHARS = 512, 2_000_000
+#: Rows that go to a Python worker at once.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,13 @@ def slices(batches: Iterator[pa.RecordBatch], texts: int = 1) -> Iterator[tuple[
             lo = hi
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS at most: whole texts make the default's batches large on both sides of a worker's pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written in the folder that the cluster shares, to cut lineage so that a lost executor costs only its own tasks.
 
@@ -53,6 +62,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
@@ -70,3 +80,13 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Ids up to so many are broadcast (8 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def join_ids(df: DataFrame, ids: DataFrame, column: str, how: str, scratch: Scratch, name: str) -> DataFrame:
+    """df's rows with (left_semi) or without (left_anti) these ids, which are written and counted first, so that df is shuffled only for many ids. Rows with a null id count as not among them."""
+    ids = scratch.save(ids.filter(F.col(column).isNotNull()).distinct(), name)
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 #: Families (fixed values; a parameter). A language in none is a family of its own.
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance"}
@@ -132,6 +132,7 @@ def predict_language(df: DataFrame, learn: Column, id_col: str = "doc_id", text_
     null text or one without any letter is "und" with score 0; so is every row
     if nothing can be learned. Repeated rows each get a result.
     """
+    small_batches(df.sparkSession)
     source = df.select(id_col, text_col)
     shared = df.sparkSession.sparkContext.broadcast(fit(df, learn, id_col, text_col, lang_col, families))
 

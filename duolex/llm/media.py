@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, small_batches
 
 #: Bytes of payload come in multiples of this.
 UNIT = 576
@@ -105,6 +105,7 @@ def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     empty one, an empty text is UNIT bytes 255. Equal texts give equal values.
     No shuffle; memory is bounded by a slice of rows or the longest text.
     """
+    small_batches(df.sparkSession)
     source = df.select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import read_ranks
-from .common import slices
+from .common import slices, small_batches
 
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 #: Where none of these is, ASSIGN finds nothing.
@@ -83,6 +83,7 @@ def find_secrets(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
     always kept; kind random is the token test's. No shuffle; the vocabulary is
     read on the driver and its size doesn't depend on the data.
     """
+    small_batches(df.sparkSession)
     source = df.select(id_col, text_col)
     shared = source.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 #: Neutral names of groups, swapped with each other (fixed values; a parameter of fit).
 IDENTITY = (
@@ -125,6 +125,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, learn: Column, id_col: str
 
     labels and learn as in score_quality. If one class has no rows every score is 0.5.
     """
+    small_batches(df.sparkSession)
     source = df.select(id_col, text_col)
     shared = df.sparkSession.sparkContext.broadcast(fit(df, labels, learn, id_col, text_col, label))
 
