@@ -85,11 +85,12 @@ def train(rows: list[list[str]], labels: list[int], names: list[str], identity:
     share = y.mean()
     b = float(np.log(share / (1 - share)))
     cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))  # classes weigh alike
+    rate = min(RATE, 1 / max(1e-9, 2 * fair * np.linalg.norm(swap @ swap.T, 2) / max(1, len(swap))))  # the penalty's curvature bounds the steps
     for _ in range(STEPS):
         z = b + np.bincount(owner, w[cols], len(rows))
         g = cost * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(rows)
         slope = np.bincount(cols, g[owner], len(names)) * 20 + ridge * w + 2 * fair * swap.T @ (swap @ w) / max(1, len(swap))
-        vw, vb = 0.9 * vw - RATE * slope, 0.9 * vb - RATE * g.sum() * 4
+        vw, vb = 0.9 * vw - rate * slope, 0.9 * vb - rate * g.sum() * 4
         w, b = w + vw, b + vb
     return Model(dict(zip(names, w.tolist())), float(b))
 
