@@ -149,7 +149,7 @@ def boilerplate(df: DataFrame, id_col: str, text: str, max_tokens: int = 80, phr
     t = F.col(text)
     made = df.select(id_col, T.normalised(t).alias("norm"), F.size(T.segment_tokens(t)).alias("tc"), T.exact_hash(t).alias("eh"), T.near_hash(t).alias("nh"))
     found = [F.when(F.contains("norm", F.lit(p)), F.lit(f"phrase:{p}")) for p in sorted(phrases)]
-    slim = made.select(id_col, F.array_join(F.array_compact(F.array(*found)), " | ").alias("by_phrase"), "tc", "eh", "nh")
+    slim = made.select(id_col, F.array_join(F.array_compact(F.array(*found)), " | ").alias("by_phrase"), "tc", "eh", "nh").persist()  # hashes instead of texts, read three times
     counted = with_counts(with_counts(slim, "eh", "ne"), "nh", "nn")
     repeated = F.when((F.col("ne") > 1) & (F.col("tc") <= max_tokens), "repeated_cross_document_exact").when((F.col("nh") != "") & (F.col("nn") > 1) & (F.col("tc") <= max_tokens), "repeated_cross_document_near")
     return counted.select(id_col, F.concat_ws(" | ", F.nullif("by_phrase", F.lit("")), repeated).alias("reasons"))

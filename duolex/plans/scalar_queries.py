@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import audit as A
 from ..operators import ledger as L
-from .registry import query, table
+from .registry import query, spread, table
 
 # ---- identities, hashes, dates, lists -------------------------------------------------------------------------------
 
@@ -79,7 +79,7 @@ def sentences(spark, sf_dir):
     """Sentences with abbreviation rules, a scanner over the characters that SQL can't express."""
     from ..sources.segment import with_sentences
 
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return with_sentences(docs, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
@@ -88,7 +88,7 @@ def segments_packed(spark, sf_dir):
     """Analysis segments: sentences packed to between 20 and 80 tokens."""
     from ..sources.segment import packed_segments
 
-    return packed_segments(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packed_segments(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 # ---- URLs and pages ------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import stats
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def quoted(words) -> str:
@@ -46,7 +46,7 @@ SQL_FEATURES = f"{SQL_TOKENS}, feats AS (SELECT doc_id, grp, unnest(list_concat(
 
 def grouped(spark, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, grp, tokens of every document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     group = F.when(F.substring("source", 4, 9).cast("int") % 2 == 0, "endorsed").otherwise("opponent")
     return docs.select("doc_id", "lang", "source", group.alias("grp"), T.tokens(F.col("text")).alias("tokens"))
 
@@ -141,7 +141,7 @@ SQL_HOT = f"""WITH lab AS (SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'hot' WHE
 
 
 def hot_cold(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "labels")
     group = F.when(F.col("toxic") == 1, "hot").when(F.col("toxic") == 0, "cold").otherwise("shared")
     base = docs.join(labels.select("doc_id", "toxic"), "doc_id", "left").select("doc_id", group.alias("grp"), T.generic_tokens(F.col("text")).alias("tokens"))
     return stats.hot_cold(base, "doc_id", "grp", "tokens", "hot", "cold", least=5)
@@ -184,7 +184,7 @@ def keyword_topics(spark, sf_dir):
 
 @query(f"WITH h AS (SELECT doc_id, sha256({SQL_NORMALISED}) AS hash FROM documents) SELECT doc_id, hash, CAST(count(*) OVER (PARTITION BY hash) AS BIGINT) AS n_same FROM h")
 def exact_dupes(spark, sf_dir):
-    hashed = table(spark, sf_dir, "documents").select("doc_id", T.exact_hash(F.col("text")).alias("hash"))
+    hashed = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.exact_hash(F.col("text")).alias("hash")).persist()
     return stats.with_counts(hashed, "hash", "n_same")
 
 
@@ -194,7 +194,7 @@ SQL_INF = f"list_transform(list_filter({SQL_SEGMENT}, lambda t: length(t) > 2 AN
 
 @query(f"WITH i AS (SELECT doc_id, {SQL_INF} AS inf FROM documents), h AS (SELECT doc_id, {SQL_NEAR} AS hash FROM i) SELECT doc_id, hash, CASE WHEN hash = '' THEN 1 ELSE CAST(count(*) OVER (PARTITION BY hash) AS BIGINT) END AS n_same FROM h")
 def near_dupes(spark, sf_dir):
-    hashed = table(spark, sf_dir, "documents").select("doc_id", T.near_hash(F.col("text")).alias("hash"))
+    hashed = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.near_hash(F.col("text")).alias("hash")).persist()
     counted = stats.with_counts(hashed.filter("hash <> ''"), "hash", "n_same")
     return counted.unionByName(hashed.filter("hash = ''").withColumn("n_same", F.lit(1).cast("long")))
 
@@ -203,7 +203,7 @@ def near_dupes(spark, sf_dir):
  c AS (SELECT *, count(*) OVER (PARTITION BY eh) AS ne, count(*) OVER (PARTITION BY nh) AS nn FROM h)
  SELECT doc_id, array_to_string(list_filter([{", ".join(f"CASE WHEN contains(norm, '{p}') THEN 'phrase:{p}' END" for p in T.BOILERPLATE)}, CASE WHEN ne > 1 AND tc <= 80 THEN 'repeated_cross_document_exact' WHEN nh <> '' AND nn > 1 AND tc <= 80 THEN 'repeated_cross_document_near' END], lambda x: x IS NOT NULL), ' | ') AS reasons FROM c""")
 def boilerplate_flags(spark, sf_dir):
-    return stats.boilerplate(table(spark, sf_dir, "documents"), "doc_id", "text", max_tokens=80)
+    return stats.boilerplate(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", max_tokens=80)
 
 
 @query("""SELECT lang, md5(text) AS text_md5, min(doc_id) AS first_doc, array_to_string(list_sort(list_distinct(list(source))), ' | ') AS sources, CAST(count(*) AS BIGINT) AS provenance_rows FROM documents GROUP BY lang, md5(text)""")
@@ -215,7 +215,7 @@ def provenance_dedupe(spark, sf_dir):
 @query("""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\r\n?', '\n', 'g'), '\\n'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS ps FROM documents)
  SELECT doc_id, CAST(i AS BIGINT) AS place, md5(ps[i]) AS paragraph_md5 FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)""")
 def paragraphs(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", T.paragraphs(F.regexp_replace("text", "\n", "\n\n")).alias("ps"))
+    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.paragraphs(F.regexp_replace("text", "\n", "\n\n")).alias("ps"))
     return lines.select("doc_id", F.posexplode("ps")).select("doc_id", (F.col("pos") + 1).cast("long").alias("place"), F.md5("col").alias("paragraph_md5"))
 
 
