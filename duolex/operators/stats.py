@@ -1,4 +1,9 @@
-"""Two-group text statistics as DataFrame operators. group columns hold the names given as pair; other groups count only where said."""
+"""Two-group text statistics as DataFrame operators. group columns hold the names given as pair; other groups count only where said.
+
+Tokens are exploded with explode_outer and nulls dropped afterwards: for a plain
+explode the optimizer adds a filter on the array's size below it, which would
+tokenise every text once more.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +23,7 @@ def sum_if(group: str, value: str, what):
 
 def term_counts(df: DataFrame, id_col: str, group: str, tokens: str) -> DataFrame:
     """id, group, total, term, n."""
-    terms = df.select(id_col, group, F.size(tokens).alias("total"), F.explode(tokens).alias("term"))
+    terms = df.select(id_col, group, F.size(tokens).alias("total"), F.explode_outer(tokens).alias("term")).filter("term is not null")
     return terms.groupBy(id_col, group, "total", "term").agg(F.count("*").alias("n"))
 
 
@@ -38,7 +43,7 @@ def group_tfidf(df: DataFrame, id_col: str, group: str, tokens: str, pair: tuple
 
 def features(df: DataFrame, *columns: str, tokens: str) -> DataFrame:
     """The columns and each unigram and bigram as feature, with repeats."""
-    return df.select(*columns, F.explode(F.concat(tokens, T.bigrams(F.col(tokens)))).alias("feature"))
+    return df.select(*columns, F.explode_outer(F.concat(tokens, T.bigrams(F.col(tokens)))).alias("feature")).filter("feature is not null")
 
 
 def log_odds(df: DataFrame, group: str, tokens: str, pair: tuple[str, str], least: int = 5, mass: float = 1000.0) -> DataFrame:
@@ -60,7 +65,7 @@ def prevalence(df: DataFrame, id_col: str, group: str, tokens: str, pair: tuple[
     """Share of each group's documents that hold a unigram or bigram, for those in at least least documents."""
     a, b = pair
     sizes = {r[0]: r[1] for r in df.groupBy(group).agg(F.count("*")).collect()}
-    own = df.select(group, F.explode(F.array_distinct(F.concat(tokens, T.bigrams(F.col(tokens))))).alias("feature"))
+    own = df.select(group, F.explode_outer(F.array_distinct(F.concat(tokens, T.bigrams(F.col(tokens))))).alias("feature")).filter("feature is not null")
     counts = own.groupBy("feature").agg(count_if(group, a).alias(f"{a}_documents"), count_if(group, b).alias(f"{b}_documents"))
     counts = counts.filter(F.col(f"{a}_documents") + F.col(f"{b}_documents") >= least)
     share = {g: F.col(f"{g}_documents") / max(1, sizes.get(g, 0)) for g in pair}
@@ -76,7 +81,7 @@ def overlap(prevalent: DataFrame, wanted: tuple[str, ...], least: float = 0.01)
 
 def bag_cosine(df: DataFrame, keys: list[str], group: str, tokens: str, pair: tuple[str, str]) -> DataFrame:
     """Cosine of the two groups' token counts for each key; 0 if a group has no tokens."""
-    counts = df.select(*keys, group, F.explode(tokens).alias("term")).groupBy(*keys, "term").agg(count_if(group, pair[0]).cast("double").alias("a"), count_if(group, pair[1]).cast("double").alias("b"))
+    counts = df.select(*keys, group, F.explode_outer(tokens).alias("term")).filter("term is not null").groupBy(*keys, "term").agg(count_if(group, pair[0]).cast("double").alias("a"), count_if(group, pair[1]).cast("double").alias("b"))
     cosine = F.try_divide(F.sum(F.col("a") * F.col("b")), F.sqrt(F.sum(F.col("a") * F.col("a"))) * F.sqrt(F.sum(F.col("b") * F.col("b"))))
     return counts.groupBy(*keys).agg(F.round(F.coalesce(cosine, F.lit(0.0)), 6).alias("cosine"))
 
@@ -121,7 +126,7 @@ def distinctive_terms(df: DataFrame, id_col: str, group: str, tokens: str, top:
     """Terms by share x ln((share + smooth) / (background share + smooth)); ties by share, then the term, descending."""
     sizes = df.groupBy(group).agg(F.count("*").alias("docs"))
     total = df.count()
-    own = df.select(group, F.explode(F.array_distinct(tokens)).alias("term")).groupBy(group, "term").agg(F.count("*").alias("c"))
+    own = df.select(group, F.explode_outer(F.array_distinct(tokens)).alias("term")).filter("term is not null").groupBy(group, "term").agg(F.count("*").alias("c"))
     background = own.groupBy("term").agg((F.sum("c") / max(1, total)).alias("background"))
     made = own.join(F.broadcast(sizes), group).filter(F.col("c") >= F.greatest(F.lit(3), F.floor(F.col("docs") / 100))).join(background, "term")
     share = F.col("c") / F.col("docs")
