@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import relational as R
-from .registry import query, table
+from .registry import SQL, query, table
 
 # ---- joins ---------------------------------------------------------------------------------------------------------
 
@@ -49,7 +49,17 @@ def either_key_join(spark, sf_dir):
  row_number() OVER (PARTITION BY a.o_custkey, a.topic ORDER BY CASE WHEN a.stance <> b.stance THEN 0 ELSE 1 END, a.o_orderkey, b.o_orderkey) AS rn FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.topic = b.topic AND a.o_orderkey < b.o_orderkey) SELECT o_custkey, topic, left_key, right_key FROM p WHERE rn = 1""")
 def pair_within_group(spark, sf_dir):
     """The best unordered pair of each group: rows of unlike stance first."""
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 5 = 0").select("o_custkey", F.col("o_orderpriority").alias("topic"), "o_orderkey", F.col("o_orderstatus").alias("stance"))
+    return _pair_within_group(table(spark, sf_dir, "orders").filter("o_custkey % 5 = 0"))
+
+
+@query(SQL["pair_within_group"].replace(" WHERE o_custkey % 5 = 0", ""))
+def pair_within_group_whole(spark, sf_dir):
+    """The same for every customer."""
+    return _pair_within_group(table(spark, sf_dir, "orders"))
+
+
+def _pair_within_group(orders):
+    o = orders.select("o_custkey", F.col("o_orderpriority").alias("topic"), "o_orderkey", F.col("o_orderstatus").alias("stance"))
     b = o.select("o_custkey", "topic", F.col("o_orderkey").alias("right_key"), F.col("stance").alias("other"))
     pairs = o.join(b, ["o_custkey", "topic"]).filter("o_orderkey < right_key")
     best = F.min_by(F.struct(F.col("o_orderkey").alias("l"), F.col("right_key").alias("r")), F.struct(F.when(F.col("stance") != F.col("other"), 0).otherwise(1).alias("k"), F.col("o_orderkey"), F.col("right_key")))
@@ -108,9 +118,18 @@ def window_class(spark, sf_dir):
 @query("""WITH i AS (SELECT l_suppkey, l_orderkey, l_linenumber, epoch(l_shipdate)::BIGINT // 86400 AS lo, epoch(l_shipdate)::BIGINT // 86400 + CAST(l_quantity AS BIGINT) % 7 AS hi FROM lineitem WHERE l_suppkey % 10 = 1 AND l_quantity > 45)
  SELECT a.l_orderkey AS left_order, a.l_linenumber AS left_line, b.l_orderkey AS right_order, b.l_linenumber AS right_line FROM i a JOIN i b ON a.l_suppkey = b.l_suppkey AND a.lo <= b.hi AND b.lo <= a.hi AND (a.l_orderkey, a.l_linenumber) < (b.l_orderkey, b.l_linenumber)""")
 def range_overlap(spark, sf_dir):
+    return _range_overlap(table(spark, sf_dir, "lineitem").filter("l_suppkey % 10 = 1 and l_quantity > 45"))
+
+
+@query(SQL["range_overlap"].replace(" WHERE l_suppkey % 10 = 1 AND l_quantity > 45", ""))
+def range_overlap_whole(spark, sf_dir):
+    """The same for every supplier and quantity."""
+    return _range_overlap(table(spark, sf_dir, "lineitem"))
+
+
+def _range_overlap(lines):
     day = F.floor(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) / 86400)
-    i = table(spark, sf_dir, "lineitem").filter("l_suppkey % 10 = 1 and l_quantity > 45")
-    i = i.select("l_suppkey", "l_orderkey", "l_linenumber", day.alias("lo"), (day + F.col("l_quantity").cast("long") % 7).alias("hi"))
+    i = lines.select("l_suppkey", "l_orderkey", "l_linenumber", day.alias("lo"), (day + F.col("l_quantity").cast("long") % 7).alias("hi"))
     both = R.overlapping(i, i, ["l_suppkey"], "lo", "hi", grain=16)
     both = both.filter("l_orderkey < r_l_orderkey or (l_orderkey = r_l_orderkey and l_linenumber < r_l_linenumber)")
     return both.select(F.col("l_orderkey").alias("left_order"), F.col("l_linenumber").alias("left_line"), F.col("r_l_orderkey").alias("right_order"), F.col("r_l_linenumber").alias("right_line"))
@@ -125,6 +144,17 @@ def set_overlap_join(spark, sf_dir):
     return x.join(y, "p").filter("left_order < right_order").groupBy("left_order", "right_order").agg(F.count("*").alias("shared")).filter("shared >= 2")
 
 
+@query(SQL["set_overlap_join"].replace(" WHERE l_orderkey % 20 = 0", ""))
+def set_overlap_join_whole(spark, sf_dir):
+    """The same for every order, joined on the pairs of an order's members, so that only orders with two members in common meet."""
+    sets = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_set(F.col("l_partkey") % 200).alias("s"))
+    one = sets.select("o", F.explode("s").alias("p"), "s").select("o", "p", F.explode(F.filter("s", lambda q: q > F.col("p"))).alias("q"))
+    two = one.select(F.col("o").alias("right_order"), "p", "q")
+    n = one.withColumnRenamed("o", "left_order").join(two, ["p", "q"]).filter("left_order < right_order").groupBy("left_order", "right_order").agg(F.count("*").alias("n"))
+    # n members' pairs: shared * (shared - 1) / 2
+    return n.select("left_order", "right_order", F.round((1 + F.sqrt(1 + 8 * F.col("n"))) / 2).cast("long").alias("shared"))
+
+
 @query("""WITH a AS (SELECT l_orderkey AS o, unnest(list_distinct(list(l_suppkey % 40))) AS m FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY 1), b AS (SELECT l_orderkey AS p, unnest(list_distinct(list(l_suppkey % 40))) AS m FROM lineitem WHERE l_orderkey % 40 = 1 GROUP BY 1),
  j AS (SELECT o, p, count(*) AS n FROM a JOIN b USING (m) GROUP BY ALL) SELECT o AS order_key, min_by(p, (-n, p)) AS best, CAST(max(n) AS BIGINT) AS overlap FROM j GROUP BY o""")
 def best_overlap(spark, sf_dir):
@@ -134,6 +164,28 @@ def best_overlap(spark, sf_dir):
     return n.groupBy("order_key").agg(F.min_by("p", F.struct(-F.col("n"), F.col("p"))).alias("best"), F.max("n").alias("overlap"))
 
 
+@query()
+def best_overlap_whole(spark, sf_dir):
+    return best_other(table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 40).alias("m")))
+
+
+def best_other(rows):
+    """order_key, best, overlap: for every order the other one with most members in common, ties by its key.
+
+    What two orders share is a subset of both, so each subset (there are few, as
+    an order has few lines) keeps its two least orders, and no pair of orders is formed.
+    """
+    sets = rows.groupBy(F.col("l_orderkey").alias("order_key")).agg(F.sort_array(F.collect_set("m")).alias("s"))
+    none = F.array().cast("array<array<bigint>>")
+    subsets = F.aggregate("s", F.array(F.array().cast("array<bigint>")), lambda made, m: F.concat(made, F.transform(made, lambda x: F.concat(x, F.array(m.cast("bigint"))))))
+    x = sets.select("order_key", F.explode(F.filter(F.coalesce(subsets, none), lambda x: F.size(x) > 0)).alias("t"))
+    first = x.groupBy("t").agg(F.min("order_key").alias("p0"), F.max("order_key").alias("last")).filter("p0 < last").drop("last")
+    second = x.join(first, "t").filter("order_key > p0").groupBy("t").agg(F.min("order_key").alias("p1"))
+    least = first.join(second, "t")
+    found = x.join(least, "t").select("order_key", F.size("t").cast("long").alias("n"), F.when(F.col("p0") == F.col("order_key"), F.col("p1")).otherwise(F.col("p0")).alias("p"))
+    return found.groupBy("order_key").agg(F.min_by("p", F.struct(-F.col("n"), F.col("p"))).alias("best"), F.max("n").alias("overlap"))
+
+
 @query("""WITH y AS (SELECT unnest(range(1995, 1999)) AS year), c AS (SELECT n_nationkey, year(o_orderdate) AS year, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
  SELECT n.n_nationkey, y.year, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM nation n CROSS JOIN y LEFT JOIN c ON c.n_nationkey = n.n_nationkey AND c.year = y.year""")
 def grid_completion(spark, sf_dir):
@@ -155,7 +207,17 @@ def name_key_join(spark, sf_dir):
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 60 + 1000 AS b FROM lineitem WHERE l_orderkey % 400 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM u UNION SELECT u.b, r.seen FROM r JOIN u ON u.a = r.node) SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def alias_components(spark, sf_dir):
     """Rows linked by a shared alias merge transitively."""
-    e = table(spark, sf_dir, "lineitem").filter("l_orderkey % 400 = 0").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 60 + 1000).alias("b")).distinct()
+    return _alias_components(table(spark, sf_dir, "lineitem").filter("l_orderkey % 400 = 0"))
+
+
+@query(SQL["alias_components"].replace(" WHERE l_orderkey % 400 = 0", ""))
+def alias_components_whole(spark, sf_dir):
+    """The same for every order."""
+    return _alias_components(table(spark, sf_dir, "lineitem"))
+
+
+def _alias_components(lines):
+    e = lines.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 60 + 1000).alias("b")).distinct()
     return R.components(e, "a", "b")
 
 

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import audit as A
 from ..operators import ledger as L
-from .registry import query, spread, table
+from .registry import SQL, query, spread, table
 
 # ---- identities, hashes, dates, lists -------------------------------------------------------------------------------
 
@@ -241,7 +241,16 @@ def status_preservation(spark, sf_dir):
 
 @query("""WITH s AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS live, count(*) FILTER (WHERE event_type = 'error') AS arch FROM events WHERE event_id % 40 = 0 GROUP BY 1) SELECT user_id, CASE WHEN live = 0 THEN 'live' WHEN arch = 0 THEN 'archive' ELSE 'none' END AS next_stage FROM s""")
 def staged_retries(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 40 = 0")
+    return _staged_retries(table(spark, sf_dir, "events").filter("event_id % 40 = 0"))
+
+
+@query(SQL["staged_retries"].replace(" WHERE event_id % 40 = 0", ""))
+def staged_retries_whole(spark, sf_dir):
+    """The same for every event."""
+    return _staged_retries(table(spark, sf_dir, "events"))
+
+
+def _staged_retries(e):
     stage = F.when(F.col("event_type") == "view", "live").when(F.col("event_type") == "error", "archive").otherwise("other")
     s = e.select("user_id", stage.alias("stage"), F.lit(1).alias("tries"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
     return L.stages(s, "user_id", ["live", "archive"]).select("user_id", F.coalesce("next_stage", F.lit("none")).alias("next_stage"))

@@ -170,3 +170,29 @@ def test_streaming_upsert_and_ledger(spark, tmp_path):
     run = ledger.writeStream.format("memory").queryName("ledger_test").outputMode("update").trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted((r.k, r.tries, r.status) for r in spark.table("ledger_test").collect()) == [("x", 1, "retry"), ("y", 1, "done")]
+
+
+def test_whole_table_queries_keep_every_row():
+    from duolex.plans import relational_queries, scalar_queries  # noqa: F401
+    from duolex.plans.registry import QUERIES, SQL
+
+    for name in ("pair_within_group", "range_overlap", "set_overlap_join", "alias_components", "staged_retries"):
+        assert f"{name}_whole" in QUERIES
+        assert " % 5 = 0" not in SQL[f"{name}_whole"] and "0 = 0" not in SQL[f"{name}_whole"] and len(SQL[f"{name}_whole"]) < len(SQL[name])
+
+
+def test_best_other_against_brute_force(spark):
+    import random
+
+    from duolex.plans.relational_queries import best_other
+
+    draw = random.Random(7)
+    sets = {o: {draw.randrange(12) for _ in range(draw.randrange(1, 6))} for o in range(120)} | {500: {77}}
+    rows = [(o, m) for o, s in sets.items() for m in s]
+    want = {}
+    for o, s in sets.items():
+        n, p = min((-len(s & t), p) for p, t in sets.items() if p != o)
+        if n:
+            want[o] = (p, -n)
+    got = {r.order_key: (r.best, r.overlap) for r in best_other(spark.createDataFrame(rows, "l_orderkey long, m long")).collect()}
+    assert got == want and 500 not in got
