@@ -5,12 +5,10 @@
    whose keys share a prefix are candidates; the prefix is shortened from the
    whole key until the share of pairs at the threshold that meet in some trie
    reaches the target recall.
-3. A prefix group's candidates are the edges of maximum spanning forests of
-   the estimated similarities (all pairs in the smallest groups): whatever
-   similarity joins two of the group, a path of edges at least as similar
-   joins them too. Several forests and many tries make up for estimates' errors. Groups over GROUP_ROWS are cut along longer prefixes, and
-   their parts' anchors form further groups until none is too large, so no
-   task ever holds more than GROUP_ROWS of a group.
+3. A prefix group's candidates are all its pairs whose estimated similarity
+   passes. A group over GROUP_ROWS is dealt into blocks and each pair of blocks
+   is a task, so that every pair is compared and no task holds more than about
+   two blocks. A pair that meets in several tries is taken in the first.
 4. Candidates are verified on their whole texts; verified links are joined to
    components by min-label propagation with pointer jumping.
 """
@@ -33,10 +31,10 @@ WIDTH, THRESHOLD = 5, 0.8
 TREES, KEY, RECALL = 16, 8, 0.9995
 #: Candidates are verified from this estimate on: four standard deviations below the threshold.
 ESTIMATE = 0.66
-#: Rows of a prefix group that are compared in one task at most; all pairs are tried in groups up to SMALL.
-GROUP_ROWS, SMALL = 256, 4
-#: Spanning forests of a group whose edges are verified. One would do if estimates were exact.
-FORESTS = 3
+#: Rows of a block of a prefix group on average at most; a task compares two blocks.
+GROUP_ROWS = 256
+#: Rows of a block of texts in verification.
+VERIFY_ROWS = 64
 
 _HASHES = TREES * KEY
 _RNG = np.random.default_rng(20)
@@ -83,58 +81,38 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int = WIDTH) ->
     return source.mapInArrow(run, "doc long, cls binary, grams int, sig binary")
 
 
-def _buckets(nodes: DataFrame, scratch: Scratch, depth: int) -> DataFrame:
-    """bucket long, cls: groups of at most about GROUP_ROWS classes with a common prefix."""
-    prefix = lambda d: F.xxhash64("tree", F.expr(f"substring(sig, tree * {2 * KEY} + 1, {2 * d})"))
+def _tasks(nodes: DataFrame, depth: int) -> DataFrame:
+    """task long, side, tree, cls: the pairs of blocks of the groups of classes with a common prefix. side: -1 where a block meets itself, else 0 and 1."""
     heads = nodes.filter("grams > 0").select("cls", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    heads = heads.select("cls", prefix(depth).alias("bucket"), prefix((depth + KEY) // 2).alias("longer"))
-    done, level = None, 0
-    while True:
-        sizes = heads.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        heads = scratch.save(heads.join(sizes, "bucket"), f"heads{level}")
-        small = heads.filter(F.col("n") <= GROUP_ROWS).select("bucket", "cls")
-        done = small if done is None else done.unionByName(small)
-        large = heads.filter(F.col("n") > GROUP_ROWS)
-        if large.isEmpty():
-            return done
-        half = GROUP_ROWS // 2
-        parts = large.withColumn("part", F.xxhash64("bucket", F.pmod(F.col("longer"), F.ceil(F.col("n") / half)), F.lit(level))).drop("n")
-        sizes = parts.groupBy("part").agg(F.count("*").alias("m"))
-        parts = parts.join(sizes, "part")
-        parts = parts.withColumn("part", F.when(F.col("m") > GROUP_ROWS, F.xxhash64("part", F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / half)))).otherwise(F.col("part")))
-        parts = scratch.save(parts.drop("m"), f"parts{level}")
-        done = done.unionByName(parts.select(F.col("part").alias("bucket"), "cls"))
-        # one class of each part stands for it in the group's next round
-        heads = parts.groupBy("bucket", "part").agg(F.min(F.struct("cls", "longer")).alias("head")).select("head.cls", "bucket", "head.longer")
-        level += 1
-
-
-def _forests(sigs: np.ndarray, sizes: np.ndarray, least: float, threshold: float) -> Iterator[tuple[int, int]]:
-    """Edges of FORESTS maximum spanning forests, without a common edge, over estimates of at least least; all such pairs in small groups."""
-    n = len(sigs)
-    near = np.zeros((n, n), np.float32)
-    for k in range(n - 1):
-        same = (sigs[k + 1 :] == sigs[k]).mean(axis=1)
-        fits = np.minimum(sizes[k + 1 :], sizes[k]) >= threshold * np.maximum(sizes[k + 1 :], sizes[k])
-        near[k, k + 1 :] = near[k + 1 :, k] = np.where(fits & (same >= least), same, 0)
-    if n <= SMALL:
-        yield from zip(*(x.tolist() for x in np.nonzero(np.triu(near))))
-        return
-    for _ in range(FORESTS):
-        best, link, left = near[0].copy(), np.zeros(n, np.int64), np.ones(n, bool)
-        left[0] = False
-        for _ in range(n - 1):
-            at = int(np.where(left, best, -1).argmax())
-            left[at] = False
-            if best[at] > 0:
-                yield int(link[at]), at
-                near[link[at], at] = near[at, link[at]] = 0
-            better = left & (near[at] > best)
-            best[better], link[better] = near[at][better], at
-
-
-def _candidates(rows: DataFrame, least: float, threshold: float) -> DataFrame:
-    """Pairs a, b of classes with the documents that have their texts, from rows (bucket, cls, doc, grams, sig) in order of bucket within a partition."""
+    heads = heads.select("cls", "tree", F.xxhash64("tree", F.expr(f"substring(sig, tree * {2 * KEY} + 1, {2 * depth})")).alias("bucket"))
+    sizes = heads.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    blocks = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
+    dealt = heads.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    side = F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int"))
+    return dealt.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("task"), side.alias("side"), "tree", "cls")
+
+
+def _near(sigs: np.ndarray, sizes: np.ndarray, side: np.ndarray, tree: int, depth: int, least: float, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """A row and the rows that it makes candidates with: an estimate of at least least, fitting sizes, and no earlier trie in which they meet."""
+    keys = sigs.reshape(len(sigs), TREES, KEY)[:, : tree + 1, :depth]
+    others = np.flatnonzero(side == 1)
+    for k in np.flatnonzero(side < 1).tolist():
+        to = np.arange(k + 1, len(sigs)) if side[k] < 0 else others
+        fits = np.minimum(sizes[to], sizes[k]) >= threshold * np.maximum(sizes[to], sizes[k])
+        to = to[fits]
+        to = to[(sigs[to] == sigs[k]).sum(axis=1, dtype=np.int32) >= least * _HASHES]
+        if len(to):
+            meet = (keys[to] == keys[k]).all(axis=2)
+            to = to[meet[:, tree] & ~meet[:, :tree].any(axis=1)]
+        if len(to):
+            yield k, to
+
+
+def _candidates(rows: DataFrame, depth: int, least: float, threshold: float) -> DataFrame:
+    """Pairs a < b of classes, each once, with the documents that have their texts, and the task and the pair of blocks that verify them.
+
+    rows: task, side, tree, cls, doc, grams, sig, in order of task within a partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -150,23 +128,34 @@ def _candidates(rows: DataFrame, least: float, threshold: float) -> DataFrame:
     def groups(part: pa.Table) -> Iterator[pa.RecordBatch]:
         if not part.num_rows:
             return
-        bucket = part.column(0).to_numpy()
-        cls, doc = part.column(1).to_pylist(), part.column(2).to_pylist()
-        sizes = part.column(3).to_numpy()
-        sigs = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint16).reshape(-1, _HASHES)
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        task, side, tree = (part.column(k).to_numpy() for k in range(3))
+        cls, doc = part.column(3).to_pylist(), part.column(4).to_pylist()
+        sizes = part.column(5).to_numpy()
+        sigs = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint16).reshape(-1, _HASHES)
+        starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
         out = []
-        for lo, hi in zip(starts, [*starts[1:], len(bucket)]):
-            if hi - lo > 1:
-                for i, j in _forests(sigs[lo:hi], sizes[lo:hi], least, threshold):
-                    i, j = sorted((lo + i, lo + j), key=lambda x: cls[x])
-                    if cls[i] != cls[j]:
-                        out.append((cls[i], cls[j], doc[i], doc[j]))
-        for k in range(0, len(out), 10_000):
-            a, b, p, q = zip(*out[k : k + 10_000])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(p, pa.int64()), pa.array(q, pa.int64())], names=["a", "b", "a_doc", "b_doc"])
-
-    return rows.mapInArrow(run, "a binary, b binary, a_doc long, b_doc long")
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(task)]):
+            if hi - lo < 2:
+                continue
+            cuts = -(-(hi - lo) // VERIFY_ROWS)
+            for k, to in _near(sigs[lo:hi], sizes[lo:hi], side[lo:hi], int(tree[lo]), depth, least, threshold):
+                for i, j in ((lo + k, lo + x) for x in to.tolist()):
+                    if cls[i] == cls[j]:
+                        continue
+                    if cls[i] > cls[j]:
+                        i, j = j, i
+                    out.append((int(task[lo]), int.from_bytes(cls[i][:4]) % cuts * cuts + int.from_bytes(cls[j][:4]) % cuts, cls[i], cls[j], doc[i], doc[j]))
+                if len(out) >= 10_000:
+                    yield batch_of(out)
+                    out = []
+        if out:
+            yield batch_of(out)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["task", "part", "a", "b", "a_doc", "b_doc"])
+
+    return rows.mapInArrow(run, "task long, part int, a binary, b binary, a_doc long, b_doc long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, width: int, threshold: float) -> DataFrame:
@@ -236,9 +225,10 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = scratch.save(signatures(df, id_col, text_col, width), "rows")
     nodes = rows.filter("doc is not null").groupBy("cls").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.max("grams").alias("grams"), F.max("sig").alias("sig"))
     nodes = scratch.save(nodes, "nodes")
-    grouped = _buckets(nodes, scratch, prefix_depth(threshold)).join(nodes.select("cls", "doc", "grams", "sig"), "cls")
-    ordered = grouped.select("bucket", "cls", "doc", "grams", "sig").repartition("bucket").sortWithinPartitions("bucket", "cls")
-    pairs = scratch.save(_candidates(ordered, ESTIMATE, threshold).dropDuplicates(["a", "b"]), "pairs")
+    depth = prefix_depth(threshold)
+    grouped = _tasks(nodes, depth).join(nodes.select("cls", "doc", "grams", "sig"), "cls")
+    ordered = grouped.select("task", "side", "tree", "cls", "doc", "grams", "sig").repartition("task").sortWithinPartitions("task")
+    pairs = scratch.save(_candidates(ordered, depth, ESTIMATE, threshold), "pairs")
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     links = scratch.save(_verified(pairs, docs, scratch, width, threshold).dropDuplicates(["a", "b"]), "links")
     roots = components(links, scratch)

@@ -97,6 +97,37 @@ def test_near_classes_against_brute_force(spark, odd, docs, group, monkeypatch):
     assert links.filter("jaccard < 0.8").isEmpty()
 
 
+def template_rows():
+    """Copies of one template that differ in many words each, a few of them with a close partner."""
+    base = [f"t{i}" for i in range(200)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for j in range(5):
+            words[(k * 31 + j * 41) % 200] = f"own{k}x{j}"
+        rows.append((k, " ".join(words)))
+        if k % 6 == 0:
+            words[(k * 31 + 100) % 200] = f"late{k}"
+            rows.append((1000 + k, " ".join(words)))
+    return rows
+
+
+def brute_links(rows):
+    sets = {i: set(shingles(t).tolist()) for i, t in rows}
+    return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize("group", [256, 8])
+def test_near_classes_find_every_pair_of_a_large_group(spark, group, monkeypatch):
+    monkeypatch.setattr(nearjoin, "GROUP_ROWS", group)
+    rows = template_rows() + [(2000 + k, edited(" ".join(f"w{i * 37 % 101}x{i}" for i in range(120)), k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, links = nearjoin.near_classes(df)
+    of = {r.cls: r.doc for r in nearjoin.signatures(df, "doc_id", "text").collect()}
+    got = [tuple(sorted((of[r.a], of[r.b]))) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_links(rows)
+
+
 def test_drop_near_copies_keeps_one(spark, odd, none):
     kept = nearjoin.drop_near_copies(odd)
     assert kept.columns == odd.columns
