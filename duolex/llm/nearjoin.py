@@ -159,33 +159,43 @@ def _candidates(rows: DataFrame, depth: int, least: float, threshold: float) ->
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, width: int, threshold: float) -> DataFrame:
-    """a, b, jaccard of the pairs whose texts' shingle sets are as similar as the threshold."""
+    """a, b, jaccard of the pairs whose texts' shingle sets are as similar as the threshold. A text goes once to each pair of blocks, not once to each pair."""
     ids = pairs.select(F.explode(F.array("a_doc", "b_doc")).alias("doc"))
     texts = scratch.save(join_ids(docs, ids, "doc", "left_semi", scratch, "ids"), "texts")
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(8)).cast("int"))
-    one = salted.select("a", "salt", F.lit(0).alias("side"), F.col("a").alias("cls"), F.col("a_doc").alias("doc")).distinct()
-    two = salted.select("a", "salt", F.lit(1).alias("side"), F.col("b").alias("cls"), F.col("b_doc").alias("doc"))
-    rows = one.unionByName(two).join(texts, "doc").drop("doc").repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("a_doc").alias("doc"), F.col("b").alias("other")), F.struct(F.col("b").alias("cls"), F.col("b_doc").alias("doc"), F.lit(None).cast("binary").alias("other"))))
+    needed = pairs.select("task", "part", ends.alias("end")).groupBy("task", "part", "end.cls", "end.doc").agg(F.collect_list("end.other").alias("others"))  # at most a block of others
+    rows = needed.join(texts, "doc").select("task", "part", "cls", "others", "text").repartition("task", "part").sortWithinPartitions("task", "part")
+
+    def verified(held: dict[bytes, np.ndarray], wanted: dict[bytes, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        for a, others in wanted.items():
+            others = [b for b in others if b in held]
+            if not others:
+                continue
+            mine, theirs = held[a], np.concatenate([held[b] for b in others])
+            sizes = np.array([len(held[b]) for b in others])
+            at = np.searchsorted(mine, theirs)
+            at[at == len(mine)] = 0
+            both = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.cumsum(sizes) - sizes)
+            share = both / (len(mine) + sizes - both)
+            near = np.flatnonzero(share >= threshold)
+            if len(near):
+                yield pa.RecordBatch.from_arrays([pa.array([a] * len(near), pa.binary()), pa.array([others[k] for k in near], pa.binary()), pa.array(share[near])], names=["a", "b", "jaccard"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, grams = None, None
+        at, held, wanted = None, {}, {}
         for part, texts in slices(batches, 4):
-            key, side, cls = part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()
-            out = []
-            for a, first, own, text in zip(key, side, cls, texts):
-                mine = shingles(text, width)
-                if hashlib.blake2b(mine.tobytes(), digest_size=16).digest() != own:
+            keys = zip(*(part.column(k).to_pylist() for k in range(2)))
+            for key, own, others, text in zip(keys, part.column(2).to_pylist(), part.column(3).to_pylist(), texts):
+                if key != at:
+                    yield from verified(held, wanted)
+                    at, held, wanted = key, {}, {}
+                grams = shingles(text, width)
+                if hashlib.blake2b(grams.tobytes(), digest_size=16).digest() != own:
                     continue  # an id that several texts have
-                if first == 0:
-                    at, grams = a, mine
-                elif a == at:
-                    both = len(np.intersect1d(grams, mine, assume_unique=True))
-                    share = both / (len(grams) + len(mine) - both)
-                    if share >= threshold:
-                        out.append((a, own, share))
-            if out:
-                a, b, share = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(share, pa.float64())], names=["a", "b", "jaccard"])
+                held[own] = grams
+                if others:
+                    wanted[own] = others
+        yield from verified(held, wanted)
 
     return rows.mapInArrow(run, "a binary, b binary, jaccard double")
 
@@ -230,7 +240,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ordered = grouped.select("task", "side", "tree", "cls", "doc", "grams", "sig").repartition("task").sortWithinPartitions("task")
     pairs = scratch.save(_candidates(ordered, depth, ESTIMATE, threshold), "pairs")
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    links = scratch.save(_verified(pairs, docs, scratch, width, threshold).dropDuplicates(["a", "b"]), "links")
+    links = scratch.save(_verified(pairs, docs, scratch, width, threshold), "links")
     roots = components(links, scratch)
     degrees = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
     linked = roots.withColumnRenamed("node", "cls").join(degrees, "cls").join(nodes.select("cls", "doc"), "cls")

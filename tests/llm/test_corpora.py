@@ -128,6 +128,15 @@ def test_near_classes_find_every_pair_of_a_large_group(spark, group, monkeypatch
     assert len(got) == len(set(got)) and set(got) == brute_links(rows)
 
 
+def test_near_classes_count_every_link(spark):
+    """50 edited copies that are all near each other have 49 links each; a repeated row is one more."""
+    base = " ".join(f"w{i * 37 % 101}x{i}" for i in range(120))
+    rows = [(k, edited(base, k)) for k in range(50)] + [(3000, edited(base, 0))]
+    got, links = nearjoin.near_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_links for r in got.collect()} == {k: 50 if k == 0 else 49 for k in range(50)} | {3000: 50}
+    assert links.count() == 50 * 49 // 2
+
+
 def test_drop_near_copies_keeps_one(spark, odd, none):
     kept = nearjoin.drop_near_copies(odd)
     assert kept.columns == odd.columns
