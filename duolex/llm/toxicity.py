@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,8 @@ STEM = 5
 #: Weight of squared weights, and of squared score changes under swapped terms.
 RIDGE, FAIR = 1e-3, 1.0
 STEPS, RATE = 300, 0.5
+#: Factor of the loss's gradient, and so of the fairness penalty's.
+SCALE = 20
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -58,14 +61,35 @@ def swapped(features: set[str], term: str, other: str) -> set[str]:
     return (features - features_of(term)) | features_of(other)
 
 
+def swap_matrix(rows: list[list[str]], at: dict[str, int], identity: tuple[str, ...]) -> np.ndarray:
+    """The matrix A for which w'Aw is the mean square of the score changes of the labelled sentences under swapped terms.
+
+    Each sentence that names groups counts once, however many variants it has:
+    each of its terms replaced by each other term and left out. Sentences with
+    the same features of terms have the same changes and are counted together.
+    If no sentence names a group, each bare term against none is all there is.
+    """
+    own = {t: features_of(t) for t in identity}
+    relevant = set().union(*own.values()) if own else set()
+    seen = Counter(key for key in (frozenset(relevant.intersection(r)) for r in rows) if any(t in key for t in identity))
+    out = np.zeros((len(at), len(at)))
+    for key, times in (seen or Counter(frozenset(x) for x in own.values())).items():
+        variants = [v for t in identity if t in key for v in (key - own[t], *(swapped(set(key), t, o) for o in identity if o != t))]
+        for v in variants:
+            signs = [(at[f], 1.0 if f in v else -1.0) for f in key ^ v]
+            for i, x in signs:
+                for j, y in signs:
+                    out[i, j] += x * y * times / len(variants)
+    return out / max(1, sum(seen.values()) or len(own))
+
+
 def train(rows: list[list[str]], labels: list[int], names: list[str], identity: tuple[str, ...] = IDENTITY, ridge: float = RIDGE, fair: float = FAIR) -> Model:
     """Weights by gradient steps on the mean logistic loss, ridge and fair.
 
-    rows: each labelled sentence's features. A sentence that names a group is
-    paired with itself naming each next group of the list; any other sentence
-    stands for an open slot, where each group's name is put in turn. The
-    penalty is the mean square of the score changes of all these pairs, which
-    are few different ones, as a change depends on the swapped features alone.
+    rows: each labelled sentence's features. fair weighs the mean square of the
+    score changes of the labelled sentences under swapped terms (swap_matrix),
+    on the loss's scale. As it may be much steeper than the loss, each step
+    ends in its exact minimum around the point that the loss leads to.
     """
     names = [*dict.fromkeys([*names, *(f for t in identity for f in sorted(features_of(t)))])]
     at = {f: i for i, f in enumerate(names)}
@@ -73,25 +97,25 @@ def train(rows: list[list[str]], labels: list[int], names: list[str], identity:
     count = np.array([sum(f in at for f in r) for r in rows], np.int64)
     owner = np.repeat(np.arange(len(rows)), count)
     y = np.array(labels, np.float64)
-    pairs = []
-    for k, term in enumerate(identity):
-        other = identity[(k + 1) % len(identity)]
-        for change in (swapped({*features_of(term)}, term, other) ^ features_of(term), features_of(term)):
-            pairs.append(np.array([(1.0 if f in features_of(term) else -1.0) * (f in change) for f in names]))
-    swap = np.array(pairs) if pairs else np.zeros((0, len(names)))
     w, b, vw, vb = np.zeros(len(names)), 0.0, np.zeros(len(names)), 0.0
     if y.min(initial=1) == y.max(initial=0):
         return Model({}, 0.0)
     share = y.mean()
     b = float(np.log(share / (1 - share)))
     cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))  # classes weigh alike
-    rate = min(RATE, 1 / max(1e-9, 2 * fair * np.linalg.norm(swap @ swap.T, 2) / max(1, len(swap))))  # the penalty's curvature bounds the steps
+    terms = [*dict.fromkeys(f for t in identity for f in sorted(features_of(t)))]
+    swap = swap_matrix(rows, {f: i for i, f in enumerate(terms)}, identity)
+    held = np.array([at[f] for f in terms], np.int64)
+    nearest = np.linalg.inv(np.eye(len(terms)) + RATE * SCALE * 2 * fair * swap)
     for _ in range(STEPS):
         z = b + np.bincount(owner, w[cols], len(rows))
         g = cost * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(rows)
-        slope = np.bincount(cols, g[owner], len(names)) * 20 + ridge * w + 2 * fair * swap.T @ (swap @ w) / max(1, len(swap))
-        vw, vb = 0.9 * vw - rate * slope, 0.9 * vb - rate * g.sum() * 4
-        w, b = w + vw, b + vb
+        slope = np.bincount(cols, g[owner], len(names)) * SCALE + ridge * w
+        after = w + 0.9 * vw - RATE * slope
+        after[held] = nearest @ after[held]
+        w, vw = after, after - w
+        vb = 0.9 * vb - RATE * g.sum() * 4
+        b += vb
     return Model(dict(zip(names, w.tolist())), float(b))
 
 

@@ -1,5 +1,7 @@
 """Operators that learn from or join the corpus."""
 
+import math
+import random
 from collections import Counter
 
 import pytest
@@ -262,6 +264,42 @@ def test_toxicity_swaps_count_less_with_the_penalty():
     assert fair.margin("awful day") > 0 > fair.margin("lovely day")
 
 
+def biased_sentences(n, seed):
+    """Sentences of 12 words; toxic ones hold rude words, and six in ten of them name one group, as few others do."""
+    draw = random.Random(seed)
+    rows, labels = [], []
+    for k in range(n):
+        bad = k % 2
+        words = [f"plain{''.join(chr(97 + int(c)) for c in str(draw.randrange(400)))}" for _ in range(10)]
+        words += [f"{''.join(chr(97 + int(c)) for c in str(draw.randrange(200)))}rude" for _ in range(draw.randrange(1, 3))] if bad else []
+        named = draw.random()
+        if named < (0.6 if bad else 0.02):
+            words.append("muslim")
+        elif named > 0.95:
+            words.append(draw.choice(toxicity.IDENTITY))
+        rows.append(" ".join(words))
+        labels.append(bad)
+    return rows, labels
+
+
+def test_toxicity_neutral_mentions_at_default_parameters():
+    texts, labels = biased_sentences(4000, 1)
+    rows = [sorted(toxicity.features_of(t)) for t in texts]
+    model = toxicity.train(rows, labels, sorted({f for r in rows for f in r}))
+    fresh, truth = biased_sentences(600, 2)
+    scored = [(1 / (1 + math.exp(-model.margin(t + " muslim"))), y) for t, y in zip(fresh, truth)]
+    wrong = sum(p >= 0.3 for p, y in scored if not y) / sum(not y for y in truth)
+    found = sum(p >= 0.3 for p, y in scored if y) / sum(truth)
+    assert wrong < 0.05 and found > 0.95, (wrong, found)
+
+
+def test_toxicity_swaps_come_from_the_labelled_sentences():
+    at = {f: k for k, f in enumerate(("gay", "deaf", "men"))}
+    swap = toxicity.swap_matrix([["gay", "day"], ["gay"], ["deaf"], ["day"]], at, ("gay", "deaf", "men"))
+    # a third of each sentence's weight goes to each of: left out, either other term
+    assert abs(swap - [[7 / 9, -3 / 9, -2 / 9], [-3 / 9, 5 / 9, -1 / 9], [-2 / 9, -1 / 9, 3 / 9]]).max() < 1e-12
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op7_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
