@@ -30,7 +30,7 @@ DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_CHARS = (32, 40, 56, 64, 96, 128)
 #: Identifiers: UUIDs, and words of letters joined by signs, with a number at most at a word's end.
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-WORDS = re.compile(r"[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+))*[0-9]{0,4}[+/_=-]*")
+WORDS = re.compile(r"[+/_=-]*+[A-Za-z]++(?:[+/_=-]++[A-Za-z]++)*+[0-9]{0,4}+[+/_=-]*+")
 #: Plain numbers, dates and phone or card numbers.
 NUMBER = re.compile(r"[0-9+/_=-]+")
 
