@@ -60,7 +60,7 @@ def spectra(samples: bytes) -> Iterator[tuple[int, np.ndarray]]:
     frames = max(0, (len(data) - FRAME) // HOP + 1)
     for first in range(0, frames, BLOCK):
         n = min(BLOCK, frames - first)
-        part = data[first * HOP : (first + n - 1) * HOP + UNIT].astype(np.float32) - np.float32(128)
+        part = data[first * HOP : (first + n - 1) * HOP + FRAME].astype(np.float32) - np.float32(128)
         framed = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP] * WINDOW
         yield first, np.abs(np.fft.rfft(framed, axis=1))
 
