@@ -1,11 +1,14 @@
 """Balanced label propagation: documents that share a link key move towards each other's shards under capacity quotas.
 
-A key's documents are linked through cells: a small group is one cell, a group
-that is large for a shard is dealt into several of bounded size. Each round
-moves whole cells to the shard where most of their documents are already, as
-far as that shard's free rows allow; no pair of documents is ever formed. At
-the end documents without links fill the shards up, so that row counts are at
-most one apart.
+A key's documents are one cell; only a group that is larger than a shard is
+dealt into several. Each round, every open cell looks at the shards where its
+documents are and takes the one that most of them are in among those with room
+for the whole cell (any other with room if there is none); shards admit cells,
+large ones first, as far as their quota goes, and what they admit is settled.
+Rounds end when all cells are settled or no shard has room for another whole
+one. No pair of documents is ever formed. At the end the documents without
+links, and those of cells that fit nowhere, fill the shards up, so that row
+counts are at most one apart.
 """
 
 from __future__ import annotations
@@ -15,12 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-ROUNDS = 5
-#: Classes by hash in which the movers of a round are admitted; a bound of the tables that quotas are found on.
+#: Rounds at most. Those after the first few place the last cells that fit.
+ROUNDS = 16
+#: Classes by size and hash in which the cells of a round are admitted; a bound of the tables that quotas are found on.
 CLASSES = 1024
-#: Rows of a cell at most, whatever the shard's size.
-CELL_ROWS = 1_000_000
-#: Large groups up to so many are broadcast.
+#: Groups and cells are broadcast if they have more than 1 / BROADCAST_ROWS of all rows, of which there can't be more.
 BROADCAST_ROWS = 100_000
 #: Rows of a bucket, within which slots are numbered by one task, on average.
 BUCKET_ROWS = 250_000
@@ -32,44 +34,45 @@ def sizes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(F.col(id_col), (F.octet_length(raw).cast("long") + 16).alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.md5(raw)).alias("key"))
 
 
-def _cells(docs: DataFrame, id_col: str, quota: int, total: int) -> tuple[DataFrame, DataFrame]:
-    """The documents with links and their cell, and those without."""
-    limit = max(1, min(quota // 8, CELL_ROWS))
-    groups = docs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    large = groups.filter(F.col("n") > limit).withColumn("dealt", F.ceil(F.col("n") / limit).cast("int")).select("key", "dealt")
-    if total // limit <= BROADCAST_ROWS:  # each large group has more than limit rows
-        large = F.broadcast(large)
+def _by_size(df: DataFrame, other: DataFrame, column: str, size: str, bound: int) -> DataFrame:
+    """df joined (left) with other by column; other's rows with a size over bound are broadcast, so that no key with many rows is shuffled."""
+    out = df.join(F.broadcast(other.filter(F.col(size) > bound)), column, "left")
+    if not bound:
+        return out
+    values = [c for c in other.columns if c != column]
+    rest = other.filter(F.col(size) <= bound).select(column, *(F.col(c).alias(f"__{c}") for c in values))
+    return out.join(rest, column, "left").withColumns({c: F.coalesce(c, f"__{c}") for c in values}).drop(*(f"__{c}" for c in values))
+
+
+def _cells(docs: DataFrame, id_col: str, quota: int, bound: int) -> DataFrame:
+    """docs with their cell; null for documents without links. A group is dealt into cells that are smaller than the quota by four standard deviations of what chance puts into them."""
+    groups = docs.filter("key is not null").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    mean = max(1.0, ((quota + 4) ** 0.5 - 2) ** 2)
+    groups = groups.withColumn("dealt", F.when(F.col("n") > quota, F.ceil(F.col("n") / mean)).otherwise(1).cast("long"))
+    joined = _by_size(docs, groups, "key", "n", bound)
     row = F.xxhash64(F.col(id_col), F.col("size"))
-    dealt = docs.join(large, "key", "left")
-    in_large = dealt.filter("dealt is not null").withColumn("cell", F.xxhash64("key", F.pmod(row, F.col("dealt")))).drop("dealt")
-    rest = dealt.filter("dealt is null").drop("dealt")
-    small = groups.filter(F.col("n") <= limit).select("key", F.lit(1).alias("linked"))
-    rest = rest.join(small, "key", "left")
-    linked = in_large.unionByName(rest.filter("linked = 1").withColumn("cell", F.xxhash64("key")).drop("linked"))
-    return linked, rest.filter("linked is null").drop("linked")
-
-
-def _round(state: DataFrame, quotas: list[int], turn: int) -> DataFrame:
-    """One round: every cell's target, quotas by classes of cells, the admitted cells' documents at their target."""
-    spark, shards = state.sparkSession, len(quotas)
-    held = state.groupBy("cell", "shard").agg(F.count("*").alias("n"))
-    load = dict.fromkeys(range(shards), 0) | {r.shard: r.n for r in held.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row for each shard
-    room = F.create_map(*(F.lit(x) for s in range(shards) for x in (s, max(0, quotas[s] - load[s]))))
-    best = held.groupBy("cell").agg(
-        F.sum("n").alias("rows"),
-        F.max(F.struct(F.when(room[F.col("shard")] > 0, F.col("n")).otherwise(0).alias("n"), F.xxhash64("cell", "shard", F.lit(turn)).alias("tie"), F.col("shard"))).alias("best"),
-    )
-    movers = best.filter("best.n > 0 and best.n < rows").select(
-        "cell", F.col("best.shard").alias("target"), (F.col("rows") - F.col("best.n")).alias("coming"), F.pmod(F.xxhash64("cell", F.lit(-1 - turn)), F.lit(CLASSES)).cast("int").alias("class")
-    )
-    by_class = movers.groupBy("target", "class").agg(F.sum("coming").alias("coming"))  # at most shards x CLASSES rows
-    upto = by_class.withColumn("upto", F.sum("coming").over(Window.partitionBy("target").orderBy("class")))
-    last = {r.target: r["class"] for r in upto.filter(F.col("upto") <= room[F.col("target")]).groupBy("target").agg(F.max("class").alias("class")).collect()}
+    return joined.withColumn("cell", F.when(F.col("n").isNotNull(), F.xxhash64("key", F.pmod(row, F.col("dealt"))))).drop("n", "dealt")
+
+
+def _round(votes: DataFrame, room: list[int], turn: int, scratch: Scratch) -> tuple[DataFrame, dict[int, int]] | None:
+    """The cells that one round settles (cell, rows, target), and the rows that each shard gets. votes: cell, rows, shard, n: how many of the cell's rows are in the shard."""
+    rooms = F.array(*(F.lit(int(x)).cast("long") for x in room))
+    fits = F.filter(F.sequence(F.lit(0), F.lit(len(room) - 1)), lambda s: rooms[s] >= F.col("rows"))
+    best = votes.groupBy("cell").agg(
+        F.max("rows").alias("rows"),
+        F.max(F.struct(F.when(rooms[F.col("shard")] >= F.col("rows"), F.col("n")).otherwise(0).alias("n"), F.xxhash64("cell", "shard", F.lit(turn)).alias("tie"), F.col("shard"))).alias("best"),
+    ).withColumn("fits", fits)
+    other = F.element_at("fits", (F.pmod(F.xxhash64("cell", F.lit(turn)), F.size("fits")) + 1).cast("int"))
+    order = (63 - F.floor(F.log2("rows"))) * CLASSES + F.pmod(F.xxhash64("cell", F.lit(-1 - turn)), F.lit(CLASSES))  # large ones first
+    movers = best.filter(F.size("fits") > 0).select("cell", "rows", F.when(F.col("best.n") > 0, F.col("best.shard")).otherwise(other).alias("target"), order.alias("class"))
+    movers = scratch.save(movers, f"movers{turn}")
+    by_class = movers.groupBy("target", "class").agg(F.sum("rows").alias("rows"))  # at most shards x 64 x CLASSES rows
+    upto = by_class.withColumn("upto", F.sum("rows").over(Window.partitionBy("target").orderBy("class"))).filter(F.col("upto") <= rooms[F.col("target")])
+    last = {r.target: (r["class"], r.upto) for r in upto.groupBy("target").agg(F.max("class").alias("class"), F.max("upto").alias("upto")).collect()}  # a row for each shard
     if not last:
-        return state
-    admitted = movers.filter(F.col("class") <= F.create_map(*(F.lit(x) for s in range(shards) for x in (s, last.get(s, -1))))[F.col("target")])
-    moved = state.join(admitted.select("cell", "target"), "cell", "left")
-    return moved.withColumn("shard", F.coalesce("target", "shard")).drop("target")
+        return None
+    ends = F.array(*(F.lit(int(last[s][0]) if s in last else -1).cast("long") for s in range(len(room))))
+    return movers.filter(F.col("class") <= ends[F.col("target")]).select("cell", "rows", "target"), {s: n for s, (_, n) in last.items()}
 
 
 def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
@@ -81,28 +84,36 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", rounds: int = RO
     empty result. Per-shard numbers, one row for each shard, are all that comes
     to the driver.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     docs = scratch.save(docs, "docs")
     total = docs.count()
+    bound = total // BROADCAST_ROWS
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
-    keyed, keyless = docs.filter("key is not null"), docs.filter("key is null")
-    linked, single = _cells(keyed, id_col, max(1, total // shards), total)
     first = F.pmod(F.xxhash64(F.col(id_col), F.col("size")), F.lit(shards)).cast("int")
-    state = scratch.save(linked.withColumn("shard", first), "state0")
+    state = scratch.save(_cells(docs, id_col, max(1, total // shards), bound).withColumn("shard", first), "state")
+    held = state.filter("cell is not null").groupBy("cell", "shard").agg(F.count("*").alias("n"))
+    rows = held.groupBy("cell").agg(F.sum("n").alias("rows"))
+    votes, room, settled = scratch.save(held.join(rows, "cell"), "votes"), list(quotas), None
     for turn in range(rounds):
-        after = _round(state, quotas, turn)
-        if after is state:
+        found = _round(votes, room, turn, scratch)
+        if found is None:
+            break
+        new = scratch.save(found[0], f"settled{turn}")
+        settled = new if settled is None else settled.unionByName(new)
+        room = [r - found[1].get(s, 0) for s, r in enumerate(room)]
+        votes = scratch.save(votes.join(new.select("cell"), "cell", "left_anti"), f"votes{turn}")
+        if votes.isEmpty():
             break
-        state = scratch.save(after, f"state{turn + 1}")
-        scratch.drop(f"state{turn}")
-    alone = single.unionByName(keyless).withColumn("shard", first).withColumn("cell", F.lit(None).cast("long"))
-    placed = scratch.save(state.unionByName(alone).drop("key"), "placed")
-    return _filled(placed, quotas, total, id_col)
+    if settled is None:
+        placed = state.withColumn("target", F.lit(None).cast("int"))
+    else:
+        placed = _by_size(state, settled, "cell", "rows", bound).drop("rows")
+    placed = placed.withColumn("settled", F.col("target").isNotNull()).withColumn("shard", F.coalesce("target", "shard")).drop("target", "key", "cell")
+    return _filled(scratch.save(placed, "placed"), quotas, total, id_col)
 
 
 def _filled(placed: DataFrame, quotas: list[int], total: int, id_col: str) -> DataFrame:
-    """Exact quotas: what a shard has too much goes, documents without links first, to the shards that have too little."""
+    """Exact quotas: what a shard has too much goes, documents that aren't settled first, to the shards that have too little."""
     shards = len(quotas)
     held = dict.fromkeys(range(shards), 0) | {r.shard: r["count"] for r in placed.groupBy("shard").count().collect()}
     surplus = [max(0, held[s] - quotas[s]) for s in range(shards)]
@@ -111,11 +122,11 @@ def _filled(placed: DataFrame, quotas: list[int], total: int, id_col: str) -> Da
     # rank of a row within its shard: rows before its bucket, and its place within the bucket
     buckets = max(8, total // shards // BUCKET_ROWS)
     row = F.xxhash64(F.col(id_col), "size", "text_crc32") if "text_crc32" in placed.columns else F.xxhash64(F.col(id_col), "size")
-    bucket = F.when(F.col("cell").isNull(), F.pmod(row, F.lit(buckets))).otherwise(F.pmod(F.xxhash64("cell"), F.lit(buckets)) + buckets)
+    bucket = F.pmod(row, F.lit(buckets)) + F.when(F.col("settled"), buckets).otherwise(0)
     placed = placed.withColumn("bucket", bucket.cast("int"))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     offsets = counts.withColumn("offset", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).drop("n")
-    inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("cell", id_col, "size")) - 1
+    inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(id_col, "size")) - 1
     ranked = placed.withColumn("inside", inside).join(offsets, ["shard", "bucket"]).withColumn("rank", F.col("inside") + F.col("offset"))
 
     def of_shard(values: list[int], column: str = "shard"):
@@ -129,5 +140,5 @@ def _filled(placed: DataFrame, quotas: list[int], total: int, id_col: str) -> Da
     starts = [e - d for e, d in zip(ends, deficit)]
     kept = [held[s] - surplus[s] for s in range(shards)]
     slot = F.when(F.col("pool").isNull(), F.col("rank") - of_shard(surplus)).otherwise(of_shard(kept, "target") + F.col("pool") - of_shard(starts, "target"))
-    own = [c for c in placed.columns if c not in ("shard", "cell", "bucket")]
+    own = [c for c in placed.columns if c not in ("shard", "settled", "bucket")]
     return ranked.select(*own, F.coalesce("target", "shard").cast("int").alias("shard"), slot.cast("long").alias("slot"))
