@@ -90,3 +90,16 @@ def join_ids(df: DataFrame, ids: DataFrame, column: str, how: str, scratch: Scra
     """df's rows with (left_semi) or without (left_anti) these ids, which are written and counted first, so that df is shuffled only for many ids. Rows with a null id count as not among them."""
     ids = scratch.save(ids.filter(F.col(column).isNotNull()).distinct(), name)
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
+
+
+def text_key(text_col: str) -> Column:
+    """The MD5 digest of the text; a null text is an empty one."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+
+
+def join_rows(df: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str, scratch: Scratch, name: str) -> DataFrame:
+    """df's rows with (left_semi) or without (left_anti) the ids and texts of rows (id, text_key), as in join_ids. Other texts of an id aren't touched."""
+    rows = scratch.save(rows.toDF("__own_id", "__own_key").filter("__own_id is not null").distinct(), name)
+    few = rows.count() <= BROADCAST_IDS
+    rows = F.broadcast(rows) if few else rows
+    return df.join(rows, (df[id_col] == rows["__own_id"]) & (text_key(text_col) == rows["__own_key"]), how)
