@@ -8,7 +8,6 @@ cached inverse Cholesky factors) and of the classes' shares.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, slices, text_key
 
-STATISTICS = ("words", "word_length", "distinct", "upper", "symbols", "digits", "stops", "repeated_lines", "commonest", "adjacent", "line_length", "odd_ends")
+STATISTICS = ("words", "word_length", "distinct", "upper", "symbols", "digits", "points", "repeated_lines", "commonest", "adjacent", "line_length", "odd_ends")
 #: Shrinkage towards the pooled covariance, then towards the diagonal; the least variance.
 POOLED, DIAGONAL, LEAST = 0.2, 0.05, 1e-4
 #: Log density differences are divided by this before the logistic, as statistics aren't quite normal.
@@ -62,16 +61,16 @@ def statistics(text: str) -> list[float]:
 
 
 def with_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and the statistics as columns, for every row; null and empty texts have zeros."""
-    source = df.select(id_col, text_col)
+    """id_col, text_key and the statistics as columns, for every row; null and empty texts have zeros."""
+    source = df.select(id_col, text_col, text_key(text_col).alias("text_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             x = np.array([statistics(t) for t in texts], np.float64)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in x.T)], names=[id_col, *STATISTICS])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(c) for c in x.T)], names=[id_col, "text_key", *STATISTICS])
 
     kind = source.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{x} double" for x in STATISTICS)]))
+    return source.mapInArrow(run, ", ".join([f"`{id_col}` {kind}", "text_key binary", *(f"{x} double" for x in STATISTICS)]))
 
 
 @dataclass
@@ -134,7 +133,7 @@ def fit(learned: DataFrame, label: str, columns: tuple[str, ...] = STATISTICS) -
 
 
 def score_quality(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> DataFrame:
-    """id_col and score (0 to 1, higher: label 1 likelier) of every row of df.
+    """id_col, text_key (MD5 of the text) and score (0 to 1, higher: label 1 likelier) of every row of df.
 
     labels: id_col and the label; rows with null or other labels and ids that
     df lacks teach nothing; an id with several labels teaches each. learn: a
@@ -146,4 +145,4 @@ def score_quality(df: DataFrame, labels: DataFrame, learn: Column, id_col: str =
     stats = scratch.save(with_statistics(df, id_col, text_col), "statistics")
     known = labels.select(F.col(id_col), F.col(label).alias("__label")).filter(learn & F.col(id_col).isNotNull())
     model = fit(stats.join(known, id_col), "__label")
-    return stats.select(id_col, (model.score() if model else F.lit(0.5)).alias("score"))
+    return stats.select(id_col, "text_key", (model.score() if model else F.lit(0.5)).alias("score"))
