@@ -17,10 +17,11 @@ from .common import slices, small_batches
 #: Families (fixed values; a parameter). A language in none is a family of its own.
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance"}
 UNKNOWN = "und"
-#: Hash buckets of byte pairs and triples, and rows of each language that are learned from at most (the first by a hash of the id).
-WIDTH, FIT_ROWS = 2048, 1000
-#: Languages at most; with more, those with the most rows are learned.
-LANGUAGES = 64
+#: Hash buckets of byte pairs and triples.
+WIDTH = 2048
+#: Different texts of each language that are learned from at most (the first by a hash of id and text), and those of all
+#: languages together: where many languages would exceed it, each has an equal part, one at least.
+FIT_ROWS, FIT_ALL = 1000, 32_000
 STEPS, RIDGE = 200, 1e-4
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -105,22 +106,28 @@ def train(x: np.ndarray, langs: list[str], families: dict[str, str] = FAMILIES)
 
 
 def fit(df: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, families: dict[str, str]) -> Hierarchy:
-    """The machines from at most FIT_ROWS rows of each language, whose vectors come to the driver."""
-    known = df.select(F.col(id_col), F.col(lang_col).cast("string").alias("__lang")).filter(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    common = [r["__lang"] for r in known.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(LANGUAGES).collect()]
-    if not common:
+    """The machines from a bounded number of rows of each language, whose vectors come to the driver. Rows, not ids, are chosen, and equal rows once, so that an id with many rows teaches no more than others."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    known = df.filter(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}  # a row for each language
+    if not sizes:
         return Hierarchy()
-    sample = None
-    for lang in common:  # each is a bounded top list, so that no task holds all rows of a language
-        own = known.filter(F.col("__lang") == lang).orderBy(F.xxhash64(id_col)).limit(FIT_ROWS)
-        sample = own if sample is None else sample.unionByName(own)
-    rows = df.select(id_col, text_col).join(F.broadcast(sample.dropDuplicates([id_col])), id_col)  # LANGUAGES x FIT_ROWS rows
+    each = max(1, min(FIT_ROWS, FIT_ALL // len(sizes)))
+    # a cut on the hash leaves some more than are wanted of each language, so that what is ranked and sent is small
+    cuts = [(lang, min(int((1.5 * each + 20) / max(1, n) * 2.0**64) - (1 << 63), (1 << 63) - 1)) for lang, n in sizes.items()]
+    cuts = F.broadcast(df.sparkSession.createDataFrame(cuts, "lang string, cut long"))
+    chosen = known.join(cuts, "lang").filter(F.col("key") <= F.col("cut"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, 0):
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array([vector(t).astype(np.float16).tobytes() for t in texts], pa.binary())], names=["lang", "x"])
-
-    data = rows.select(text_col, "__lang").mapInArrow(run, "lang string, x binary").collect()
+        seen = set()
+        for part, texts in slices(batches, 1):
+            rows = [k for k, x in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())) if not (x in seen or seen.add(x))]
+            made = pa.array([vector(texts[k]).astype(np.float16).tobytes() for k in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), part.column(2).take(pa.array(rows, pa.int64())), made], names=["lang", "key", "x"])
+
+    made = chosen.select("lang", "text", "key").mapInArrow(run, "lang string, key long, x binary").dropDuplicates(["lang", "key"])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("key"))  # over some 1.5 * each rows
+    data = made.withColumn("place", first).filter(F.col("place") <= each).orderBy("lang", "key").collect()
     x = np.frombuffer(b"".join(r.x for r in data), np.float16).reshape(len(data), WIDTH).astype(np.float32)
     return train(x, [r.lang for r in data], families)
 
