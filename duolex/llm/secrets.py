@@ -23,14 +23,16 @@ KINDS = ("assign", "access", "hex", "random")
 #: What the token test looks at: runs of so many characters and more.
 LEAST = 16
 RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}")
-#: A run is random below so many characters a token.
-RATIO = 2.0
+#: A run is random below so many characters a token. Words may be of a language that the vocabulary cuts up; runs of them are so below the second number.
+RATIO, WORD_RATIO = 2.0, 1.5
 #: Known digests: hexadecimal in either case, by the lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_CHARS = (32, 40, 56, 64, 96, 128)
-#: Identifiers: UUIDs, and words of letters joined by signs, with a number at most at a word's end.
+#: Identifiers.
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-WORDS = re.compile(r"[+/_=-]*+[A-Za-z]++(?:[+/_=-]++[A-Za-z]++)*+[0-9]{0,4}+[+/_=-]*+")
+#: Words of one case or with a capital first, joined by signs, with a number at most at the end.
+_WORD = "(?:[A-Z]?+[a-z]++|[A-Z]++)(?![A-Za-z])"
+WORDS = re.compile(rf"[+/_=-]*+{_WORD}(?:[+/_=-]++{_WORD})*+[0-9]{{0,4}}+[+/_=-]*+")
 #: Plain numbers, dates and phone or card numbers.
 NUMBER = re.compile(r"[0-9+/_=-]+")
 
@@ -48,15 +50,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def random_spans(text: str, count_tokens) -> list[tuple[int, int, str]]:
-    """Runs that take many tokens for their length and are no digest, identifier or number."""
+    """Runs that take many tokens for their length and are no number, known digest or identifier."""
     found = []
     for m in RUN.finditer(text):
         run = m[0]
-        if run.isalpha() or NUMBER.fullmatch(run) or WORDS.fullmatch(run) or UUID.fullmatch(run) or len(run) in DIGEST_CHARS and DIGEST.fullmatch(run):
+        if NUMBER.fullmatch(run) or UUID.fullmatch(run) or len(run) in DIGEST_CHARS and DIGEST.fullmatch(run):
             continue
-        if not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
-            continue
-        if len(run) < RATIO * count_tokens(run):
+        if len(run) < (WORD_RATIO if WORDS.fullmatch(run) else RATIO) * count_tokens(run):
             found.append((m.start(), 3, m.end()))
     return found
 
