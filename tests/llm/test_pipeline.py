@@ -30,7 +30,25 @@ def test_stages_against_brute_force(spark):
 
 
 def test_stages_on_odd_rows(spark, odd, none):
-    for docs in (odd, none):
-        for _, stage in cp.STAGES:
-            out = stage(spark, docs, SF)
-            assert out.count() <= docs.count()
+    """What each stage keeps: the only copies are those of row 1; nothing is rejected, leaked or rewritten but row 9's address."""
+    texts = sorted((str(r.doc_id), r.text or "") for r in odd.collect())
+    kept = {k: sorted((str(r.doc_id), r.text or "") for r in stage(spark, odd, SF).collect()) for k, (_, stage) in enumerate(cp.STAGES[:-1])}
+    assert set(kept[0]) <= set(texts) and {i for i, _ in texts if i == "None"} <= {i for i, _ in kept[0]}
+    once = set(texts) - {("10", "A plain text of some words, with a few more of them."), ("3", "")}
+    assert sorted(set(kept[1])) == sorted(once) and kept[1].count(("None", "")) == 1
+    assert kept[2] == texts
+    assert [x for x in kept[3] if x not in texts] == [("9", texts[[i for i, _ in texts].index("9")][1].replace("a@b.co", "[EMAIL]"))] and len(kept[3]) == len(texts)
+    assert cp.STAGES[-1][1](spark, odd, SF).count() == len(texts)
+    for _, stage in cp.STAGES:
+        assert stage(spark, none, SF).count() == 0
+
+
+def test_other_texts_of_an_id_stay(spark):
+    """An id with a clean text and a leak, a copy or junk loses only that."""
+    item = cp.table(spark, SF, "benchmark").first().text
+    clean = cp.table(spark, SF, "labels").filter("quality = 1 and toxic = 0").join(cp.table(spark, SF, "documents"), "doc_id").orderBy("doc_id").limit(3).collect()
+    rows = [(1, clean[0].text), (1, item), (2, clean[1].text), (2, clean[0].text), (3, clean[2].text), (3, "!!! ??? " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text for r in cp.benchmark_decontamination(spark, docs, SF).collect() if r.doc_id == 1) == [clean[0].text]
+    assert sorted(r.text for r in cp.ngram_jaccard_join(spark, docs, SF).collect() if r.doc_id == 2) == [clean[1].text]
+    assert clean[2].text in [r.text for r in cp.quality_classifier(spark, docs, SF).collect() if r.doc_id == 3]
