@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duolex.llm.bpe import encode_decode
-from duolex.llm.common import Scratch, join_ids, remainder, table
+from duolex.llm.common import Scratch, join_rows, remainder, table
 from duolex.llm.decontaminate import drop_leaks
 from duolex.llm.nearjoin import drop_near_copies
 from duolex.llm.pii import find_personal_data, redact
@@ -16,18 +16,23 @@ from duolex.llm.queries import token_digests
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is under KEEP go. Labels of documents that the operator's query holds out teach nothing here either. Rows with a null id stay."""
+    """Documents whose score is under KEEP go. Labels of documents that the operator's query holds out teach nothing here either.
+
+    Rows are told apart by id and text: other texts of an id are judged for
+    themselves. Rows with a null id stay.
+    """
     scored = score_quality(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
-    return join_ids(docs, scored.filter(F.col("score") < KEEP).select("doc_id"), "doc_id", "left_anti", Scratch(spark), "rejected")
+    rejected = scored.filter(F.col("score") < KEEP).select("doc_id", "text_key")
+    return join_rows(docs, rejected, "doc_id", "text", "left_anti", Scratch(spark), "rejected")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays."""
+    """Of each group of near copies the document with the least id stays. Rows are told apart by id and text."""
     return drop_near_copies(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; other texts of their ids stay, and so do rows with a null id."""
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
