@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRANSIENT = "timed out|timeout|temporarily|connection reset|connection refused|connection aborted|too many requests|http error (429|500|502|503|504)"
+# Marks of errors that may pass.
+TRANSIENT = (
+    "connection refused", "connection reset", "remote end closed", "temporarily unavailable", "timed out", "timeout",
+    "http error 429", "http error 500", "http error 502", "http error 503", "http error 504",
+)
 
 
 def transient(error: Column) -> Column:
-    return F.lower(F.coalesce(error, F.lit(""))).rlike(TRANSIENT)
+    return F.lower(F.coalesce(error, F.lit(""))).rlike("|".join(TRANSIENT))
 
 
 def replace_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

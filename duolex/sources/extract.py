@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from ..operators.vectors import optional
 
-SKIPPED = frozenset(("script", "style", "noscript", "svg"))
-BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+# Tags whose text is left out, and tags that begin and end a paragraph.
+SKIPPED = ("script", "style", "noscript", "svg")
+BLOCKS = (
+    "article", "blockquote", "dd", "div", "dl", "dt", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header",
+    "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul",
+)
 
 
 class Page(HTMLParser):
@@ -34,7 +38,7 @@ class Page(HTMLParser):
         own = dict(attrs)
         self._skip += tag in SKIPPED
         self._in_title |= tag == "title"
-        if tag in BLOCKS:
+        if tag in BLOCKS or tag == "br":
             self.flush()
         if tag == "a" and own.get("href"):
             self.links.append(urljoin(self.base, own["href"]))

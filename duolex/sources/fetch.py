@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
+from functools import reduce
+from operator import or_
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .extract import parse_page
@@ -15,8 +17,15 @@ from .extract import parse_page
 #: Takes an address, returns (final address, content type, content).
 Fetcher = Callable[[str], tuple[str, str, bytes]]
 CAPTURE = "key string, url string, final_url string, content_type string, content binary, byte_count long, sha256 string, retrieved_at string, error string"
-# Marks of pages that only ask for a proof.
-CHALLENGES = (b"captcha", b"cf-challenge", b"just a moment", b"attention required")
+# Marks of pages that only ask for a proof, and the bytes at a page's beginning that are looked at.
+CHALLENGES = ("/.well-known/sgcaptcha/", "cf-chl-", "cloudflare ray id", "<title>just a moment")
+CHALLENGE_BYTES = 16_384
+
+
+def challenged(html: Column) -> Column:
+    """Whether a page's beginning has one of CHALLENGES."""
+    start = F.lower(F.substring(html, 1, CHALLENGE_BYTES))
+    return reduce(or_, (F.contains(start, F.lit(c)) for c in CHALLENGES))
 
 
 def http_fetcher(agent: str, timeout: float) -> Fetcher:
@@ -38,7 +47,7 @@ def capture(key: str, urls: list[str], fetcher: Fetcher) -> tuple:
             continue
         try:
             final, kind, content = fetcher(url)
-            if kind in ("text/html", "application/xhtml+xml") and any(c in content[:16384].lower() for c in CHALLENGES):
+            if kind in ("text/html", "application/xhtml+xml") and any(c.encode() in content[:CHALLENGE_BYTES].lower() for c in CHALLENGES):
                 raise ValueError("access challenge")
             return key, url, final, kind, content, len(content), hashlib.sha256(content).hexdigest(), now, None
         except Exception as e:  # noqa: BLE001

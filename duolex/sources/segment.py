@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-# Abbreviations after which a sentence goes on.
-ABBREVIATIONS = frozenset(("dr.", "mr.", "mrs.", "ms.", "jr.", "sr.", "st.", "vs.", "etc.", "e.g.", "i.e.", "u.s.", "no.", "inc."))
-CLOSERS, OPENERS = "\"')]}”’", "\"'“‘(["
-_STOP = re.compile(rf"[.?!][{re.escape(CLOSERS)}]*")
+# Abbreviations after which a sentence goes on, marks that belong to the sentence before them, and marks that open one.
+ABBREVIATIONS = (
+    "dr.", "e.g.", "i.e.", "jr.", "mr.", "mrs.", "ms.", "no.", "prof.", "sr.", "st.", "u.k.", "u.s.", "vs.",
+)
+CLOSERS = ('"', "'", ")", "]", "}", "”", "’")
+OPENERS = ('"', "'", "“", "‘", "(", "[")
+# Fixed value: tokens by which segments that are joined may exceed the most, at least.
+SLACK = 5
+_STOP = re.compile(rf"[.?!][{re.escape(''.join(CLOSERS))}]*")
 _INITIALS = re.compile(r"(?:[a-z]\.)+")
 _TOKEN = re.compile(r"[a-z0-9]+(?:'[a-z0-9]+)?")
 
@@ -48,38 +53,37 @@ def token_count(text: str) -> int:
     return len(_TOKEN.findall(text.casefold()))
 
 
+def runs(sizes: list[int], stays: Callable[[int, int, int], bool], least: int, most: float) -> list[list[int]]:
+    """Places of consecutive sizes, gathered in order into runs.
+
+    A size goes into the last run if stays(the run's total, its members, the
+    size), else it opens a run. A last run under least goes into the one before
+    it if both together are at most most. No place is lost or moved.
+    """
+    made, totals = [], []
+    for place, size in enumerate(sizes):
+        if made and stays(totals[-1], len(made[-1]), size):
+            made[-1].append(place)
+            totals[-1] += size
+        else:
+            made.append([place])
+            totals.append(size)
+    if len(made) > 1 and totals[-1] < least and totals[-2] + totals[-1] <= most:
+        made[-2:] = [made[-2] + made[-1]]
+    return made
+
+
 def packed(text: str, least: int = 20, most: int = 80) -> list[str]:
     """Segments of at least least tokens where the text allows: long paragraphs are cut at sentences, short ones are joined to what follows."""
-    units: list[tuple[str, int]] = []
+    top = most + max(SLACK, least // 2)
+    units = []
     for paragraph in blocks(text):
-        if token_count(paragraph) <= most:
-            units.append((paragraph, token_count(paragraph)))
-            continue
-        groups: list[list[str]] = [[]]
-        size = 0
-        for sentence in sentences(paragraph):
-            n = token_count(sentence)
-            if groups[-1] and size + n > most and (size >= least or len(groups[-1]) > 1):
-                groups.append([])
-                size = 0
-            groups[-1].append(sentence)
-            size += n
-        if len(groups) > 1 and sum(map(token_count, groups[-1])) < least:
-            short = groups.pop()
-            groups[-1] += short
-        units += [(" ".join(g), sum(map(token_count, g))) for g in groups]
-    top = most + max(5, least // 2)
-    merged: list[list[tuple[str, int]]] = []
-    for unit in units:
-        size = sum(n for _, n in merged[-1]) if merged else least
-        if size < least and size + unit[1] <= top:
-            merged[-1].append(unit)
-        else:
-            merged.append([unit])
-    if len(merged) > 1 and sum(n for _, n in merged[-1]) < least and sum(n for g in merged[-2:] for _, n in g) <= top:
-        short = merged.pop()
-        merged[-1] += short
-    return ["\n\n".join(x for x, _ in g) for g in merged]
+        parts = sentences(paragraph) if token_count(paragraph) > most else [paragraph]
+        # a lone short sentence takes the next one along whatever its length
+        own = runs([*map(token_count, parts)], lambda total, n, size: total + size <= most or n == 1 and total < least, least, float("inf"))
+        units += [" ".join(parts[k] for k in run) for run in own]
+    joined = runs([*map(token_count, units)], lambda total, n, size: total < least and total + size <= top, least, top)
+    return ["\n\n".join(units[k] for k in run) for run in joined]
 
 
 def _exploded(df: DataFrame, id_col: str, text_col: str, cut) -> DataFrame:

@@ -53,7 +53,7 @@ def retry_ledger(stream: DataFrame, key: str, most: int = 2) -> DataFrame:
             done = done or bool(batch["error"].isna().any())
             error = batch["error"].iloc[-1]
         state.update((tries, done))
-        again = not done and tries < most and pd.Series([error]).str.lower().str.contains(TRANSIENT).fillna(False).iloc[0]
+        again = not done and tries < most and pd.Series([error]).str.lower().str.contains("|".join(TRANSIENT)).fillna(False).iloc[0]
         yield pd.DataFrame({key: [keys[0]], "tries": [tries], "status": ["done" if done else "retry" if again else "failed"]})
 
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, tries long, status string", "tries long, done boolean", "update", GroupStateTimeout.NoTimeout)
