@@ -106,26 +106,91 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column | str], k:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).filter(F.col("rank") <= k)
 
 
-def components(edges: DataFrame, src: str, dst: str, rounds: int = 30) -> DataFrame:
-    """node, component (its least node) by min-label propagation with pointer jumping; checkpointed each round."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
+def scratch_folder(spark) -> str:
+    """The session's checkpoint folder, which all executors share. A local session without one gets a temporary folder."""
+    context = spark.sparkContext
+    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not root:
         import tempfile
 
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="duolex-"))
-    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).unionByName(edges.select(F.col(dst).alias("a"), F.col(src).alias("b"))).distinct().checkpoint()
-    roots = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")).checkpoint()
-    for _ in range(rounds):
+        root = tempfile.mkdtemp(prefix="duolex-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
+    return root
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written in scratch_folder and read from there, so that its lineage ends."""
+    scratch_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """node, component (its least node) by min-label propagation with pointer jumping; checkpointed each round, until nothing changes."""
+    both = checkpointed(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).unionByName(edges.select(F.col(dst).alias("a"), F.col(src).alias("b"))).distinct())
+    roots = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
+    while True:
         near = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         up = roots.select(F.col("node").alias("component"), F.col("component").alias("up"))
         after = roots.join(near, "node").join(up, "component", "left")
-        after = after.select("node", F.least("component", "near", F.coalesce("up", "component")).alias("component"), F.col("component").alias("was")).checkpoint()
-        if after.filter("component <> was").isEmpty():
-            break
+        after = checkpointed(after.select("node", F.least("component", "near", F.coalesce("up", "component")).alias("component"), F.col("component").alias("was")))
         roots = after.drop("was")
-    return roots
+        if after.filter("component <> was").isEmpty():
+            return roots
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: tuple[float, ...], accuracy: int = 10_000) -> DataFrame:
+    """keys and q0, q1, ...: the exact quantiles of each group, between neighbouring values by their distance.
+
+    An approximate quantile within 1 / accuracy of the rows brackets each; only
+    what lies in the brackets is ranked, after the rows below are counted. No
+    task holds a group's values.
+    """
+    own = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v is not null")
+    edges = [min(1.0, max(0.0, s + d)) for s in shares for d in (-2 / accuracy, 2 / accuracy)]
+    bounds = own.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__v", edges, accuracy).alias("__e"))
+    bounds = checkpointed(bounds.select(*keys, "__n", *(F.col("__e")[2 * k + j].alias(f"__{n}{k}") for k in range(len(shares)) for j, n in enumerate(("lo", "hi")))))
+
+    def match(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b, keys) if keys else a.crossJoin(F.broadcast(b))  # one row
+
+    joined = match(own, bounds)
+    ks, v = range(len(shares)), F.col("__v")
+    outside = joined.groupBy(*keys).agg(*(f for k in ks for f in (
+        F.count_if(v < F.col(f"__lo{k}")).alias(f"__below{k}"), F.max(F.when(v < F.col(f"__lo{k}"), v)).alias(f"__before{k}"), F.min(F.when(v > F.col(f"__hi{k}"), v)).alias(f"__after{k}"),
+    )))
+    inside = checkpointed(joined.filter(" or ".join(f"__v between __lo{k} and __hi{k}" for k in ks)).groupBy(*keys, "__v").agg(F.count("*").alias("__c")))
+    rows, made = match(inside, checkpointed(match(bounds, outside))), None
+    for k, s in enumerate(shares):
+        upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__v")) + F.col(f"__below{k}")
+        ranked = rows.filter(v.between(F.col(f"__lo{k}"), F.col(f"__hi{k}"))).withColumn("__upto", upto).withColumn("__at", (F.col("__n") - 1) * F.lit(s))
+
+        def at(place: Column, k: int = k) -> Column:
+            found = F.coalesce(F.min(F.when(F.col("__upto") > place, v)), F.max(f"__after{k}"))
+            return F.when(F.max(place) < F.max(f"__below{k}"), F.max(f"__before{k}")).otherwise(found)
+
+        low, high = at(F.floor("__at")), at(F.ceil("__at"))
+        own = ranked.groupBy(*keys).agg((low + (high - low) * F.max(F.col("__at") - F.floor("__at"))).alias(f"q{k}"))
+        made = own if made is None else match(made, own)
+    return made
+
+
+def best_pairs(df: DataFrame, keys: list[str], order: str, kind: str) -> DataFrame:
+    """keys, left_key, right_key: the first unordered pair of each group, rows of unlike kinds before like ones, then by order.
+
+    The first pair is the least row with the least one of another kind, or the
+    two least rows where all are of a kind. So no other pair is formed.
+    """
+
+    def two_least(rows: DataFrame, column: str) -> DataFrame:
+        least = top_per_group(rows.select(*keys, column), keys, [column], 2)
+        return least.groupBy(*keys).agg(F.min(column).alias("l"), F.max(column).alias("r"), F.count("*").alias("n")).filter("n = 2")
+
+    any_ = two_least(df, order)
+    unlike = two_least(df.groupBy(*keys, kind).agg(F.min(order).alias("one")), "one").select(*keys, F.col("l").alias("ul"), F.col("r").alias("ur"))
+    return any_.join(unlike, keys, "left").select(*keys, F.coalesce("ul", "l").alias("left_key"), F.coalesce("ur", "r").alias("right_key"))
 
 
 def longest_first(rows: list[tuple[str, int]], batches: int) -> dict[str, int]:

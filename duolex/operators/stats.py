@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .relational import checkpointed
 
 
 def count_if(group: str, value: str):
@@ -21,23 +22,33 @@ def sum_if(group: str, value: str, what):
     return F.coalesce(F.sum(F.when(F.col(group) == value, what)), F.lit(0.0))
 
 
-def term_counts(df: DataFrame, id_col: str, group: str, tokens: str) -> DataFrame:
-    """id, group, total, term, n."""
-    terms = df.select(id_col, group, F.size(tokens).alias("total"), F.explode_outer(tokens).alias("term")).filter("term is not null")
-    return terms.groupBy(id_col, group, "total", "term").agg(F.count("*").alias("n"))
+def term_sums(df: DataFrame, group: str, tokens: str, pair: tuple[str, str]) -> DataFrame:
+    """term, df, df_0 and df_1 (documents, and those of each group), tf_0 and tf_1 (sums of the term's shares of the groups' documents).
+
+    A document gives a row for each token, with its part of the document, and
+    one for each different token, so that all is summed by term at once and no
+    shuffle has documents in its key. The row without a term counts documents
+    that have tokens.
+    """
+    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("share"), F.lit(1).alias("first")))
+    each = F.transform(tokens, lambda t: F.struct(t.alias("term"), (1.0 / F.size(tokens)).alias("share"), F.lit(0).alias("first")))
+    first = F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(0.0).alias("share"), F.lit(1).alias("first")))
+    rows = df.select(group, F.explode_outer(F.when(F.size(tokens) > 0, F.concat(none, each, first))).alias("x")).filter("x is not null")
+    own = lambda g, what: F.coalesce(F.sum(F.when(F.col(group) == g, what)), F.lit(0))
+    sums = [f(g).alias(f"{n}_{k}") for k, g in enumerate(pair) for n, f in (("df", lambda g: own(g, F.col("x.first"))), ("tf", lambda g: own(g, F.col("x.share"))))]
+    return rows.groupBy(F.col("x.term").alias("term")).agg(F.sum("x.first").alias("df"), *sums)
 
 
 def group_tfidf(df: DataFrame, id_col: str, group: str, tokens: str, pair: tuple[str, str]) -> DataFrame:
     """term, the mean TF-IDF of each group's documents (empty ones included) and their difference. idf = ln((1 + N) / (1 + df)) + 1.
 
-    As idf is a factor of the term, term frequencies are summed first; one shuffle by document and term, one by term.
+    As idf is a factor of the term, term frequencies are summed first; one shuffle by term.
     """
     sizes = {r[0]: r[1] for r in df.groupBy(group).agg(F.count("*")).collect()}
     total = sum(sizes.values())
-    share = F.col("n") / F.col("total")
-    by_term = term_counts(df, id_col, group, tokens).groupBy("term").agg(F.count("*").alias("df"), *(sum_if(group, g, share).alias(g) for g in pair))
+    by_term = term_sums(df, group, tokens, pair).filter("term is not null")
     idf = F.log((1.0 + total) / (1 + F.col("df"))) + 1
-    made = by_term.select("term", *((F.col(g) * idf / max(1, sizes.get(g, 0))).alias(g) for g in pair))
+    made = by_term.select("term", *((F.col(f"tf_{k}") * idf / max(1, sizes.get(g, 0))).alias(g) for k, g in enumerate(pair)))
     return made.withColumn("difference", F.col(pair[0]) - F.col(pair[1]))
 
 
@@ -88,15 +99,12 @@ def bag_cosine(df: DataFrame, keys: list[str], group: str, tokens: str, pair: tu
 
 def hot_cold(df: DataFrame, id_col: str, group: str, tokens: str, hot: str, cold: str, least: int = 1) -> DataFrame:
     """Differences of mean TF-IDF and of normalised pointwise mutual information; documents of other groups count in the corpus only."""
-    df = df.filter(F.size(tokens) > 0)
-    sizes = {r[0]: r[1] for r in df.groupBy(group).agg(F.count("*")).collect()}
-    if not sizes.get(hot) or not sizes.get(cold):
+    sums = checkpointed(term_sums(df, group, tokens, (hot, cold)))  # a row for each term; texts are read once
+    counted = sums.filter("term is null").first()
+    if counted is None or not counted.df_0 or not counted.df_1:
         raise ValueError("both comparison groups need documents")
-    total = float(sum(sizes.values()))
-    share = F.col("n") / F.col("total")
-    by_term = term_counts(df, id_col, group, tokens).groupBy("term").agg(
-        F.count("*").alias("df"), *(count_if(group, g).alias(f"df_{k}") for k, g in enumerate((hot, cold))), *(sum_if(group, g, share).alias(f"tf_{k}") for k, g in enumerate((hot, cold)))
-    )
+    sizes, total = {hot: counted.df_0, cold: counted.df_1}, float(counted.df)
+    by_term = sums.filter("term is not null")
     by_term = by_term.filter(F.col("df") >= least)
     idf = F.log((1 + total) / (1 + F.col("df"))) + 1
 
@@ -128,7 +136,7 @@ def distinctive_terms(df: DataFrame, id_col: str, group: str, tokens: str, top:
     total = df.count()
     own = df.select(group, F.explode_outer(F.array_distinct(tokens)).alias("term")).filter("term is not null").groupBy(group, "term").agg(F.count("*").alias("c"))
     background = own.groupBy("term").agg((F.sum("c") / max(1, total)).alias("background"))
-    made = own.join(F.broadcast(sizes), group).filter(F.col("c") >= F.greatest(F.lit(3), F.floor(F.col("docs") / 100))).join(background, "term")
+    made = own.join(sizes, group).filter(F.col("c") >= F.greatest(F.lit(3), F.floor(F.col("docs") / 100))).join(background, "term")
     share = F.col("c") / F.col("docs")
     scored = made.select(group, "term", F.round(share * F.log((share + smooth) / (F.col("background") + smooth)), 8).alias("score"), F.round(share, 8).alias("share"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), F.desc("share"), F.desc("term")))
@@ -154,7 +162,7 @@ def boilerplate(df: DataFrame, id_col: str, text: str, max_tokens: int = 80, phr
     t = F.col(text)
     made = df.select(id_col, T.normalised(t).alias("norm"), F.size(T.segment_tokens(t)).alias("tc"), T.exact_hash(t).alias("eh"), T.near_hash(t).alias("nh"))
     found = [F.when(F.contains("norm", F.lit(p)), F.lit(f"phrase:{p}")) for p in sorted(phrases)]
-    slim = made.select(id_col, F.array_join(F.array_compact(F.array(*found)), " | ").alias("by_phrase"), "tc", "eh", "nh").persist()  # hashes instead of texts, read three times
+    slim = checkpointed(made.select(id_col, F.array_join(F.array_compact(F.array(*found)), " | ").alias("by_phrase"), "tc", "eh", "nh"))  # hashes instead of texts, read three times
     counted = with_counts(with_counts(slim, "eh", "ne"), "nh", "nn")
     repeated = F.when((F.col("ne") > 1) & (F.col("tc") <= max_tokens), "repeated_cross_document_exact").when((F.col("nh") != "") & (F.col("nn") > 1) & (F.col("tc") <= max_tokens), "repeated_cross_document_near")
     return counted.select(id_col, F.concat_ws(" | ", F.nullif("by_phrase", F.lit("")), repeated).alias("reasons"))
@@ -193,7 +201,7 @@ def balanced_weights(df: DataFrame, group: str, race: str, candidate: str) -> Da
     rows = df.groupBy(group, race, candidate).agg(F.count("*").alias("__n"))
     races = rows.groupBy(group, race).agg(F.count("*").alias("__c"))
     groups = races.groupBy(group).agg(F.count("*").alias("__r"))
-    weights = rows.join(races, [group, race]).join(F.broadcast(groups), group).withColumn("weight", 1.0 / F.col("__r") / F.col("__c") / F.col("__n")).drop("__n", "__c", "__r")
+    weights = rows.join(races, [group, race]).join(groups, group).withColumn("weight", 1.0 / F.col("__r") / F.col("__c") / F.col("__n")).drop("__n", "__c", "__r")
     return df.join(weights, [group, race, candidate])
 
 

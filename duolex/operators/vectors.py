@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.identity import seeded_key
+from .relational import quantiles
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -21,17 +24,26 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / good)
 
 
+#: Bytes of vectors that travel to the tasks at once, at most.
+SHARED_BYTES = 256_000_000
+
+
+def shared_vectors(df: DataFrame, id_col: str, vector: str, most: int = SHARED_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a table whose size is checked before it comes to the driver."""
+    size = df.agg(F.sum(F.size(vector) * 8).alias("bytes")).first().bytes or 0
+    if size > most:
+        raise ValueError(f"{size} bytes of vectors at once, {most} are allowed; pass a stated query set by parts")
+    rows = df.select(id_col, vector).collect()
+    return np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+
+
 def similarities(points: DataFrame, others: DataFrame, id_col: str, vector: str, block: int = 4096) -> DataFrame:
     """id_col, other, similarity of every point with every row of others by blocked matrix products.
 
     others is a stated query set or a label set; it travels to the tasks and
     must be small, which is checked. For more, call it by parts.
     """
-    rows = others.select(id_col, vector).limit(200_001).collect()
-    if len(rows) > 200_000:
-        raise ValueError("pass at most 200,000 rows at once")
-    ids = np.array([r[0] for r in rows])
-    known = np.array([r[1] for r in rows], np.float64)
+    ids, known = shared_vectors(others, id_col, vector)
     shared = points.sparkSession.sparkContext.broadcast((ids, known / np.linalg.norm(known, axis=1, keepdims=True)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,17 +97,33 @@ def mutual(edges: DataFrame) -> DataFrame:
     return ends.groupBy("source", "target").agg(F.count("*").alias("n"), F.max("similarity").alias("similarity")).filter("n = 2").drop("n")
 
 
-def nearest_label(points: DataFrame, labels: DataFrame, id_col: str, vector: str, least: float) -> DataFrame:
-    """Each point's best label (NULL below least), its similarity and its margin over the runner-up."""
-    s = similarities(points, labels, id_col, vector)
-    top = s.groupBy(id_col).agg(F.slice(F.sort_array(F.collect_list(F.struct("similarity", (-F.col("other")).alias("o"))), asc=False), 1, 2).alias("t"))
-    best, second = F.col("t")[0], F.get("t", F.lit(1))
-    return top.select(id_col, F.when(best.similarity >= least, -best.o).alias("label"), best.similarity.alias("similarity"), (best.similarity - second.similarity).alias("margin"))
+def nearest_label(points: DataFrame, labels: DataFrame, id_col: str, vector: str, least: float, block: int = 4096) -> DataFrame:
+    """Each point's best label (NULL below least, the least id of equals), its similarity and its margin over the runner-up. The two best are found within a block of points, so that no row is made for a pair."""
+    ids, known = shared_vectors(labels, id_col, vector)
+    order = np.argsort(ids, kind="stable")
+    shared = points.sparkSession.sparkContext.broadcast((ids[order], (known / np.linalg.norm(known, axis=1, keepdims=True))[order]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, known = shared.value
+        for batch in batches:
+            for lo in range(0, len(batch), block):
+                part = batch.iloc[lo : lo + block]
+                x = np.stack(part[vector].to_numpy()).astype(np.float64)
+                near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ known.T
+                best = near.argmax(axis=1)
+                top = near[np.arange(len(near)), best]
+                near[np.arange(len(near)), best] = -np.inf
+                second = near.max(axis=1) if len(ids) > 1 else np.full(len(near), np.nan)
+                label = pd.Series(ids[best], dtype="object").where(pd.Series(top >= least), None)
+                yield pd.DataFrame({id_col: part[id_col].to_numpy(), "label": label, "similarity": top, "margin": np.where(np.isnan(second), None, top - second)})
+
+    kinds = points.schema[id_col].dataType.simpleString(), labels.schema[id_col].dataType.simpleString()
+    return points.select(id_col, vector).mapInPandas(run, f"{id_col} {kinds[0]}, label {kinds[1]}, similarity double, margin double")
 
 
 def log_density(points: DataFrame, fitted: DataFrame, id_col: str, vector: str, bandwidth: float, out: str, block: int = 2048) -> DataFrame:
-    """Gaussian kernel log density of each point over a bounded sample of fitted points, by blocks and log-sum-exp."""
-    sample = np.array([r[0] for r in fitted.select(vector).collect()], np.float64)  # the caller bounds the sample
+    """Gaussian kernel log density of each point over a bounded sample of fitted points, whose size is checked, by blocks and log-sum-exp."""
+    _, sample = shared_vectors(fitted, id_col, vector)
     shared = points.sparkSession.sparkContext.broadcast(sample)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,13 +150,22 @@ def log1p_exp(x: Column) -> Column:
 
 def zones(scored: DataFrame, score: str, group: str, positive: str, negative: str) -> DataFrame:
     """zone: shared by the middle of |score|, hot by the positive group's upper quartile, cold by the negative group's lower one."""
-    cuts = scored.agg(
-        F.percentile(F.when(F.col(group) == positive, F.col(score)), 0.75).alias("hot"),
-        F.percentile(F.when(F.col(group) == negative, F.col(score)), 0.25).alias("cold"),
-        F.percentile(F.abs(score), 0.25).alias("near"),
-    )
+    hot = quantiles(scored.filter(F.col(group) == positive), [], score, (0.75,)).withColumnRenamed("q0", "hot")
+    cold = quantiles(scored.filter(F.col(group) == negative), [], score, (0.25,)).withColumnRenamed("q0", "cold")
+    near = quantiles(scored.select(F.abs(score).alias(score)), [], score, (0.25,)).withColumnRenamed("q0", "near")
     zone = F.when(F.abs(score) <= F.col("near"), "shared").when(F.col(score) >= F.col("hot"), "hot").when(F.col(score) <= F.col("cold"), "cold").otherwise("between")
-    return scored.crossJoin(F.broadcast(cuts)).withColumn("zone", zone).drop("hot", "cold", "near")  # one row
+    for cut in (hot, cold, near):
+        scored = scored.crossJoin(F.broadcast(cut))  # one row
+    return scored.withColumn("zone", zone).drop("hot", "cold", "near")
+
+
+def balanced_sample(df: DataFrame, group: str, candidate: str, key: str, limit: int, seed: int) -> DataFrame:
+    """At most limit rows of each group, the first of each candidate before the second of any, in an order by a seeded hash."""
+    rows = df.withColumn("__key", seeded_key(seed, F.col(key)))
+    turn = F.row_number().over(Window.partitionBy(group, candidate).orderBy("__key"))
+    rows = rows.withColumn("__turn", turn).filter(F.col("__turn") <= limit)
+    place = F.row_number().over(Window.partitionBy(group).orderBy("__turn", "__key"))
+    return rows.withColumn("__place", place).filter(F.col("__place") <= limit).drop("__key", "__turn", "__place")
 
 
 def dp_means(points: DataFrame, id_col: str, vector: str, max_distance: float, max_iterations: int = 25) -> DataFrame:
@@ -163,22 +200,40 @@ def dp_means(points: DataFrame, id_col: str, vector: str, max_distance: float, m
     return points.select(id_col, vector).groupBy().applyInPandas(run, f"{id_col} {kind}, cluster long, similarity double, size long")
 
 
-def trustworthiness(original: DataFrame, projected: DataFrame, id_col: str, vector: str, neighbours: int) -> DataFrame:
-    """One row: how far the projection's neighbours are neighbours in the original space. Ranks need all pairs; pass a sample."""
-    n = original.count()
-    k = min(neighbours, max(1, (n - 1) // 2))
+def trustworthiness(original: DataFrame, projected: DataFrame, id_col: str, vector: str, neighbours: int, block: int = 512) -> DataFrame:
+    """One row: how far the projection's neighbours are neighbours in the original space; ties by id, distances to 12 digits.
+
+    Ranks need every row's distance to all others. Both tables travel to the
+    tasks, whose size is checked; each task ranks its rows in blocks. For a
+    large table pass a sample.
+    """
+    ids, x = shared_vectors(original, id_col, vector)
+    ids_p, y = shared_vectors(projected, id_col, vector)
+    n = len(ids)
     if n < 3:
         return original.sparkSession.createDataFrame([(1.0,)], "trustworthiness double")
+    k = min(neighbours, max(1, (n - 1) // 2))
+    order, order_p = np.argsort(ids, kind="stable"), np.argsort(ids_p, kind="stable")
+    shared = original.sparkSession.sparkContext.broadcast((x[order], y[order_p]))
+    rows = original.sparkSession.range(n).select(F.col("id").cast("int").alias("row"))
 
-    def ranked(df: DataFrame, name: str) -> DataFrame:
-        a = df.select(F.col(id_col).alias("a"), F.col(vector).alias("x"))
-        pairs = a.join(a.select(F.col("a").alias("b"), F.col("x").alias("y")), F.col("a") != F.col("b"))
-        far = F.aggregate(F.zip_with("x", "y", lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-        return pairs.select("a", "b", F.row_number().over(Window.partitionBy("a").orderBy(F.round(far, 12), "b")).alias(name))
+    def far(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+        d = np.round(np.maximum(0, (z[own] ** 2).sum(1)[:, None] + (z**2).sum(1)[None, :] - 2 * z[own] @ z.T), 12)
+        d[np.arange(len(own)), own] = -1
+        return d
 
-    both = ranked(original, "r").join(ranked(projected, "p").filter(F.col("p") <= k), ["a", "b"])
-    penalty = F.coalesce(F.sum(F.greatest(F.col("r") - k, F.lit(0))), F.lit(0))
-    return both.agg((1 - penalty * 2.0 / (n * k * (2 * n - 3 * k - 1))).alias("trustworthiness"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, y = shared.value
+        for batch in batches:
+            for lo in range(0, len(batch), block):
+                own = batch["row"].to_numpy()[lo : lo + block]
+                rank = np.empty((len(own), len(x)), np.int64)
+                np.put_along_axis(rank, far(x, own).argsort(axis=1, kind="stable"), np.arange(len(x))[None, :], axis=1)  # 0 is the row itself
+                near = far(y, own).argsort(axis=1, kind="stable")[:, 1 : k + 1]
+                yield pd.DataFrame({"penalty": [float(np.maximum(0, np.take_along_axis(rank, near, axis=1) - k).sum())]})
+
+    penalty = F.coalesce(F.sum("penalty"), F.lit(0.0))
+    return rows.mapInPandas(run, "penalty double").agg((1 - penalty * 2.0 / (n * k * (2 * n - 3 * k - 1))).alias("trustworthiness"))
 
 
 def optional(module: str, message: str):
@@ -191,13 +246,101 @@ def optional(module: str, message: str):
         raise RuntimeError(message) from error
 
 
-def leiden(points: DataFrame, edges: DataFrame, resolution: float = 1.0):
-    """Needs igraph and leidenalg, which a plain installation lacks."""
-    optional("igraph", "Leiden communities need igraph")
-    optional("leidenalg", "Leiden communities need leidenalg")
-    raise NotImplementedError("install igraph and leidenalg and group the edges in applyInPandas")
+def leiden(points: DataFrame, edges: DataFrame, id_col: str = "id", resolution: float = 1.0, seed: int = 0, least: int = 1, most: int = 5_000_000) -> DataFrame:
+    """id_col, community, size, retained (at least least members): Leiden communities of a weighted graph (source, target, similarity). Needs igraph and leidenalg.
+
+    The algorithm moves one vertex at a time, so one task has the graph; more
+    than most edges are an error.
+    """
+    message = "Leiden communities need igraph and leidenalg"
+    optional("igraph", message)
+    optional("leidenalg", message)
+    if edges.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} edges in one graph")
+    own = points.select(F.col(id_col).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0.0).alias("w"))
+    rows = own.unionByName(edges.select(F.col("source").cast("string").alias("a"), F.col("target").cast("string").alias("b"), F.col("similarity").cast("double").alias("w")))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        import igraph
+        import leidenalg
+
+        names = sorted(rows.loc[rows["b"].isna(), "a"])
+        at = {x: k for k, x in enumerate(names)}
+        links = rows[rows["b"].notna()].sort_values(["a", "b"])
+        graph = igraph.Graph(n=len(names), edges=[(at[a], at[b]) for a, b in zip(links["a"], links["b"])])
+        found = leidenalg.find_partition(graph, leidenalg.RBConfigurationVertexPartition, weights=links["w"].tolist(), resolution_parameter=resolution, seed=seed)
+        member = np.array(found.membership)
+        size = np.bincount(member, minlength=1)[member]
+        return pd.DataFrame({id_col: names, "community": member, "size": size, "retained": size >= least})
+
+    return rows.groupBy().applyInPandas(run, f"{id_col} string, community long, size long, retained boolean")
+
+
+def umap(points: DataFrame, id_col: str, vector: str, neighbours: int = 15, distance: float = 0.1, metric: str = "cosine", dimensions: int = 2, seed: int = 0, sample: int = 20_000) -> DataFrame:
+    """id_col and projected: fitted on at most sample points, in a seeded hash order, on the driver; every point is transformed where it is. Needs umap-learn."""
+    module = optional("umap", "a UMAP projection needs umap-learn")
+    _, known = shared_vectors(points.orderBy(seeded_key(seed, F.col(id_col)), id_col).limit(sample), id_col, vector)
+    model = module.UMAP(n_neighbors=neighbours, min_dist=distance, metric=metric, n_components=dimensions, random_state=seed).fit(known)
+    shared = points.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = shared.value.transform(np.stack(batch[vector].to_numpy()).astype(np.float64))
+            yield pd.DataFrame({id_col: batch[id_col], "projected": [r.tolist() for r in made]})
+
+    kind = points.schema[id_col].dataType.simpleString()
+    return points.select(id_col, vector).mapInPandas(run, f"{id_col} {kind}, projected array<double>")
+
+
+def encode(texts: DataFrame, id_col: str, text_col: str, load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 64) -> DataFrame:
+    """id_col and vector of every text by a model that load gives, once in each task: a function from texts to rows of numbers. No model comes with this library."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for rows in batches:
+            texts = rows[text_col].fillna("").tolist()
+            made = [np.asarray(model(texts[lo : lo + batch]), np.float64) for lo in range(0, len(texts), batch)]
+            yield pd.DataFrame({id_col: rows[id_col], "vector": [v.tolist() for part in made for v in part]})
+
+    kind = texts.schema[id_col].dataType.simpleString()
+    return texts.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, vector array<double>")
+
+
+#: Rows whose lines are joined and hashed by one task.
+HASHED_ROWS = 10_000
+
+
+def ordered_hash(df: DataFrame, key: str, *columns: str, rows: int = HASHED_ROWS) -> DataFrame:
+    """One row: corpus_hash and n. The lines key:column:... are hashed in key order within ranges of rows whole keys each, then the ranges' hashes in their order; keys are whole numbers."""
+    line = F.concat_ws(":", *(F.col(c).cast("string") for c in (key, *columns)))
+    part = F.floor(F.col(key) / rows).alias("part")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key), line.alias("line")))), lambda x: x.line)
+    parts = df.groupBy(part).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("hash"), F.count("*").alias("n"))
+    hashes = F.transform(F.array_sort(F.collect_list(F.struct("part", "hash"))), lambda x: x.hash)  # one of HASHED_ROWS rows
+    return parts.agg(F.sha2(F.array_join(hashes, "\n"), 256).alias("corpus_hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def cache_mismatches(told: dict, now: dict) -> list[str]:
+    """The fields in which a cache of vectors differs from what it would be made of; it may be used again if there are none."""
+    return [k for k in sorted({*told, *now}) if told.get(k) != now.get(k)]
+
+
+def cached(spark, path: str, now: dict, make: Callable[[], DataFrame]) -> DataFrame:
+    """The vectors at path if their metadata are now's, else made, written there and read back. The metadata are written last."""
+    import json
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    told = jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    known = json.loads(spark.read.text(f"{path}/metadata").first()[0]) if told.getFileSystem(conf).exists(told) else {}
+    if cache_mismatches(known, now):
+        make().write.mode("overwrite").parquet(f"{path}/vectors")
+        spark.createDataFrame([(json.dumps(now, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+    return spark.read.parquet(f"{path}/vectors")
 
 
-def umap(points: DataFrame):
-    optional("umap", "a UMAP projection needs umap-learn")
-    raise NotImplementedError("fit umap-learn on a bounded sample and transform in mapInPandas")
+def selected_threshold(config: dict, name: str) -> float:
+    """A threshold of a configuration; it must be set and lie between 0 and 1."""
+    value = config.get(name)
+    if not isinstance(value, (int, float)) or isinstance(value, bool) or not 0 < value < 1:
+        raise ValueError(f"{name} must be a number between 0 and 1, not {value!r}")
+    return float(value)
