@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import relational as R
-from .registry import SQL, query, table
+from .registry import query, table
 
 # ---- joins ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49")
+@query("SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def lookup_join(spark, sf_dir):
     """Left lookup in which a missing match is an error."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
-    rows = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select("l_orderkey", "l_linenumber").join(orders, "l_orderkey", "left")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(orders, "l_orderkey", "left")
     missing = F.raise_error(F.concat(F.lit("unknown order "), F.col("l_orderkey").cast("string")))
     return rows.withColumn("o_orderstatus", F.when(F.col("o_orderstatus").isNull(), missing).otherwise(F.col("o_orderstatus")))
 
@@ -40,30 +40,15 @@ def fallback_lookup(spark, sf_dir):
 def either_key_join(spark, sf_dir):
     left = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 50).alias("m"), F.col("c_custkey").alias("same"))
     right = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 50).alias("m"), F.col("s_suppkey").alias("same"))
-    one = left.join(right, ["nation", "m"]).select("c_custkey", "s_suppkey")
-    two = left.join(right, "same").select("c_custkey", "s_suppkey")
-    return one.unionByName(two).distinct()
+    return R.match_either(left, right, ["nation", "m"], ["same"]).select("c_custkey", "s_suppkey")
 
 
-@query("""WITH o AS (SELECT o_custkey, o_orderpriority AS topic, o_orderkey, o_orderstatus AS stance FROM orders WHERE o_custkey % 5 = 0), p AS (SELECT a.o_custkey, a.topic, a.o_orderkey AS left_key, b.o_orderkey AS right_key,
+@query("""WITH o AS (SELECT o_custkey, o_orderpriority AS topic, o_orderkey, o_orderstatus AS stance FROM orders), p AS (SELECT a.o_custkey, a.topic, a.o_orderkey AS left_key, b.o_orderkey AS right_key,
  row_number() OVER (PARTITION BY a.o_custkey, a.topic ORDER BY CASE WHEN a.stance <> b.stance THEN 0 ELSE 1 END, a.o_orderkey, b.o_orderkey) AS rn FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.topic = b.topic AND a.o_orderkey < b.o_orderkey) SELECT o_custkey, topic, left_key, right_key FROM p WHERE rn = 1""")
 def pair_within_group(spark, sf_dir):
     """The best unordered pair of each group: rows of unlike stance first."""
-    return _pair_within_group(table(spark, sf_dir, "orders").filter("o_custkey % 5 = 0"))
-
-
-@query(SQL["pair_within_group"].replace(" WHERE o_custkey % 5 = 0", ""))
-def pair_within_group_whole(spark, sf_dir):
-    """The same for every customer."""
-    return _pair_within_group(table(spark, sf_dir, "orders"))
-
-
-def _pair_within_group(orders):
-    o = orders.select("o_custkey", F.col("o_orderpriority").alias("topic"), "o_orderkey", F.col("o_orderstatus").alias("stance"))
-    b = o.select("o_custkey", "topic", F.col("o_orderkey").alias("right_key"), F.col("stance").alias("other"))
-    pairs = o.join(b, ["o_custkey", "topic"]).filter("o_orderkey < right_key")
-    best = F.min_by(F.struct(F.col("o_orderkey").alias("l"), F.col("right_key").alias("r")), F.struct(F.when(F.col("stance") != F.col("other"), 0).otherwise(1).alias("k"), F.col("o_orderkey"), F.col("right_key")))
-    return pairs.groupBy("o_custkey", "topic").agg(best.alias("b")).select("o_custkey", "topic", F.col("b.l").alias("left_key"), F.col("b.r").alias("right_key"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderpriority").alias("topic"), "o_orderkey", "o_orderstatus")
+    return R.best_pairs(orders, ["o_custkey", "topic"], "o_orderkey", "o_orderstatus")
 
 
 @query("SELECT user_id, CAST(count(*) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS purchases, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS errors FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'purchase') > 0 AND count(*) FILTER (WHERE event_type = 'error') > 0")
@@ -115,39 +100,23 @@ def window_class(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.when(day.isNull(), "undated").when(inside, "in").otherwise("out").alias("window_class"))
 
 
-@query("""WITH i AS (SELECT l_suppkey, l_orderkey, l_linenumber, epoch(l_shipdate)::BIGINT // 86400 AS lo, epoch(l_shipdate)::BIGINT // 86400 + CAST(l_quantity AS BIGINT) % 7 AS hi FROM lineitem WHERE l_suppkey % 10 = 1 AND l_quantity > 45)
+@query("""WITH i AS (SELECT l_suppkey, l_orderkey, l_linenumber, epoch(l_shipdate)::BIGINT // 86400 AS lo, epoch(l_shipdate)::BIGINT // 86400 + CAST(l_quantity AS BIGINT) % 7 AS hi FROM lineitem)
  SELECT a.l_orderkey AS left_order, a.l_linenumber AS left_line, b.l_orderkey AS right_order, b.l_linenumber AS right_line FROM i a JOIN i b ON a.l_suppkey = b.l_suppkey AND a.lo <= b.hi AND b.lo <= a.hi AND (a.l_orderkey, a.l_linenumber) < (b.l_orderkey, b.l_linenumber)""")
 def range_overlap(spark, sf_dir):
-    return _range_overlap(table(spark, sf_dir, "lineitem").filter("l_suppkey % 10 = 1 and l_quantity > 45"))
-
-
-@query(SQL["range_overlap"].replace(" WHERE l_suppkey % 10 = 1 AND l_quantity > 45", ""))
-def range_overlap_whole(spark, sf_dir):
-    """The same for every supplier and quantity."""
-    return _range_overlap(table(spark, sf_dir, "lineitem"))
-
-
-def _range_overlap(lines):
     day = F.floor(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) / 86400)
-    i = lines.select("l_suppkey", "l_orderkey", "l_linenumber", day.alias("lo"), (day + F.col("l_quantity").cast("long") % 7).alias("hi"))
+    i = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", day.alias("lo"), (day + F.col("l_quantity").cast("long") % 7).alias("hi"))
     both = R.overlapping(i, i, ["l_suppkey"], "lo", "hi", grain=16)
     both = both.filter("l_orderkey < r_l_orderkey or (l_orderkey = r_l_orderkey and l_linenumber < r_l_linenumber)")
     return both.select(F.col("l_orderkey").alias("left_order"), F.col("l_linenumber").alias("left_line"), F.col("r_l_orderkey").alias("right_order"), F.col("r_l_linenumber").alias("right_line"))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS o, list_distinct(list(l_partkey % 200)) AS ps FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1), x AS (SELECT o, unnest(ps) AS p FROM s)
- SELECT a.o AS left_order, b.o AS right_order, CAST(count(*) AS BIGINT) AS shared FROM x a JOIN x b ON a.p = b.p AND a.o < b.o GROUP BY ALL HAVING count(*) >= 2""")
-def set_overlap_join(spark, sf_dir):
-    """Rows that share members of two sets, by an equi-join of the exploded members."""
-    x = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("left_order"), (F.col("l_partkey") % 200).alias("p")).distinct()
-    y = x.withColumnRenamed("left_order", "right_order")
-    return x.join(y, "p").filter("left_order < right_order").groupBy("left_order", "right_order").agg(F.count("*").alias("shared")).filter("shared >= 2")
+SQL_MEMBERS = "x AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), n AS (SELECT a.o AS o, b.o AS p, count(*) AS n FROM x a JOIN x b ON a.p = b.p AND a.o <> b.o GROUP BY ALL)"
 
 
-@query(SQL["set_overlap_join"].replace(" WHERE l_orderkey % 20 = 0", ""))
-def set_overlap_join_whole(spark, sf_dir):
-    """The same for every order, joined on the pairs of an order's members, so that only orders with two members in common meet."""
-    sets = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_set(F.col("l_partkey") % 200).alias("s"))
+@query(f"WITH {SQL_MEMBERS} SELECT o AS left_order, p AS right_order, CAST(n AS BIGINT) AS shared FROM n WHERE o < p AND n >= 2")
+def set_overlap_join(spark, sf_dir):
+    """Orders that share members of two sets, joined on the pairs of an order's members, so that only orders with two in common meet."""
+    sets = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_set("l_partkey").alias("s"))  # an order's lines
     one = sets.select("o", F.explode("s").alias("p"), "s").select("o", "p", F.explode(F.filter("s", lambda q: q > F.col("p"))).alias("q"))
     two = one.select(F.col("o").alias("right_order"), "p", "q")
     n = one.withColumnRenamed("o", "left_order").join(two, ["p", "q"]).filter("left_order < right_order").groupBy("left_order", "right_order").agg(F.count("*").alias("n"))
@@ -155,18 +124,9 @@ def set_overlap_join_whole(spark, sf_dir):
     return n.select("left_order", "right_order", F.round((1 + F.sqrt(1 + 8 * F.col("n"))) / 2).cast("long").alias("shared"))
 
 
-@query("""WITH a AS (SELECT l_orderkey AS o, unnest(list_distinct(list(l_suppkey % 40))) AS m FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY 1), b AS (SELECT l_orderkey AS p, unnest(list_distinct(list(l_suppkey % 40))) AS m FROM lineitem WHERE l_orderkey % 40 = 1 GROUP BY 1),
- j AS (SELECT o, p, count(*) AS n FROM a JOIN b USING (m) GROUP BY ALL) SELECT o AS order_key, min_by(p, (-n, p)) AS best, CAST(max(n) AS BIGINT) AS overlap FROM j GROUP BY o""")
+@query(f"WITH {SQL_MEMBERS} SELECT o AS order_key, min_by(p, (-n, p)) AS best, CAST(max(n) AS BIGINT) AS overlap FROM n GROUP BY o")
 def best_overlap(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 40).alias("m")).distinct()
-    a, b = rows.filter("l_orderkey % 40 = 0").withColumnRenamed("l_orderkey", "order_key"), rows.filter("l_orderkey % 40 = 1").withColumnRenamed("l_orderkey", "p")
-    n = a.join(b, "m").groupBy("order_key", "p").agg(F.count("*").alias("n"))
-    return n.groupBy("order_key").agg(F.min_by("p", F.struct(-F.col("n"), F.col("p"))).alias("best"), F.max("n").alias("overlap"))
-
-
-@query()
-def best_overlap_whole(spark, sf_dir):
-    return best_other(table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 40).alias("m")))
+    return best_other(table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("m")))
 
 
 def best_other(rows):
@@ -204,20 +164,10 @@ def name_key_join(spark, sf_dir):
     return k.join(s, ["given", "last"]).select("c_custkey", "s_suppkey")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 60 + 1000 AS b FROM lineitem WHERE l_orderkey % 400 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM u UNION SELECT u.b, r.seen FROM r JOIN u ON u.a = r.node) SELECT node, min(seen) AS component FROM r GROUP BY node""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 60 + 1000 AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM u UNION SELECT u.b, r.seen FROM r JOIN u ON u.a = r.node) SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def alias_components(spark, sf_dir):
     """Rows linked by a shared alias merge transitively."""
-    return _alias_components(table(spark, sf_dir, "lineitem").filter("l_orderkey % 400 = 0"))
-
-
-@query(SQL["alias_components"].replace(" WHERE l_orderkey % 400 = 0", ""))
-def alias_components_whole(spark, sf_dir):
-    """The same for every order."""
-    return _alias_components(table(spark, sf_dir, "lineitem"))
-
-
-def _alias_components(lines):
-    e = lines.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 60 + 1000).alias("b")).distinct()
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 60 + 1000).alias("b")).distinct()
     return R.components(e, "a", "b")
 
 
@@ -376,7 +326,8 @@ def top_two_margin(spark, sf_dir):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75 FROM events GROUP BY event_type")
 def quantile_cutoffs(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*(F.round(F.percentile("value", q), 6).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75)))
+    made = R.quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", (0.25, 0.5, 0.75))
+    return made.select("event_type", *(F.round(f"q{k}", 6).alias(n) for k, n in enumerate(("q25", "q50", "q75"))))
 
 
 @query("SELECT user_id, event_id, CAST(count(*) OVER (PARTITION BY user_id) AS BIGINT) AS n_user, round(value / sum(value) OVER (PARTITION BY user_id), 8) AS share FROM events")

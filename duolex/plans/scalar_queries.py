@@ -8,7 +8,8 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import audit as A
 from ..operators import ledger as L
-from .registry import SQL, query, spread, table
+from ..sources.fetch import CHALLENGE_BYTES, CHALLENGES, challenged
+from .registry import query, spread, table
 
 # ---- identities, hashes, dates, lists -------------------------------------------------------------------------------
 
@@ -39,11 +40,11 @@ def coercions(spark, sf_dir):
     return e.select("event_id", T.to_int(F.regexp_extract("props", r"(\d+)", 1)).alias("k"), T.to_bool(flag).alias("wanted"))
 
 
-@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(p_name || ' | ' || p_brand || ' |  | ' || p_brand, '|'), lambda x: trim(x)), lambda x: x <> ''))), ' | ') AS joined FROM part")
+@query("SELECT p_partkey, p_type || ' | ' || p_brand || CASE WHEN p_name NOT IN (p_type, p_brand) THEN ' | ' || p_name ELSE '' END AS joined FROM part")
 def list_cells(spark, sf_dir):
-    """Pipe lists merged without repeats (sorted here, so that the order is SQL's too)."""
-    merged = T.joined_first_seen(F.col("p_name"), F.concat(F.col("p_brand"), F.lit(" |  | "), F.col("p_brand")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(F.split(merged, r" \| ")), " | ").alias("joined"))
+    """Pipe lists merged without repeats in the order in which they are first seen."""
+    merged = T.joined_first_seen(F.col("p_type"), F.concat_ws(" | ", "p_brand", F.lit(""), "p_type", "p_brand"), F.concat(F.lit(" "), "p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", merged.alias("joined"))
 
 
 @query("SELECT CAST(i AS BIGINT) AS i, round(-1.0 + 0.25 * i, 9) AS x FROM range(9) t(i)")
@@ -147,9 +148,14 @@ def html_parsed(spark, sf_dir):
     return parse_pages(table(spark, sf_dir, "pages"), "page_id", "url", "html")
 
 
-@query("SELECT page_id, regexp_matches(lower(substr(html, 1, 16384)), 'captcha|cf-challenge|just a moment|attention required') AS challenged FROM pages")
+SQL_MARKED = "(CASE WHEN page_id % 5 = 0 THEN '<head><TITLE>Just a moment...</title>' WHEN page_id % 5 = 1 THEN '<script src=\"/cdn/cf-chl-x.js\">' WHEN page_id % 5 = 2 THEN 'solve a captcha' ELSE '' END || html)"
+
+
+@query(f"SELECT page_id, {' OR '.join(f'strpos(lower(substr({SQL_MARKED}, 1, {CHALLENGE_BYTES})), {chr(39)}{c}{chr(39)}) > 0' for c in CHALLENGES)} AS challenged FROM pages")
 def access_challenge(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.lower(F.substring("html", 1, 16384)).rlike("captcha|cf-challenge|just a moment|attention required").alias("challenged"))
+    k = F.col("page_id") % 5
+    mark = F.when(k == 0, "<head><TITLE>Just a moment...</title>").when(k == 1, '<script src="/cdn/cf-chl-x.js">').when(k == 2, "solve a captcha").otherwise("")
+    return table(spark, sf_dir, "pages").select("page_id", challenged(F.concat(mark, "html")).alias("challenged"))
 
 
 # ---- validation ----------------------------------------------------------------------------------------------------
@@ -224,12 +230,16 @@ def prefix_replacement(spark, sf_dir):
     return L.replace_prefixed(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), new, "p_brand", "Brand#1")
 
 
-@query("""WITH a AS (SELECT user_id, count(*) AS tries, bool_or(event_type <> 'error') AS done FROM events WHERE event_id % 50 = 0 GROUP BY 1), q AS (SELECT DISTINCT user_id FROM events)
- SELECT user_id, CAST(coalesce(tries, 0) AS BIGINT) AS tries FROM q LEFT JOIN a USING (user_id) WHERE tries IS NULL OR (NOT done AND tries < 3) ORDER BY 2, 1 LIMIT 100""")
+@query("""WITH a AS (SELECT user_id, event_type, count(*) AS tries, bool_or(value >= 98) AS done, max_by(CASE WHEN value < 50 THEN 'Remote end closed connection' ELSE 'bad page' END, event_id) AS last FROM events GROUP BY ALL), q AS (SELECT DISTINCT user_id, t AS event_type FROM events, (SELECT unnest(['view', 'click', 'error', 'never']) AS t))
+ SELECT user_id || '/' || event_type AS job, CAST(coalesce(tries, 0) AS BIGINT) AS tries FROM q LEFT JOIN a USING (user_id, event_type) WHERE tries IS NULL OR (NOT done AND tries < 40 AND last LIKE 'Remote%') ORDER BY 2, 1 LIMIT 100""")
 def attempts_ledger(spark, sf_dir):
+    """The next jobs to try: never tried, or a transient last error and not yet 40 tries."""
     e = table(spark, sf_dir, "events")
-    tried = e.filter("event_id % 50 = 0").select("user_id", F.when(F.col("event_type") == "error", "request timed out").alias("error"), F.col("event_id").alias("at"))
-    return L.due(e.select("user_id").distinct(), tried, "user_id", most=3, limit=100).select("user_id", F.col("tries").cast("long").alias("tries"))
+    job = lambda kind: F.concat_ws("/", F.col("user_id").cast("string"), kind)
+    error = F.when(F.col("value") < 50, "Remote end closed connection").when(F.col("value") < 98, "bad page")
+    queue = e.select("user_id").distinct().select(F.explode(F.array(*(job(F.lit(k)) for k in ("view", "click", "error", "never")))).alias("job"))
+    tried = e.select(job(F.col("event_type")).alias("job"), error.alias("error"), F.col("event_id").alias("at"))
+    return L.due(queue, tried, "job", most=40, limit=100).select("job", F.col("tries").cast("long").alias("tries"))
 
 
 @query("SELECT c_custkey, CASE WHEN s_suppkey IS NOT NULL THEN 'kept' ELSE 'open' END AS status FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
@@ -239,32 +249,29 @@ def status_preservation(spark, sf_dir):
     return L.keep_status(rebuilt, prior, "c_custkey", ["status"])
 
 
-@query("""WITH s AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS live, count(*) FILTER (WHERE event_type = 'error') AS arch FROM events WHERE event_id % 40 = 0 GROUP BY 1) SELECT user_id, CASE WHEN live = 0 THEN 'live' WHEN arch = 0 THEN 'archive' ELSE 'none' END AS next_stage FROM s""")
+@query("""WITH s AS (SELECT user_id, event_id % 1000 AS job, count(*) FILTER (WHERE event_type = 'view') AS live, count(*) FILTER (WHERE event_type = 'error') AS arch FROM events GROUP BY ALL) SELECT user_id || '/' || job AS job, CASE WHEN live = 0 THEN 'live' WHEN arch = 0 THEN 'archive' ELSE 'none' END AS next_stage FROM s""")
 def staged_retries(spark, sf_dir):
-    return _staged_retries(table(spark, sf_dir, "events").filter("event_id % 40 = 0"))
-
-
-@query(SQL["staged_retries"].replace(" WHERE event_id % 40 = 0", ""))
-def staged_retries_whole(spark, sf_dir):
-    """The same for every event."""
-    return _staged_retries(table(spark, sf_dir, "events"))
-
-
-def _staged_retries(e):
     stage = F.when(F.col("event_type") == "view", "live").when(F.col("event_type") == "error", "archive").otherwise("other")
-    s = e.select("user_id", stage.alias("stage"), F.lit(1).alias("tries"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
-    return L.stages(s, "user_id", ["live", "archive"]).select("user_id", F.coalesce("next_stage", F.lit("none")).alias("next_stage"))
+    job = F.concat_ws("/", "user_id", (F.col("event_id") % 1000).cast("string")).alias("job")
+    s = table(spark, sf_dir, "events").select(job, stage.alias("stage"), F.lit(1).alias("tries"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+    return L.stages(s, "job", ["live", "archive"]).select("job", F.coalesce("next_stage", F.lit("none")).alias("next_stage"))
 
 
-@query("SELECT CAST(user_id AS BIGINT) AS user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY user_id")
+@query("SELECT CAST(user_id AS BIGINT) AS user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY user_id")
 def streamed_upsert(spark, sf_dir):
-    """The events read as a stream, with running counts and the last event of each user."""
+    """The events read as a stream into a table of each user's last event, and that table's latest version."""
     import uuid
 
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"upsert_{uuid.uuid4().hex}"
-    made = stream.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
-    run = made.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    from ..operators.relational import scratch_folder
+    from ..streaming.upsert import latest, upsert_stream
+
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not _is_folder(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet")
+    root = f"{scratch_folder(spark)}/upsert-{uuid.uuid4().hex}"
+    upsert_stream(stream.select("user_id", "event_id", "event_type", "value"), f"{root}/table", f"{root}/log", "user_id", "event_id").awaitTermination()
+    return latest(spark, f"{root}/table")
+
+
+def _is_folder(spark, path):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()

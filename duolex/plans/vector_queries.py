@@ -44,16 +44,27 @@ def nearest_topic(spark, sf_dir):
     return made.select("vec_id", F.coalesce("label", F.lit(-1)).alias("label"), F.round("similarity", 5).alias("similarity"), F.round("margin", 5).alias("margin"))
 
 
-SQL_KDE = f"""{SQL_V}, q AS (SELECT vec_id, label % 2 AS g, x[1:4] AS y FROM v), f AS (SELECT vec_id, g, y FROM q WHERE vec_id % 3 = 0), d AS (SELECT q.vec_id, f.g AS fg, sum(exp(-0.5 * list_distance(q.y, f.y) ** 2 / 0.09)) AS k, count(*) AS n FROM q, f GROUP BY ALL),
+#: Rows of each group that densities are fitted on at most.
+FITTED = 5000
+SQL_KDE = f"""{SQL_V}, q AS (SELECT vec_id, label, label % 2 AS g, x[1:4] AS y FROM v), h AS (SELECT *, substr(sha256('1729:' || vec_id), 1, 16) AS k FROM q), t AS (SELECT *, row_number() OVER (PARTITION BY g, label ORDER BY k) AS turn FROM h),
+ f AS (SELECT vec_id, g, y FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn, k) AS place FROM t) WHERE place <= {FITTED}), d AS (SELECT q.vec_id, f.g AS fg, sum(exp(-0.5 * list_distance(q.y, f.y) ** 2 / 0.09)) AS k, count(*) AS n FROM q, f GROUP BY ALL),
  l AS (SELECT vec_id, fg, ln(k) - ln(n) - 2 * ln(2 * pi()) - 4 * ln(0.3) AS ld FROM d), s AS (SELECT q.vec_id, q.g, ln(1 + exp(max(ld) FILTER (WHERE fg = 0))) - ln(1 + exp(max(ld) FILTER (WHERE fg = 1))) AS score FROM q JOIN l USING (vec_id) GROUP BY q.vec_id, q.g)"""
 
 
 def density_scores(spark, sf_dir):
-    q = points(spark, sf_dir).select("vec_id", (F.col("label") % 2).alias("g"), F.slice("x", 1, 4).alias("y"))
-    fitted = q.filter("vec_id % 3 = 0")
+    """Every vector's two log densities, fitted on a balanced sample of FITTED rows of each group."""
+    q = points(spark, sf_dir).select("vec_id", "label", (F.col("label") % 2).alias("g"), F.slice("x", 1, 4).alias("y"))
+    fitted = V.balanced_sample(q, "g", "label", "vec_id", FITTED, 1729)
     a = V.log_density(q, fitted.filter("g = 0"), "vec_id", "y", 0.3, "d0")
     b = V.log_density(q, fitted.filter("g = 1"), "vec_id", "y", 0.3, "d1")
-    return q.drop("y").join(a, "vec_id").join(b, "vec_id").select("vec_id", "g", (V.log1p_exp(F.col("d0")) - V.log1p_exp(F.col("d1"))).alias("score"))
+    return q.drop("y", "label").join(a, "vec_id").join(b, "vec_id").select("vec_id", "g", (V.log1p_exp(F.col("d0")) - V.log1p_exp(F.col("d1"))).alias("score"))
+
+
+@query("""WITH h AS (SELECT vec_id, label % 2 AS g, label, substr(sha256('7:' || vec_id), 1, 16) AS k FROM embeddings), t AS (SELECT *, row_number() OVER (PARTITION BY g, label ORDER BY k) AS turn FROM h)
+ SELECT g, label, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn, k) AS place FROM t) WHERE place <= 40""")
+def balanced_sample(spark, sf_dir):
+    """Forty rows of each group, taken from its labels in turn."""
+    return V.balanced_sample(points(spark, sf_dir).select((F.col("label") % 2).alias("g"), "label", "vec_id"), "g", "label", "vec_id", 40, 7)
 
 
 @query(f"WITH {SQL_KDE} SELECT vec_id, round(score, 5) AS score FROM s")
@@ -98,16 +109,16 @@ def standard_scale(spark, sf_dir):
     return v.crossJoin(F.broadcast(m)).select("vec_id", F.round((F.col("x") - F.col("m")) / F.col("s"), 5).alias("z"))  # one row
 
 
-@query(f"""WITH {SQL_V}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.x, b.x) / (a.s * b.s), 6) AS score FROM u a JOIN u b ON b.vec_id = a.vec_id + 1), n AS (SELECT *, CASE WHEN abs(score - 0.0) <= abs(score - 0.1) AND abs(score - 0.0) <= abs(score - 0.2) THEN 0.0 WHEN abs(score - 0.1) <= abs(score - 0.2) THEN 0.1 ELSE 0.2 END AS near FROM p),
- r AS (SELECT *, row_number() OVER (PARTITION BY near ORDER BY md5('7:' || a)) AS rn FROM n WHERE abs(score - near) <= 0.03) SELECT a, b, CAST(near AS DOUBLE) AS threshold FROM r WHERE rn <= 10""")
+@query(f"""WITH {SQL_V}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.x, b.x) / (a.s * b.s), 6) AS score FROM u a JOIN u b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id), n AS (SELECT *, CASE WHEN round(abs(score - 0.0), 9) <= round(abs(score - 0.1), 9) AND round(abs(score - 0.0), 9) <= round(abs(score - 0.2), 9) THEN 0.0 WHEN round(abs(score - 0.1), 9) <= round(abs(score - 0.2), 9) THEN 0.1 ELSE 0.2 END AS near FROM p),
+ r AS (SELECT *, row_number() OVER (PARTITION BY near ORDER BY md5('7:' || a || ':' || b)) AS rn FROM n WHERE round(abs(score - near), 9) <= 0.03) SELECT a, b, CAST(near AS DOUBLE) AS threshold FROM r WHERE rn <= 10""")
 def threshold_sample(spark, sf_dir):
-    """Pairs near each threshold (ties to the lower one), at most ten of each by a seeded hash."""
-    p = points(spark, sf_dir).select("vec_id", V.normalised(F.col("x")).alias("u"))
-    pairs = p.select(F.col("vec_id").alias("a"), F.col("u").alias("x"), (F.col("vec_id") + 1).alias("b")).join(p.select(F.col("vec_id").alias("b"), "u"), "b")
-    scored = pairs.select("a", "b", F.round(V.dot(F.col("x"), F.col("u")), 6).alias("score"))
+    """Pairs of the query set (ids divisible by 100) with all rows near each threshold (ties to the lower one), at most ten of each by a seeded hash."""
+    p = points(spark, sf_dir)
+    pairs = V.similarities(p, p.filter("vec_id % 100 = 0"), "vec_id", "x").filter("vec_id <> other")
+    scored = pairs.select(F.col("other").alias("a"), F.col("vec_id").alias("b"), F.round("similarity", 6).alias("score"))
     near = F.array_min(F.transform(F.array(*map(F.lit, (0.0, 0.1, 0.2))), lambda t: F.struct(F.round(F.abs(F.col("score") - t), 9).alias("d"), t.alias("t"))))
     close = scored.withColumn("near", near).filter("near.d <= 0.03").withColumn("threshold", F.col("near.t"))
-    rank = F.row_number().over(Window.partitionBy("threshold").orderBy(F.md5(F.concat(F.lit("7:"), F.col("a").cast("string")))))
+    rank = F.row_number().over(Window.partitionBy("threshold").orderBy(F.md5(F.concat_ws(":", F.lit("7"), "a", "b"))))
     return close.withColumn("rn", rank).filter("rn <= 10").select("a", "b", "threshold")
 
 
@@ -117,11 +128,10 @@ def hash_sample(spark, sf_dir):
     return points(spark, sf_dir).orderBy(F.md5(F.concat(F.lit("1729:"), F.col("vec_id").cast("string"))), "vec_id").limit(50).select("vec_id")
 
 
-@query("SELECT sha256(string_agg(vec_id || ':' || label, chr(10) ORDER BY vec_id)) AS corpus_hash, CAST(count(*) AS BIGINT) AS n FROM embeddings")
+@query("WITH p AS (SELECT vec_id // 10000 AS part, sha256(string_agg(vec_id || ':' || label, chr(10) ORDER BY vec_id)) AS h, count(*) AS n FROM embeddings GROUP BY 1) SELECT sha256(string_agg(h, chr(10) ORDER BY part)) AS corpus_hash, CAST(sum(n) AS BIGINT) AS n FROM p")
 def cache_metadata(spark, sf_dir):
-    """What a cache of vectors is checked by; hashes of rows in order, over parts of bounded size at scale."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "label"))), lambda r: F.concat(r.vec_id.cast("string"), F.lit(":"), r.label.cast("string")))
-    return points(spark, sf_dir).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("corpus_hash"), F.count("*").alias("n"))
+    """What a cache of vectors is checked by: hashes of rows in order, over ranges of ids."""
+    return V.ordered_hash(points(spark, sf_dir), "vec_id", "label")
 
 
 @query()
@@ -131,15 +141,31 @@ def dp_means(spark, sf_dir):
 
 @query()
 def kmeans_regions(spark, sf_dir):
+    """One region for each 350 vectors and group, two at most, with its size, mean and rank by its strength."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    made = points(spark, sf_dir).withColumn("features", array_to_vector("x"))
-    fitted = KMeans(k=2, seed=20, maxIter=20).fit(made)
-    return fitted.transform(made).groupBy(F.col("prediction").cast("long").alias("region")).agg(F.count("*").alias("n"))
+    made = None
+    for group in (0, 1):
+        own = points(spark, sf_dir).filter(F.col("label") % 2 == group).withColumn("features", array_to_vector("x"))
+        regions = max(1, min(2, own.count() // 350))
+        found = KMeans(k=regions, seed=20, maxIter=20).fit(own).transform(own) if regions > 1 else own.withColumn("prediction", F.lit(0))
+        mean = F.avg(F.col("x")[0])
+        summary = found.groupBy(F.lit(group).alias("grp"), F.col("prediction").cast("long").alias("region")).agg(F.count("*").alias("n"), F.round(mean, 6).alias("mean"), (F.abs(mean) * F.sqrt(F.count("*"))).alias("strength"))
+        made = summary if made is None else made.unionByName(summary)
+    rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("strength"), "region"))  # two rows each
+    return made.withColumn("rank", rank.cast("long")).drop("strength")
 
 
-@query()
+#: Rows that a projection is judged on at most.
+JUDGED = 1000
+
+
+@query(f"""WITH p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings ORDER BY md5('1729:' || vec_id), vec_id LIMIT {JUDGED}), d AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.x, b.x) ** 2, 12) AS dx, round(list_distance(a.x[1:2], b.x[1:2]) ** 2, 12) AS dy FROM p a JOIN p b ON a.vec_id <> b.vec_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dx, b) AS rx, row_number() OVER (PARTITION BY a ORDER BY dy, b) AS ry FROM d), n AS (SELECT count(*) AS n, least(10, greatest(1, (count(*) - 1) // 2)) AS k FROM p)
+ SELECT round(1 - sum(greatest(rx - k, 0)) * 2.0 / (max(n) * max(k) * (2 * max(n) - 3 * max(k) - 1)), 6) AS trustworthiness FROM r, n WHERE ry <= k""")
 def projection_trust(spark, sf_dir):
-    p = points(spark, sf_dir).filter("vec_id < 60")
-    return V.trustworthiness(p.select("vec_id", "x"), p.select("vec_id", F.slice("x", 1, 2).alias("x")), "vec_id", "x", 10)
+    """How far the first two coordinates keep the neighbours, on a sample in a seeded hash order."""
+    p = points(spark, sf_dir).orderBy(F.md5(F.concat(F.lit("1729:"), F.col("vec_id").cast("string"))), "vec_id").limit(JUDGED)
+    made = V.trustworthiness(p.select("vec_id", "x"), p.select("vec_id", F.slice("x", 1, 2).alias("x")), "vec_id", "x", 10)
+    return made.select(F.round("trustworthiness", 6).alias("trustworthiness"))
