@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duolex.operators import audit as A
+from duolex.operators import corpus as C
 from duolex.operators import ledger as L
 from duolex.operators import relational as R
 from duolex.operators import vectors as V
@@ -35,6 +36,8 @@ def test_components_and_fallback(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(1, 30)] + [(50, 51)], "a long, b long")
     got = {r.node: r.component for r in R.components(e, "a", "b").collect()}
     assert {got[k] for k in range(1, 31)} == {1} and got[51] == 50
+    chain = spark.range(2000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert R.components(chain, "a", "b").select("component").distinct().collect() == [(0,)]
     right = spark.createDataFrame([("r", "d", 1, "x"), ("r", "d", 2, "y"), ("q", "d", 3, "z")], "race string, day string, o int, v string")
     left = spark.createDataFrame([("r", "d"), ("n", "d"), ("n", "n")], "race string, day string")
     assert {(r.race, r.day): r.v for r in R.fallback(left, right, ["race", "day"], ["day"], "o", "v").collect()} == {("r", "d"): "y", ("n", "d"): "z", ("n", "n"): None}
@@ -70,8 +73,9 @@ def test_dp_means_density_and_trust(spark):
     assert math.isclose(d, -math.log(2 * math.pi) - 1, rel_tol=1e-9)
     many = spark.createDataFrame([(k, [float(k % 5), float(k // 5), 0.1 * k]) for k in range(25)], "id int, v array<double>")
     assert V.trustworthiness(many, many, "id", "v", 5).first()[0] == 1.0
-    with pytest.raises(RuntimeError):
-        V.leiden(df, df)
+    for needs in (lambda: V.leiden(df, df), lambda: V.umap(df, "id", "v")):
+        with pytest.raises(RuntimeError):
+            needs()
 
 
 def test_audit(spark):
@@ -117,6 +121,18 @@ def test_workbook():
     assert readers.read_xlsx(out.getvalue(), "S") == [["name", "", "5"]]
 
 
+def test_fixed_marks_and_block_tags(spark):
+    """Tags that end no paragraph, the marks of challenges and of errors that pass."""
+    page = extract.parse_page("<p>a</p>b<aside>c</aside><figure>d</figure>e<hr>f<address>g</address><li>h</li>i<br>j")
+    assert page.paragraphs == ["a", "b c d e f g", "h", "i", "j"]
+    texts = [("<html>CF-CHL-1", True), ("solve the captcha", False), ("Cloudflare Ray ID: 1", True), ("x" * 16_384 + "cf-chl-", False), (None, None)]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "k int, t string")
+    assert [r[0] for r in df.orderBy("k").select(fetch.challenged(F.col("t"))).collect()] == [w for _, w in texts]
+    errors = [("Remote end closed connection without response", True), ("temporarily moved", False), ("Service Temporarily Unavailable", True), ("HTTP Error 404", False), ("HTTP Error 503", True), (None, False)]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(errors)], "k int, t string")
+    assert [r[0] for r in df.orderBy("k").select(L.transient(F.col("t"))).collect()] == [w for _, w in errors]
+
+
 def test_extraction(spark):
     page = extract.parse_page('<html><head><title>T x</title><meta property="article:published_time" content="2020-01-02"></head><body><script>no</script><p>One <b>two</b></p><div>three<br>four</div><a href="/l">link</a></body></html>', "https://e.org/a")
     assert (page.title, page.paragraphs, page.links, page.published) == ("T x", ["One two", "three", "four", "link"], ["https://e.org/l"], "2020-01-02")
@@ -140,10 +156,132 @@ def test_sentences_and_segments():
     assert all(20 <= n <= 90 for n in counts) and sum(counts) == 20 + 210
 
 
+def test_sentences_after_abbreviations():
+    for abbreviation in segment.ABBREVIATIONS:
+        assert segment.sentences(f"Ask {abbreviation.capitalize()} Smith. Then go.") == [f"Ask {abbreviation.capitalize()} Smith.", "Then go."]
+    assert segment.sentences("Apples, pears, etc. They sell Acme Inc. Shares rose.") == ["Apples, pears, etc.", "They sell Acme Inc.", "Shares rose."]
+
+
+def test_packed_segments_lose_nothing_and_fit():
+    import random
+
+    draw = random.Random(4)
+    for _ in range(300):
+        text = "\n\n".join(" ".join("Word" + " word" * draw.randrange(0, 30) + "." for _ in range(draw.randrange(1, 9))) for _ in range(draw.randrange(1, 8)))
+        got = segment.packed(text)
+        assert " ".join(" ".join(got).split()) == " ".join(text.split())
+        sizes = [segment.token_count(x) for x in got]
+        assert max(sizes) <= 110  # the most, its slack and a last short group
+        assert len(got) == 1 or all(a >= 20 or a + b > 90 for a, b in zip(sizes, sizes[1:]))
+
+
+def test_runs_of_sizes():
+    assert segment.runs([5, 5, 30, 3], lambda total, n, size: total + size <= 12, 4, 40) == [[0, 1], [2, 3]]
+    assert segment.runs([], lambda *_: True, 1, 1) == [] and segment.runs([1], lambda *_: True, 9, 9) == [[0]]
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 5])
+def test_quantiles_are_exact(spark, accuracy):
+    import random
+
+    import numpy as np
+
+    draw = random.Random(9)
+    rows = [(k % 3, float(draw.choice([draw.gauss(0, 1), 7, 7]))) for k in range(500)] + [(4, 1.0), (5, 1.0), (5, 2.0), (6, 3.0), (6, 1.0), (6, 2.0), (7, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    shares = (0.25, 0.5, 0.75, 0.0, 1.0)
+    got = {r.g: [r[f"q{k}"] for k in range(5)] for r in R.quantiles(df, ["g"], "v", shares, accuracy).collect()}
+    for g in {g for g, v in rows if v is not None}:
+        assert np.allclose(got[g], np.quantile([v for h, v in rows if h == g], shares)), g
+    assert 7 not in got
+    whole = R.quantiles(df, [], "v", (0.3,), accuracy).collect()
+    assert np.isclose(whole[0].q0, np.quantile([v for _, v in rows if v is not None], 0.3))
+
+
+def test_best_pairs_against_brute_force(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = [(draw.randrange(12), k, draw.choice("ab" if k % 3 else "a")) for k in range(60)] + [(99, 1000, "a")]
+    want = {}
+    for g in {g for g, _, _ in rows}:
+        own = [(k, s) for h, k, s in rows if h == g]
+        pairs = [(s == t, a, b) for a, s in own for b, t in own if a < b]
+        if pairs:
+            want[g] = min(pairs)[1:]
+    got = {r.g: (r.left_key, r.right_key) for r in R.best_pairs(spark.createDataFrame(rows, "g int, k int, s string"), ["g"], "k", "s").collect()}
+    assert got == want
+
+
+def test_vector_caches_thresholds_and_samples(spark, tmp_path):
+    assert V.selected_threshold({"t": 0.4}, "t") == 0.4
+    for bad in ({}, {"t": None}, {"t": 0}, {"t": 1.0}, {"t": "0.5"}, {"t": True}):
+        with pytest.raises(ValueError):
+            V.selected_threshold(bad, "t")
+    assert V.cache_mismatches({"a": 1, "b": 2}, {"a": 1, "b": 3, "c": 4}) == ["b", "c"]
+    calls = []
+    make = lambda: calls.append(1) or spark.createDataFrame([(1, [1.0])], "id int, v array<double>")
+    for meta in ({"hash": "x", "n": 1}, {"n": 1, "hash": "x"}, {"hash": "y", "n": 1}):
+        assert V.cached(spark, f"{tmp_path}/cache", meta, make).count() == 1
+    assert len(calls) == 2
+    with pytest.raises(ValueError):
+        V.shared_vectors(make(), "id", "v", most=4)
+    rows = [("g", c, f"{c}{k}") for c, n in (("a", 50), ("b", 3), ("c", 1)) for k in range(n)]
+    got = V.balanced_sample(spark.createDataFrame(rows, "g string, c string, k string"), "g", "c", "k", 8, 5).groupBy("c").count().collect()
+    assert {r.c: r["count"] for r in got} == {"a": 4, "b": 3, "c": 1}
+    made = V.encode(spark.createDataFrame([(1, "abc"), (2, None)], "id int, t string"), "id", "t", lambda: lambda texts: [[len(t), 1] for t in texts])
+    assert {r.id: r.vector for r in made.collect()} == {1: [3.0, 1.0], 2: [0.0, 1.0]}
+
+
+def test_ordered_hash_over_ranges(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(k, f"v{k}") for k in range(25)], "k long, v string").repartition(5)
+    part = lambda lo, hi: hashlib.sha256("\n".join(f"{k}:v{k}" for k in range(lo, hi)).encode()).hexdigest()
+    want = hashlib.sha256("\n".join([part(0, 10), part(10, 20), part(20, 25)]).encode()).hexdigest()
+    assert tuple(V.ordered_hash(df, "k", "v", rows=10).first()) == (want, 25)
+
+
+def test_trustworthiness_against_brute_force(spark):
+    import numpy as np
+
+    x = np.random.default_rng(2).normal(size=(30, 4))
+    df = spark.createDataFrame([(k, v.tolist(), v[:2].tolist()) for k, v in enumerate(x)], "id int, v array<double>, p array<double>")
+    rank = lambda z, i: sorted((j for j in range(30) if j != i), key=lambda j: (round(((z[i] - z[j]) ** 2).sum(), 12), j))
+    penalty = sum(max(0, rank(x, i).index(j) + 1 - 6) for i in range(30) for j in rank(x[:, :2], i)[:6])
+    got = V.trustworthiness(df.select("id", "v"), df.select("id", F.col("p").alias("v")), "id", "v", 6, block=7).first()[0]
+    assert math.isclose(got, 1 - penalty * 2 / (30 * 6 * (60 - 18 - 1)))
+
+
+def test_register_errors_and_study_years(spark):
+    rows = spark.createDataFrame([("r", "A", "endorsed", "D", "2020-01-01", "b"), ("r", "B", "opponent", "R", "2020-02-01", None)], "race_id string, candidate_name string, role string, party string, election_date string, body string")
+    none = spark.createDataFrame([], "race_id string, office string, jurisdiction string, state_code string, official_source string")
+    got = C.race_registry(rows, {"manual": none}, ("D",)).first()
+    assert got.errors and got.unresolved_fields == "office | jurisdiction | state_code | official_source" and got.scope_kind == "in_scope"
+    years = spark.createDataFrame([(2019,), (2030,)], "y int")
+    assert C.within_years(years, F.col("y"), 2016, 2026, strict=False).count() == 1
+    with pytest.raises(Exception, match="outside the study"):
+        C.within_years(years, F.col("y"), 2016, 2026, strict=True).collect()
+    with pytest.raises(Exception, match="role is required"):
+        C.jobs(spark.createDataFrame([("A", "r")], "candidate_name string, race_id string"), strict=True).collect()
+    assert C.census_errors(years, "y", "y", (2030,), strict=True).first().severity == "error"
+
+
+def test_extraction_batch_is_resumable(spark, tmp_path):
+    queue = spark.createDataFrame([("a", "https://e.org/issues", None), ("b", "https://gone.org/", None), ("c", "https://e.org/", None)], "key string, url string, archive string")
+    attempts = spark.createDataFrame([("c", None, "2020")], "key string, error string, at string")
+    made = C.extraction_batch(queue, attempts, fake, limit=10)
+    made["captures"].write.parquet(f"{tmp_path}/c")
+    assert sorted(r.key for r in made["captures"].collect()) == ["a", "b"]
+    assert [(r.key, r.text) for r in made["documents"].collect()] == [("a", "text")] and made["segments"].count() == 1
+    again = C.extraction_batch(queue, made["attempts"], fake, limit=10)
+    assert [r.key for r in again["captures"].collect()] == ["b"]
+
+
 def fake(url):
     pages = {"https://e.org/": b'<a href="/issues">i</a><a href="https://other.org/x">o</a>', "https://e.org/issues": b"<p>text</p>"}
     if url == "https://blocked.org/":
-        return url, "text/html", b"please solve this CAPTCHA"
+        return url, "text/html", b"<TITLE>Just a moment...</title>"
     if url not in pages:
         raise TimeoutError("timed out")
     return url, "text/html", pages[url]
@@ -172,15 +310,6 @@ def test_streaming_upsert_and_ledger(spark, tmp_path):
     assert sorted((r.k, r.tries, r.status) for r in spark.table("ledger_test").collect()) == [("x", 1, "retry"), ("y", 1, "done")]
 
 
-def test_whole_table_queries_keep_every_row():
-    from duolex.plans import relational_queries, scalar_queries  # noqa: F401
-    from duolex.plans.registry import QUERIES, SQL
-
-    for name in ("pair_within_group", "range_overlap", "set_overlap_join", "alias_components", "staged_retries"):
-        assert f"{name}_whole" in QUERIES
-        assert " % 5 = 0" not in SQL[f"{name}_whole"] and "0 = 0" not in SQL[f"{name}_whole"] and len(SQL[f"{name}_whole"]) < len(SQL[name])
-
-
 def test_best_other_against_brute_force(spark):
     import random
 

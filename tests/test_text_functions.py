@@ -5,6 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from duolex.functions import identity as I
+from duolex.functions import predicates as P
 from duolex.functions import text as T
 from duolex.functions import urls as U
 from duolex.operators import stats
@@ -104,3 +106,36 @@ def test_balanced_lift(spark):
     w = stats.balanced_weights(spark.createDataFrame(rows, "grp string, race string, cand string, narrative string"), "grp", "race", "cand")
     got = {r.narrative: r for r in stats.lift(w, "narrative", "grp", "weight", ("a", "b")).collect()}
     assert (got["housing"].share_a, got["housing"].share_b, got["housing"].favored_group) == (0.5, 1.0, "b")
+
+
+def test_identities(spark):
+    for text, want in (("José  Ángel-Núñez, Jr.", "jose angel nunez jr"), ("Straße ﬁne ½", "strasse fine 1 2"), ("Ａｂｃ", "abc"), ("n\u0303o", "no"), ("", "")):
+        assert one(spark, I.identity(F.col("t")), t=text) == want, text
+    assert one(spark, I.text_identity(F.col("t")), t=" “É—x”  y ") == '"e-x" y'
+    assert one(spark, I.labels(F.col("t")), t="b| a ||b") == ["a", "b"]
+    assert one(spark, I.names(F.col("t")), t="Ann; none listed | Bo |Democratic  Primary Field") == ["Ann", "Bo"]
+    assert one(spark, I.official_group(F.col("t")), t="dsa_national | dsa_state_local") == "dsa"
+    for bad in ("dsa_national|dnc_national", "odd", ""):
+        with pytest.raises(Exception, match="unsupported or mixed"):
+            one(spark, I.official_group(F.col("t")), t=bad)
+    assert one(spark, I.first_url(F.col("t")), t=" https://a.org ; https://b.org") == "https://a.org"
+
+
+def test_chart_labels():
+    assert I.wrapped("one two three four five six", 9, 2) == ["one two", "three…"] and I.wrapped("a longwordindeed b", 5) == ["a", "longwordindeed", "b"]
+    assert I.tint("#102030", 0.5) == "#889098" and I.tint("#FFFFFF", 0.3) == "#FFFFFF"
+
+
+def test_predicates(spark):
+    for url, want in (
+        ("https://x.org/wp-content/endorse.js", False), ("https://x.org/2020/endorsements", True), ("https://x.org/events/endorsement-qa", False), ("https://x.org/candidates?tribe-bar-date=1", False),
+        ("https://x.org/call-for-candidates", False), ("https://x.org/calendar/elections", False), ("https://x.org/elections", True), ("https://x.org/voter%2Dguide", True), ("https://x.org/", False),
+    ):
+        assert one(spark, P.historical_url(F.col("u")), u=url) is want, url
+    for url, want in (("https://x.org/issues", True), ("https://x.org/", False), ("https://x.org/press.css", False), ("https://x.org/feed", False), ("https://x.org/wp-content/policy.pdf", False), ("https://x.org/privacy-policy", False), ("https://x.org/my%20Speech.pdf", True)):
+        assert one(spark, P.discovery_url(F.col("u")), u=url) is want, url
+    for host, slug, registered, want in (("smith.org", "jane-smith", False, True), ("vote-smith.org", "jane-smith", False, False), ("lee.org", "ann-lee", False, False), ("x.gov", "x", True, True)):
+        assert one(spark, P.own_domain(F.col("h"), F.lit(slug), F.lit(registered), ("docs.google.com",)), h=host) is want
+    done = lambda f, e, c, t, p, tp: P.is_completed(F.lit(f), F.lit(e), F.lit(c), F.lit(t), F.lit(p), F.lit(2), F.lit(tp), F.lit(2))
+    for args, want in ((("fetched", "extracted", "verified", "x", 3, 3), True), (("fetched", "extracted", "verified", "x", 3, 2), False), (("fetched", "extracted", "verified", " ", 3, 3), False), (("failed", "extracted", "verified", "x", 3, 3), False), (("reused_raw", "media_no_transcript", "media_no_transcript", None, 0, 0), True), ((None, None, None, None, 0, 0), False)):
+        assert one(spark, done(*args), u="") is want, args
