@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import plain_quotes, squeezed
+from .text import plain_quotes, squeezed, stripped
 
 #: Blocks with precomposed Latin letters, ligatures and wide forms, whose decompositions make the translation tables.
 _LATIN = (range(0xA0, 0x250), range(0xFB00, 0xFB07), range(0x1E00, 0x1F00), range(0x2070, 0x20A0), range(0xFF10, 0xFF5B))
@@ -51,17 +51,39 @@ def text_identity(text: Column) -> Column:
 
 def labels(cell: Column) -> Column:
     """The distinct non-blank labels of a pipe list, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), r"\|"), stripped), lambda x: x != "")))
 
 
 def names(cell: Column) -> Column:
     """The names of a list with semicolons or pipes, in order, without those that stand for nobody."""
-    parts = F.transform(F.split(F.coalesce(cell, F.lit("")), "[;|]"), lambda x: F.trim(x))
+    parts = F.transform(F.split(F.coalesce(cell, F.lit("")), "[;|]"), stripped)
     return F.filter(parts, lambda x: (x != "") & ~F.lower(squeezed(x)).isin([*PLACEHOLDERS]))
 
 
+# What may follow a name.
+SUFFIXES = ("jr", "sr", "ii", "iii", "iv")
+
+
+def name_tokens(name: Column) -> Column:
+    """A name's words: accents, brackets with what is in them, quotes and what may follow a name off, lower case."""
+    low = F.regexp_replace(F.lower(accentless(name)), r"\([^)]*\)|[\"“”‘’]", " ")
+    plain = F.regexp_replace(F.regexp_replace(low, rf"\b({'|'.join(SUFFIXES)})\b", " "), "[^a-z0-9]+", " ")
+    return F.filter(F.split(plain, " "), lambda w: w != "")
+
+
+def name_key(name: Column) -> Column:
+    """What two names of one person share: the given name, or initials written together, and the last one; a single word itself; NULL without words."""
+
+    def key(words: Column) -> Column:
+        last, given = F.element_at(words, -1), F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
+        first = F.when(F.forall(given, lambda w: F.length(w) == 1), F.array_join(given, "")).otherwise(words[0])
+        return F.when(F.size(words) == 1, words[0]).when(F.size(words) > 1, F.concat_ws(" ", first, last))
+
+    return F.transform(F.array(name_tokens(name)), key)[0]
+
+
 def first_url(cell: Column) -> Column:
-    return F.trim(F.substring_index(cell, ";", 1))
+    return stripped(F.substring_index(cell, ";", 1))
 
 
 def official_group(categories: Column, strict: bool = True) -> Column:

@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import stripped
 from .urls import domain, part
 
 # Scopes and states of documents.
@@ -57,7 +58,7 @@ def ends(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def field(column: Column) -> Column:
-    return F.trim(F.coalesce(column, F.lit("")))
+    return stripped(F.coalesce(column, F.lit("")))
 
 
 def supports_analysis(scope: Column, coverage: Column, extraction: Column) -> Column:

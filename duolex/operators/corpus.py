@@ -251,6 +251,37 @@ def winners(votes: DataFrame, race: list[str], candidate: str, count: str, named
     return best.join(races, race).select(*race, candidate, count, F.when(F.col(count) == F.col("top"), "Win").otherwise("Loss").alias("outcome"))
 
 
+def match_names(left: DataFrame, right: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows of both whose names may be one person's within equal keys: an equi-join on name_key. right's other columns come along; its name is right_name."""
+    b = right.withColumn("__key", I.name_key(F.col(name))).withColumnRenamed(name, "right_name")
+    return left.withColumn("__key", I.name_key(F.col(name))).join(b, [*keys, "__key"]).drop("__key")
+
+
+#: Roles of people who are backed.
+BACKED = ("endorsed", "unopposed")
+
+
+def sticking_points(evidence: DataFrame) -> DataFrame:
+    """race_id, left, right, kind, topic, left_quote, right_quote: explicit conflicts with a named opponent, and topics on which two people of a race hold unlike stances, if one of them is backed.
+
+    evidence: race_id, candidate_name, role, topic, stance, quote, opponent,
+    status. Only verified rows with a quote count. Of a person's rows on a
+    topic the first by stance and quote stands for it, so a race gives at most
+    its people squared for each topic.
+    """
+    rows = evidence.filter((F.col("status") == "verified") & (field(F.col("quote")) != "")).withColumn("who", I.identity(F.col("candidate_name")))
+    known = rows.groupBy("race_id", "who").agg(F.max("role").alias("known_role"), F.min("candidate_name").alias("shown"))
+    opponents = known.select("race_id", F.col("who").alias("other"), F.col("known_role").alias("other_role"), F.col("shown").alias("other_shown"))
+    named = rows.filter(field(F.col("opponent")) != "").withColumn("other", I.identity(F.col("opponent"))).join(opponents, ["race_id", "other"], "left")
+    named = named.filter(F.col("role").isin(*BACKED) | F.coalesce(F.col("other_role").isin(*BACKED), F.lit(False)))
+    explicit = named.select("race_id", F.col("candidate_name").alias("left"), F.coalesce("other_shown", "opponent").alias("right"), F.lit("explicit_conflict").alias("kind"), F.coalesce("topic", F.lit("")).alias("topic"), F.col("quote").alias("left_quote"), F.lit("").alias("right_quote"))
+    told = rows.filter(field(F.col("topic")) != "").groupBy("race_id", "topic", "who").agg(F.min(F.struct("stance", "quote")).alias("s")).join(known, ["race_id", "who"])
+    a = told.select("race_id", "topic", F.col("who").alias("a"), F.col("shown").alias("left"), "s", F.col("known_role").alias("ra"))
+    b = told.select("race_id", "topic", F.col("who").alias("b"), F.col("shown").alias("right"), F.col("s").alias("t"), F.col("known_role").alias("rb"))
+    pairs = a.join(b, ["race_id", "topic"]).filter((F.col("a") < F.col("b")) & (F.col("s.stance") != F.col("t.stance")) & (F.col("ra").isin(*BACKED) | F.col("rb").isin(*BACKED)))
+    return explicit.unionByName(pairs.select("race_id", "left", "right", F.lit("divergence").alias("kind"), "topic", F.col("s.quote").alias("left_quote"), F.col("t.quote").alias("right_quote")))
+
+
 def named_groups(text: Column, pattern: str) -> Column:
     """array<struct> of a pattern's named groups for each of its matches, in order."""
     import re

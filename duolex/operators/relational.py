@@ -86,10 +86,16 @@ def unanimous(df: DataFrame, keys: list[str], priority: str, value: str) -> Data
     )
 
 
+#: Values of a list that rows are completed with, at most.
+SPINE_ROWS = 100_000
+
+
 def completed(df: DataFrame, spine: list[DataFrame], keys: list[str]) -> DataFrame:
-    """A row for each combination of the spine's values; counts are 0 where df has none. The spine's tables are small lists of values."""
+    """A row for each combination of the spine's values; counts are 0 where df has none. The spine's tables but the first are lists of values, whose length is checked."""
     grid = spine[0]
     for other in spine[1:]:
+        if other.limit(SPINE_ROWS + 1).count() > SPINE_ROWS:
+            raise ValueError(f"more than {SPINE_ROWS} values in a list")
         grid = grid.crossJoin(F.broadcast(other))
     counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
     return grid.join(counts, keys, "left").fillna(0, ["n"])

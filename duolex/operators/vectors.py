@@ -168,8 +168,14 @@ def balanced_sample(df: DataFrame, group: str, candidate: str, key: str, limit:
     return rows.withColumn("__place", place).filter(F.col("__place") <= limit).drop("__key", "__turn", "__place")
 
 
+#: Rows that are clustered in their order at most.
+ORDERED_ROWS = 500_000
+
+
 def dp_means(points: DataFrame, id_col: str, vector: str, max_distance: float, max_iterations: int = 25) -> DataFrame:
-    """id_col, cluster, similarity, size by cosine DP-means in order of id. Each pass depends on the rows before, so one task runs it."""
+    """id_col, cluster, similarity, size by cosine DP-means in order of id. Whether a row opens a cluster depends on all rows before, so one task runs it; more than ORDERED_ROWS rows are an error."""
+    if points.limit(ORDERED_ROWS + 1).count() > ORDERED_ROWS:
+        raise ValueError(f"more than {ORDERED_ROWS} rows to cluster in order; pass a sample")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(id_col)

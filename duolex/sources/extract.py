@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import paragraphs, without_controls
 from ..operators.vectors import optional
 
 # Tags whose text is left out, and tags that begin and end a paragraph.
@@ -125,6 +126,62 @@ def pdf_text(content: bytes) -> str:
     return "\n\n".join(f"[PDF page {k}] {p}" for k, p in enumerate(pages, 1) if p)
 
 
+def pdf_texts(captures: DataFrame, id_col: str, content: str) -> DataFrame:
+    """id and text of each PDF, or what went wrong with it. Needs pypdf."""
+    optional("pypdf", "PDF text needs pypdf")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, raw in zip(batch[id_col], batch[content]):
+                try:
+                    rows.append((i, pdf_text(bytes(raw)), None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((i, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[id_col, "text", "error"])
+
+    kind = captures.schema[id_col].dataType.simpleString()
+    return captures.select(id_col, content).mapInPandas(run, f"{id_col} {kind}, text string, error string")
+
+
+def transcript(text: Column, title: Column) -> Column:
+    """A given transcript as paragraphs, its title first; NULL without words."""
+    body = F.array_join(paragraphs(without_controls(text)), "\n\n")
+    name = F.trim(F.coalesce(title, F.lit("")))
+    return F.when(body != "", F.when(name != "", F.concat(name, F.lit("\n\n"), body)).otherwise(body))
+
+
+def locator(start: Column, end: Column) -> Column:
+    """Where a segment is: one place, or the first and the last."""
+    return F.when((end == "") | (start == end), start).otherwise(F.concat(start, F.lit(" -> "), end))
+
+
+def sentence_place(where: Column) -> Column:
+    """paragraph and sentence of such a locator, 0 where it is none."""
+    form = r"^paragraph (\d+) sentence (\d+)$"
+    number = lambda k: F.coalesce(F.regexp_extract(where, form, k).try_cast("int"), F.lit(0))
+    return F.struct(number(1).alias("paragraph"), number(2).alias("sentence"))
+
+
+def search_links(body: Column) -> Column:
+    """Addresses in a site search's JSON answer, a list of objects with url or link; what isn't one has none."""
+    rows = F.from_json(body, "array<struct<url: string, link: string>>")
+    return F.array_distinct(F.array_compact(F.coalesce(F.transform(rows, lambda r: F.coalesce(r.url, r.link)), F.array().cast("array<string>"))))
+
+
+def shared_views(df: DataFrame, id_col: str, payload: str) -> DataFrame:
+    """id and cells map<string, string> of each row of each shared table view."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(i, list(r.items())) for i, raw in zip(batch[id_col], batch[payload]) for r in shared_view_rows(raw)]
+            yield pd.DataFrame(rows, columns=[id_col, "cells"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    made = df.select(id_col, payload).mapInPandas(run, f"{id_col} {kind}, cells array<struct<key: string, value: string>>")
+    return made.withColumn("cells", F.map_from_entries("cells"))
+
+
 def sitemap_locations(xml: Column) -> Column:
     return F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
 

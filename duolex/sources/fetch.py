@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from functools import reduce
@@ -88,3 +89,55 @@ def crawl(sites: DataFrame, key: str, home: str, fetcher: Fetcher, wanted: Calla
 
     found = sites.select(key, home).repartition(tasks).mapInPandas(run, CAPTURE)
     return found.groupBy("key", "url").agg(F.max_by(F.struct(*found.columns), "retrieved_at").alias("r")).select("r.*")
+
+
+_LOCATION = re.compile(r"(?is)<loc>\s*(.*?)\s*</loc>")
+_FEED = re.compile(r"""(?is)<item\b.*?<link>\s*(.*?)\s*</link>|<entry\b.*?<link[^>]*href="([^"]*)\"""")
+#: Where a site's own lists of pages are.
+LISTS = ("sitemap.xml", "sitemap_index.xml", "feed", "rss.xml")
+
+
+def discover(sites: DataFrame, key: str, domain: str, fetcher: Fetcher, wanted: Callable[[str], bool], pages: int, urls: int, archive: Callable[[str], list[str]] | None = None, tasks: int = 8) -> DataFrame:
+    """key, url, found_by: addresses of each domain that are wanted, at most urls a stage: from its home page, sitemaps (one level of nesting), feeds and up to pages of those found, then from an archive's index.
+
+    archive gives a domain's archived addresses within the window that counts.
+    A domain is one task's; a failure gives nothing and ends no other stage.
+    """
+    from urllib.parse import urlsplit
+
+    def read(url: str) -> str:
+        got = capture("", [url], fetcher)
+        return got[4].decode("utf-8", "replace") if got[4] is not None else ""
+
+    def stages(host: str) -> Iterator[tuple[str, str]]:
+        own = lambda u: urlsplit(u).netloc.lower().removeprefix("www.") == host.removeprefix("www.")
+        home = f"https://{host}/"
+        links = [u for u in parse_page(read(home), home).links if own(u)]
+        yield from ((u, "home") for u in links)
+        for name in LISTS:
+            body = read(home + name)
+            listed = _LOCATION.findall(body)
+            for nested in [u for u in listed if u.endswith(".xml")][:urls]:
+                listed += _LOCATION.findall(read(nested))
+            yield from ((u.replace("&amp;", "&"), "sitemap") for u in listed if own(u) and not u.endswith(".xml"))
+            yield from ((a or b, "feed") for a, b in _FEED.findall(body) if own(a or b))
+        for page in [u for u in dict.fromkeys(links) if wanted(u)][:pages]:
+            yield from ((u, "page") for u in parse_page(read(page), page).links if own(u))
+        if archive is not None:
+            try:
+                yield from ((u, "archive") for u in archive(host))
+            except Exception:  # noqa: BLE001
+                return
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: dict[tuple[str, str], tuple[str, str, str]] = {}
+            for site, host in batch.itertuples(index=False):
+                count: dict[str, int] = {}
+                for url, stage in stages(host.lower()):
+                    if wanted(url) and (site, url) not in rows and count.get(stage, 0) < urls:
+                        rows[site, url] = (str(site), url, stage)
+                        count[stage] = count.get(stage, 0) + 1
+            yield pd.DataFrame([*rows.values()], columns=["key", "url", "found_by"])
+
+    return sites.select(key, domain).repartition(tasks).mapInPandas(run, "key string, url string, found_by string")

@@ -114,6 +114,28 @@ def read_xlsx(content: bytes, sheet: str) -> list[list[str]]:
     return out
 
 
+def read_workbooks(spark: SparkSession, path: str, sheet: str) -> DataFrame:
+    """path, row, cells array<string> of a sheet of each workbook that path names; a file is one task's."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                rows = read_xlsx(bytes(content), sheet)
+                yield pd.DataFrame({"path": name, "row": range(1, len(rows) + 1), "cells": rows})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row long, cells array<string>")
+
+
+def with_header(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Cells (path, row, cells) as these columns, found by the header, which is each file's first row with all of them."""
+    head = rows.filter(F.size(F.array_except(F.array(*map(F.lit, columns)), F.transform("cells", lambda c: F.trim(c)))) == 0)
+    head = head.groupBy("path").agg(F.min_by(F.transform("cells", lambda c: F.trim(c)), "row").alias("names"), F.min("row").alias("first"))
+    below = rows.join(head, "path").filter("row > first")
+    return below.select("path", "row", *(F.coalesce(F.get("cells", (F.array_position("names", c) - 1).cast("int")), F.lit("")).alias(c) for c in columns))
+
+
 # ---- sinks ---------------------------------------------------------------------------------------------------------
 
 
@@ -155,6 +177,19 @@ def write_table(df: DataFrame, name: str, key: str) -> None:
     df.write.mode("overwrite").saveAsTable(name)
 
 
+def append_manifest(captures: DataFrame, path: str) -> None:
+    """A line for each capture: key, addresses, type, size, hash, time and error; lines that are there stay."""
+    write_jsonl(captures.select("key", "url", "final_url", "content_type", "byte_count", "sha256", "retrieved_at", "error"), path, append=True)
+
+
+def write_summary(spark: SparkSession, path: str, tables: dict[str, DataFrame], inputs: list[str], parameters: dict) -> dict:
+    """Rows of each table, parameters and the hash of each input file, as one JSON document."""
+    files = {r.path: r.sha256 for p in inputs for r in read_captures(spark, p).select("path", "sha256").collect()}
+    made = {"tables": {k: df.count() for k, df in sorted(tables.items())}, "inputs": files, "parameters": parameters}
+    spark.createDataFrame([(json.dumps(made, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return made
+
+
 def summary_json(df: DataFrame, inputs: dict[str, str], parameters: dict) -> str:
     """Rows, parameters and input hashes as JSON."""
     return json.dumps({"rows": df.count(), "columns": df.columns, "inputs": inputs, "parameters": parameters}, sort_keys=True)
@@ -169,6 +204,34 @@ def bar_chart(rows: list[tuple[str, float]], title: str, width: int = 640) -> st
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{50 + 22 * len(rows)}"><text x="8" y="20">{escape(title)}</text>{bars}</svg>'
 
 
+def scatter_chart(points: list[tuple[float, float, str]], title: str, width: int = 640, height: int = 480) -> str:
+    """Labelled points as SVG."""
+    from xml.sax.saxutils import escape
+
+    xs, ys = [p[0] for p in points] or [0], [p[1] for p in points] or [0]
+    place = lambda v, all_, size: 40 + (v - min(all_)) / ((max(all_) - min(all_)) or 1) * (size - 80)
+    marks = "".join(f'<circle cx="{place(x, xs, width):.1f}" cy="{height - place(y, ys, height):.1f}" r="4"/><text x="{place(x, xs, width) + 6:.1f}" y="{height - place(y, ys, height):.1f}">{escape(n)}</text>' for x, y, n in points)
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><text x="8" y="20">{escape(title)}</text>{marks}</svg>'
+
+
+def heat_chart(cells: list[tuple[int, int, float]], title: str, cell: int = 20) -> str:
+    """Squares of a grid by their share of the largest value, as SVG."""
+    from xml.sax.saxutils import escape
+
+    top = max((abs(v) for _, _, v in cells), default=1) or 1
+    marks = "".join(f'<rect x="{8 + cell * i}" y="{30 + cell * j}" width="{cell}" height="{cell}" fill-opacity="{abs(v) / top:.3f}"/>' for i, j, v in cells)
+    size = [cell * (1 + max((c[k] for c in cells), default=0)) for k in (0, 1)]
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{size[0] + 16}" height="{size[1] + 40}"><text x="8" y="20">{escape(title)}</text>{marks}</svg>'
+
+
+def markdown_report(title: str, sections: dict[str, DataFrame | str], limit: int = 50) -> str:
+    """A heading and each section: a text or a table's first rows."""
+    parts = [f"# {title}"]
+    for name, body in sections.items():
+        parts += [f"## {name}", body if isinstance(body, str) else markdown_table(body, limit)]
+    return "\n\n".join(parts) + "\n"
+
+
 def markdown_table(df: DataFrame, limit: int = 50) -> str:
     rows = df.limit(limit).collect()
     line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
