@@ -68,10 +68,10 @@ def token_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.segment_tokens(F.col("text"))).cast("long").alias("n"))
 
 
-@query("SELECT item_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS BIGINT) AS n, md5(array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]+'), ' ')) AS words_md5 FROM benchmark")
+@query("SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS BIGINT) AS n, md5(array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]+'), ' ')) AS words_md5 FROM documents")
 def generic_words(spark, sf_dir):
-    found = table(spark, sf_dir, "benchmark").select("item_id", T.generic_tokens(F.col("text")).alias("w"))
-    return found.select("item_id", F.size("w").cast("long").alias("n"), digest(F.col("w")).alias("words_md5"))
+    found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.generic_tokens(F.col("text")).alias("w"))
+    return found.select("doc_id", F.size("w").cast("long").alias("n"), digest(F.col("w")).alias("words_md5"))
 
 
 @query(f"WITH {SQL_TOKENS} SELECT doc_id, CAST(len({SQL_BIGRAMS}) AS BIGINT) AS n_bigrams, md5(array_to_string({SQL_BIGRAMS}, '|')) AS bigrams_md5 FROM tok")

@@ -12,6 +12,7 @@ from duolex.operators import corpus as C
 from duolex.operators import ledger as L
 from duolex.operators import relational as R
 from duolex.operators import vectors as V
+from duolex.functions import text as T
 from duolex.sources import extract, fetch, readers, segment
 from duolex.streaming import upsert
 
@@ -110,15 +111,26 @@ def test_csv_json_and_blobs(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/b").count() == 1
 
 
-def test_workbook():
+def workbook(cells):
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", '<R><Relationship Id="r1" Target="worksheets/sheet1.xml"/></R>')
         z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>name</t></si></sst>")
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>5</v></c></row></sheetData></worksheet>')
-    assert readers.read_xlsx(out.getvalue(), "S") == [["name", "", "5"]]
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{cells}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def test_workbook(spark, tmp_path):
+    assert readers.read_xlsx(workbook('<row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>5</v></c></row>'), "S") == [["name", "", "5"]]
+    text = lambda at, v: f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>'
+    made = workbook(f"<row>{text('A1', 'Results')}</row><row>{text('A2', 'VOTES')}{text('B2', ' NAME ')}</row><row>{text('A3', '12')}{text('B3', 'Ann')}</row><row>{text('B4', 'Bo')}</row>")
+    (tmp_path / "x.xlsx").write_bytes(made)
+    rows = readers.with_header(readers.read_workbooks(spark, f"{tmp_path}/x.xlsx", "S"), ["NAME", "VOTES"])
+    assert sorted((r.NAME, r.VOTES) for r in rows.collect()) == [("Ann", "12"), ("Bo", "")]
+    votes = rows.select("NAME", F.col("VOTES").try_cast("long").alias("VOTES"), F.lit("NY").alias("state")).fillna(0)
+    assert {r.NAME: r.outcome for r in C.winners(votes, ["state"], "NAME", "VOTES", F.col("NAME") == "Bo").collect()} == {"Ann": "Win", "Bo": "Loss"}
 
 
 def test_fixed_marks_and_block_tags(spark):
@@ -156,6 +168,66 @@ def test_sentences_and_segments():
     assert all(20 <= n <= 90 for n in counts) and sum(counts) == 20 + 210
 
 
+def test_transcripts_locators_searches_and_views(spark):
+    one = lambda column, **values: spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values)).select(column.alias("r")).first().r
+    assert one(extract.transcript(F.col("t"), F.col("n")), t="a\x01 b\n\n c", n=" Talk ") == "Talk\n\na b\n\nc" and one(extract.transcript(F.col("t"), F.lit(None)), t=" \n") is None
+    assert one(extract.locator(F.col("a"), F.col("b")), a="p 1", b="p 2") == "p 1 -> p 2" and one(extract.locator(F.col("a"), F.col("b")), a="p 1", b="p 1") == "p 1"
+    assert tuple(one(extract.sentence_place(F.col("t")), t="paragraph 12 sentence 3")) == (12, 3) and tuple(one(extract.sentence_place(F.col("t")), t="page 2")) == (0, 0)
+    assert one(extract.search_links(F.col("t")), t='[{"url":"https://a.org"},{"link":"https://b.org"},{"url":"https://a.org"},{}]') == ["https://a.org", "https://b.org"] and one(extract.search_links(F.col("t")), t="<html>") == []
+    view = '{"data":{"table":{"columns":[{"id":"f1","name":"Name"}],"rows":[{"cellValuesByColumnId":{"f1":"x"}}]}}}'
+    assert [r.cells for r in extract.shared_views(spark.createDataFrame([(1, view)], "id int, body string"), "id", "body").collect()] == [{"Name": "x"}]
+    with pytest.raises(RuntimeError):
+        extract.pdf_texts(spark.createDataFrame([(1, bytearray(b"x"))], "id int, c binary"), "id", "c")
+    page = "<title>T &amp; x</title><script>no</script><p>One <b>two</b></p><!-- c --><div>three&nbsp;4</div>"
+    assert one(T.html_to_text(F.col("t")), t=page) == "T & x\nOne two\nthree 4"
+
+
+def test_discovery_of_a_domain(spark):
+    pages = {
+        "https://x.org/": b'<a href="/issues/a">a</a><a href="/shop">s</a><a href="https://y.org/issues">y</a>',
+        "https://x.org/sitemap.xml": b"<urlset><loc>https://x.org/sub.xml</loc><loc>https://x.org/issues/b?x=1&amp;y=2</loc></urlset>",
+        "https://x.org/sub.xml": b"<loc>https://x.org/issues/c</loc>",
+        "https://x.org/feed": b"<item><title>t</title><link>https://x.org/issues/d</link></item>",
+        "https://x.org/issues/a": b'<a href="/issues/e">e</a>',
+    }
+
+    def get(url):
+        if url not in pages:
+            raise TimeoutError("timed out")
+        return url, "text/html", pages[url]
+
+    sites = spark.createDataFrame([("k", "X.org"), ("z", "none.org")], "k string, d string")
+    got = fetch.discover(sites, "k", "d", get, lambda u: "/issues/" in u, pages=3, urls=5, archive=lambda host: [f"https://{host}/issues/old"], tasks=1)
+    want = {("a", "home"), ("b?x=1&y=2", "sitemap"), ("c", "sitemap"), ("d", "feed"), ("e", "page"), ("old", "archive")}
+    assert {(r.url.split("/issues/")[1], r.found_by) for r in got.collect() if r.key == "k"} == want
+    assert [(r.url, r.found_by) for r in got.collect() if r.key == "z"] == [("https://none.org/issues/old", "archive")]
+
+
+def test_manifests_summaries_charts_and_commands(spark, tmp_path, capsys):
+    from duolex.__main__ import COMMANDS, main
+    from duolex.plans.registry import QUERIES
+
+    queue = spark.createDataFrame([("a", "https://e.org/issues")], "k string, url string")
+    got = fetch.fetch(queue, "k", ["url"], fake, 1)
+    for _ in range(2):
+        readers.append_manifest(got, f"{tmp_path}/m")
+    assert spark.read.json(f"{tmp_path}/m").count() == 2
+    (tmp_path / "in.txt").write_text("abc")
+    made = readers.write_summary(spark, f"{tmp_path}/s", {"queue": queue}, [f"{tmp_path}/in.txt"], {"least": 5})
+    assert made["tables"] == {"queue": 1} and [*made["inputs"].values()] == ["ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"] and readers.read_json_object(spark, f"{tmp_path}/s") == made
+    assert readers.scatter_chart([(0, 0, "a<"), (1, 2, "b")], "t").count("<circle") == 2 and readers.heat_chart([(0, 0, 1.0), (1, 0, 0.5)], "t").count("<rect") == 2
+    assert readers.markdown_report("R", {"A": "text", "B": queue}) == "# R\n\n## A\n\ntext\n\n## B\n\n| k | url |\n| --- | --- |\n| a | https://e.org/issues |\n"
+    assert main(["list"]) == 0 and main(["sql", "race_registry"]) == 0 and main(["odd"]) == 1 and "kde" in capsys.readouterr().out
+    assert all(n in QUERIES for names in COMMANDS.values() for n in names)
+
+
+def test_names_of_one_person(spark):
+    left = spark.createDataFrame([(1, "José (Pepe) Núñez, Jr."), (1, "A. B. Cole"), (1, "Cher"), (1, " "), (2, "Ann Lee")], "y int, name string")
+    right = spark.createDataFrame([(1, "Jose M. Nunez"), (1, "AB Cole"), (1, "cher"), (1, "A. C. Cole"), (3, "Ann Lee"), (1, "")], "y int, name string")
+    got = sorted((r.name, r.right_name) for r in C.match_names(left, right, ["y"], "name").collect())
+    assert got == [("A. B. Cole", "AB Cole"), ("Cher", "cher"), ("José (Pepe) Núñez, Jr.", "Jose M. Nunez")]
+
+
 def test_sentences_after_abbreviations():
     for abbreviation in segment.ABBREVIATIONS:
         assert segment.sentences(f"Ask {abbreviation.capitalize()} Smith. Then go.") == [f"Ask {abbreviation.capitalize()} Smith.", "Then go."]
