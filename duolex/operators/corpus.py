@@ -176,6 +176,10 @@ def coverage_gaps(support: DataFrame, attempts: DataFrame) -> DataFrame:
     return gaps.withColumn("retryable", (F.col("tries") == 0) | (F.col("last_error").isNotNull() & ledger.transient(F.col("last_error"))))
 
 
+#: Categories of an inventory at most.
+CATEGORIES = 1000
+
+
 def context_inventory(cycles: DataFrame, categories: DataFrame, seeds: DataFrame) -> DataFrame:
     """An entry for each state, cycle and category: the seeds' where there are some, else a synthetic one to be searched for.
 
@@ -183,7 +187,10 @@ def context_inventory(cycles: DataFrame, categories: DataFrame, seeds: DataFrame
     the three, url and title.
     """
     keys = ["state_code", "cycle_year", "category"]
-    wanted = cycles.select(*keys[:2]).distinct().crossJoin(F.broadcast(categories.select("category").distinct()))  # a short list
+    names = [r.category for r in categories.select("category").distinct().orderBy("category").limit(CATEGORIES + 1).collect()]
+    if len(names) > CATEGORIES:
+        raise ValueError(f"more than {CATEGORIES} categories")
+    wanted = cycles.select(*keys[:2]).distinct().withColumn("category", F.explode(F.array(*map(F.lit, names)).cast("array<string>")))
     made = wanted.join(seeds, keys, "left")
     title = F.concat_ws(" ", "state_code", "cycle_year", I.pretty(F.col("category")))
     return made.select(

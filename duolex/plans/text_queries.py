@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import stats
+from ..operators.relational import checkpointed
 from .registry import query, spread, table
 
 
@@ -184,7 +185,7 @@ def keyword_topics(spark, sf_dir):
 
 @query(f"WITH h AS (SELECT doc_id, sha256({SQL_NORMALISED}) AS hash FROM documents) SELECT doc_id, hash, CAST(count(*) OVER (PARTITION BY hash) AS BIGINT) AS n_same FROM h")
 def exact_dupes(spark, sf_dir):
-    hashed = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.exact_hash(F.col("text")).alias("hash")).persist()
+    hashed = checkpointed(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.exact_hash(F.col("text")).alias("hash")))  # texts are read once
     return stats.with_counts(hashed, "hash", "n_same")
 
 
@@ -194,7 +195,7 @@ SQL_INF = f"list_transform(list_filter({SQL_SEGMENT}, lambda t: length(t) > 2 AN
 
 @query(f"WITH i AS (SELECT doc_id, {SQL_INF} AS inf FROM documents), h AS (SELECT doc_id, {SQL_NEAR} AS hash FROM i) SELECT doc_id, hash, CASE WHEN hash = '' THEN 1 ELSE CAST(count(*) OVER (PARTITION BY hash) AS BIGINT) END AS n_same FROM h")
 def near_dupes(spark, sf_dir):
-    hashed = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.near_hash(F.col("text")).alias("hash")).persist()
+    hashed = checkpointed(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.near_hash(F.col("text")).alias("hash")))  # texts are read once
     counted = stats.with_counts(hashed.filter("hash <> ''"), "hash", "n_same")
     return counted.unionByName(hashed.filter("hash = ''").withColumn("n_same", F.lit(1).cast("long")))
 
