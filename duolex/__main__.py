@@ -17,7 +17,7 @@ from .plans.registry import QUERIES, SQL
 COMMANDS = {
     "registry": ("race_registry", "race_unresolved", "race_cycles"),
     "audit": ("candidate_support", "audit_group_years", "audit_gates", "audit_gaps"),
-    "queue": ("discovery_queue", "document_jobs", "attempts_ledger", "staged_retries"),
+    "queue": ("discovery_queue", "document_jobs", "attempts_ledger", "staged_retries", "extraction_batch"),
     "context": ("context_inventory",),
     "rosters": ("presidential_rosters", "roster_winners"),
     "segments": ("paragraphs", "sentences", "segments_packed", "boilerplate_flags"),

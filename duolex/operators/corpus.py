@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..functions.predicates import field
 from . import ledger, stats
+from .relational import checkpointed
 
 #: What a candidate's row is known by.
 CANDIDATE = ("race_id", "slug", "election_date", "role")
@@ -207,13 +208,13 @@ def extraction_batch(queue: DataFrame, attempts: DataFrame, fetcher: Callable, l
 
     queue: key, url, archive, and whatever else. attempts: key, error, at.
     Returns captures, documents (key, text), segments (key, place, text) and
-    attempts, to be kept with ledger.replace_keys. Each is computed from the
-    captures, which the caller should write first.
+    attempts, to be kept with ledger.replace_keys. The captures are written
+    once, so that no address is fetched again for the other tables.
     """
     from ..sources import extract, fetch, segment
 
     todo = ledger.due(queue, attempts, "key", most, limit)
-    captures = fetch.fetch(todo, "key", ["url", "archive"], fetcher)
+    captures = checkpointed(fetch.fetch(todo, "key", ["url", "archive"], fetcher))
 
     def documents(captures: DataFrame) -> DataFrame:
         good = captures.filter("error is null").withColumn("kind", extract.kind_of(F.col("content_type"), F.col("final_url")))

@@ -143,6 +143,28 @@ def context_inventory(spark, sf_dir):
     return C.context_inventory(cycles, categories, seeds)
 
 
+def page_of(url):
+    """A stand-in for the network: a page for every address, but for blogs, which time out."""
+    if "blog" in url:
+        raise TimeoutError("timed out")
+    return url, "text/html", f"<title>t</title><aside>Page</aside> of <b>{url}</b><p>and more".encode()
+
+
+@query("""WITH q AS (SELECT CAST(page_id AS VARCHAR) AS key, url, page_id % 4 AS k FROM pages), d AS (SELECT * FROM q WHERE k IN (1, 3) ORDER BY CASE k WHEN 3 THEN 0 ELSE 1 END, key LIMIT 100)
+ SELECT key, CASE WHEN contains(url, 'blog') THEN '' ELSE 'Page of ' || url || chr(10) || chr(10) || 'and more' END AS text, CASE WHEN contains(url, 'blog') THEN 'TimeoutError: timed out' ELSE '' END AS error, CASE WHEN k = 3 THEN 1 ELSE 2 END AS tries, CAST(CASE WHEN contains(url, 'blog') THEN 0 ELSE 1 END AS BIGINT) AS segments FROM d""")
+def extraction_batch(spark, sf_dir):
+    """One batch of a hundred pages: what was never tried, then what timed out; neither what is done nor what can't be had."""
+    pages = table(spark, sf_dir, "pages")
+    key, k = F.col("page_id").cast("string").alias("key"), F.col("page_id") % 4
+    queue = pages.select(key, "url", F.lit(None).cast("string").alias("archive"))
+    attempts = pages.filter(k != 3).select(key, F.when(k == 1, "timed out").when(k == 2, "bad page").alias("error"), F.lit("2020").alias("at"))
+    made = C.extraction_batch(queue, attempts, page_of, limit=100)
+    tries = made["attempts"].groupBy("key").agg(F.count("*").cast("int").alias("tries"))
+    segments = made["segments"].groupBy("key").agg(F.count("*").alias("segments"))
+    rows = made["captures"].select("key", F.coalesce("error", F.lit("")).alias("error")).join(made["documents"], "key", "left").join(tries, "key").join(segments, "key", "left")
+    return rows.select("key", F.coalesce("text", F.lit("")).alias("text"), "error", "tries", F.coalesce("segments", F.lit(0)).alias("segments"))
+
+
 @query("""WITH v AS (SELECT CAST(o_custkey % 50 AS VARCHAR) AS race, year(o_orderdate) AS day, o_custkey AS candidate, max(o_totalprice) AS votes FROM orders GROUP BY ALL), r AS (SELECT race, day, max(votes) AS top FROM v GROUP BY ALL HAVING bool_or(candidate % 11 = 0))
  SELECT race, day, candidate, round(votes, 4) AS votes, CASE WHEN votes = top THEN 'Win' ELSE 'Loss' END AS outcome FROM v JOIN r USING (race, day)""")
 def presidential_rosters(spark, sf_dir):
