@@ -30,9 +30,9 @@ DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_CHARS = (32, 40, 56, 64, 96, 128)
 #: Identifiers.
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-#: Words of one case or with a capital first, joined by signs, with a number at most at the end.
+#: Words of one case or with a capital first, joined by signs, at most with a number at the end.
 _WORD = "(?:[A-Z]?+[a-z]++|[A-Z]++)(?![A-Za-z])"
-WORDS = re.compile(rf"[+/_=-]*+{_WORD}(?:[+/_=-]++{_WORD})*+[0-9]{{0,4}}+[+/_=-]*+")
+WORDS = re.compile(rf"[+/_=-]*+{_WORD}(?:[+/_=-]++{_WORD})*+[+/_=-]*+[0-9]{{0,4}}+[+/_=-]*+")
 #: Plain numbers, dates and phone or card numbers.
 NUMBER = re.compile(r"[0-9+/_=-]+")
 
