@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import seeded_key
-from .relational import quantiles
+from .relational import checkpointed, quantiles
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -150,6 +150,7 @@ def log1p_exp(x: Column) -> Column:
 
 def zones(scored: DataFrame, score: str, group: str, positive: str, negative: str) -> DataFrame:
     """zone: shared by the middle of |score|, hot by the positive group's upper quartile, cold by the negative group's lower one."""
+    scored = checkpointed(scored)  # the cuts read it several times
     hot = quantiles(scored.filter(F.col(group) == positive), [], score, (0.75,)).withColumnRenamed("q0", "hot")
     cold = quantiles(scored.filter(F.col(group) == negative), [], score, (0.25,)).withColumnRenamed("q0", "cold")
     near = quantiles(scored.select(F.abs(score).alias(score)), [], score, (0.25,)).withColumnRenamed("q0", "near")
