@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import Scratch, remainder, table
 
 
 def vocabulary(name: str) -> str:
@@ -125,6 +125,29 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), word_pattern()))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import as_records, canonical_turns, format_turns, read_conversations
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema)
+    turns = canonical_turns(as_records(rows.unionByName(more)), ["conv_id", "turn"])
+    return read_conversations(format_turns(turns), Scratch(spark))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import damaged, repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")), Scratch(spark))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import encoded_turns, prefix_trie, rebuilt
+
+    scratch = Scratch(spark)
+    return prefix_trie(*rebuilt(encoded_turns(table(spark, sf_dir, "conversations"), scratch), scratch), scratch)
+
+
 def token_digests(coded: DataFrame) -> DataFrame:
     return coded.select(
         "doc_id",
