@@ -33,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_ids, join_rows, slices, text_key
+from .common import Scratch, join_rows, slices, text_key
 from .words import mixed, shingles
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Tries, hashes of a key, and the share of links that must meet in some trie.
 TREES, KEY, RECALL = 16, 8, 0.9995
-#: Classes with a candidate from which on the recall is measured.
+#: Classes with a candidate from which on the recall is measured. From fewer the mean of shares can't be told from the target, so the
+#: prefix is then shortened at once to the depth that needs no measuring: the same links or more, for more candidates.
 EVIDENCE = 1000
 #: Candidates are verified from this estimate on: four standard deviations below the threshold.
 ESTIMATE = 0.66
@@ -181,7 +182,7 @@ def _candidates(rows: DataFrame, depth: int, done: int, least: float, threshold:
     others: the places in block v of the candidates for which this class is the
     first of the pair. equal: on one of the class's rows in the task, how many
     candidates it has with each number of equal hashes.
-    rows: task, side, tree, cls, doc, grams, sig, in order of task within a partition.
+    rows: task, side, tree, cls, doc, text_key, grams, sig, in order of task within a partition.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,14 +200,14 @@ def _candidates(rows: DataFrame, depth: int, done: int, least: float, threshold:
         if not part.num_rows:
             return
         task, side, tree = (part.column(k).to_numpy() for k in range(3))
-        cls, doc = part.column(3).to_pylist(), part.column(4).to_pylist()
-        grams, sigs = part.column(5).to_numpy(), _keys(part.column(6))
+        cls, doc, text = (part.column(k).to_pylist() for k in (3, 4, 5))
+        grams, sigs = part.column(6).to_numpy(), _keys(part.column(7))
         starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
         out = []
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(task)]):
             if hi - lo > 1:
                 near = list(_near(sigs[lo:hi], grams[lo:hi], side[lo:hi], int(tree[lo]), depth, done, least, threshold))
-                out += ((int(task[lo]), u, v, x, y, cls[lo + k], doc[lo + k], *rest) for u, v, x, y, k, *rest in _asked(near, side[lo:hi], grams[lo:hi]))
+                out += ((int(task[lo]), u, v, x, y, cls[lo + k], doc[lo + k], text[lo + k], *rest) for u, v, x, y, k, *rest in _asked(near, side[lo:hi], grams[lo:hi]))
             if len(out) >= 2000:
                 yield batch_of(out, part.column(4).type)
                 out = []
@@ -214,11 +215,11 @@ def _candidates(rows: DataFrame, depth: int, done: int, least: float, threshold:
             yield batch_of(out, part.column(4).type)
 
     def batch_of(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        types = (pa.int64(), *[pa.int32()] * 4, pa.binary(), kind, pa.binary(), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["task", "u", "v", "block", "place", "cls", "doc", "others", "equal"])
+        types = (pa.int64(), *[pa.int32()] * 4, pa.binary(), kind, pa.binary(), pa.binary(), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["task", "u", "v", "block", "place", "cls", "doc", "text_key", "others", "equal"])
 
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(run, f"task long, u int, v int, block int, place int, cls binary, doc {kind}, others binary, equal array<int>")
+    return rows.mapInArrow(run, f"task long, u int, v int, block int, place int, cls binary, doc {kind}, text_key binary, others binary, equal array<int>")
 
 
 def _asked(near: list[tuple[int, np.ndarray, np.ndarray]], side: np.ndarray, grams: np.ndarray) -> Iterator[tuple]:
@@ -249,6 +250,8 @@ def recalls(asked: DataFrame, depth: int, least: int, threshold: float = THRESHO
     """From the candidates that a depth has led to: the classes with one whose estimate passes the threshold, and for each depth down to least the share of such pairs that meet there, as a mean over classes.
 
     A pair stands for 1 / met(its similarity) pairs that the depth has or has missed (Horvitz and Thompson 1952).
+    A class of which no pair at all has met yet isn't in the mean; such a class has few and distant links, which the
+    weights of its like that have met stand for, and the depth at which measuring ends finds it.
     """
     wanted, levels = range(depth, least - 1, -1), [k for k, x in enumerate(_LEVELS) if x >= threshold]
     sums = asked.filter("equal is not null").groupBy("cls").agg(*(F.sum(F.get("equal", F.lit(k))).alias(f"n{k}") for k in levels))
@@ -268,8 +271,8 @@ def _found(nodes: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
     forest = scratch.save(_forest(nodes, least), "forest")
     depth, done, found = KEY, KEY + 1, None
     while True:
-        grouped = _tasks(forest, depth, done).join(nodes.select("cls", "doc", "grams", "sig"), "cls")
-        ordered = grouped.select("task", "side", "tree", "cls", "doc", "grams", "sig").repartition("task").sortWithinPartitions("task")
+        grouped = _tasks(forest, depth, done).join(nodes.select("cls", "doc", "text_key", "grams", "sig"), "cls")
+        ordered = grouped.select("task", "side", "tree", "cls", "doc", "text_key", "grams", "sig").repartition("task").sortWithinPartitions("task")
         asked = scratch.save(_candidates(ordered, depth, done, ESTIMATE, threshold), f"asked{depth}")
         found = asked if found is None else found.unionByName(asked)
         if depth == least:
@@ -283,8 +286,9 @@ def _found(nodes: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
 
 def _verified(asked: DataFrame, docs: DataFrame, scratch: Scratch, width: int, threshold: float, every: bool) -> DataFrame:
     """Of each pair of blocks: rows a, degree for each class with verified links, and rows a, b, jaccard: a spanning forest of them, or with every all of them."""
-    texts = scratch.save(join_ids(docs, asked.select("doc"), "doc", "left_semi", scratch, "ids"), "texts")
-    rows = asked.select("task", "u", "v", "block", "place", "cls", "others", "doc").join(texts, "doc")
+    texts = join_rows(docs, asked.select("doc", "text_key"), "doc", "text", "left_semi", scratch, "ids")
+    texts = scratch.save(texts.withColumn("text_key", text_key("text")).dropDuplicates(["doc", "text_key"]), "texts")
+    rows = asked.select("task", "u", "v", "block", "place", "cls", "others", "doc", "text_key").join(texts, ["doc", "text_key"])
     rows = rows.select("task", "u", "v", "block", "place", "cls", "others", "text").repartition("task", "u", "v").sortWithinPartitions("task", "u", "v")
 
     def links_of(held: dict[tuple[int, int], tuple[bytes, np.ndarray]], wanted: list[tuple[tuple[int, int], list[tuple[int, int]]]]) -> Iterator[tuple]:
@@ -327,8 +331,6 @@ def _verified(asked: DataFrame, docs: DataFrame, scratch: Scratch, width: int, t
                         yield batch_of(out)
                     at, held, wanted = key, {}, []
                 grams = shingles(text, width)
-                if hashlib.blake2b(grams.tobytes(), digest_size=16).digest() != own:
-                    continue  # an id that several texts have
                 held[block, place] = own, grams
                 if others is not None:
                     wanted.append(((block, place), [(key[2], k) for k in np.flatnonzero(np.unpackbits(np.frombuffer(others, np.uint8))).tolist()]))
@@ -362,7 +364,7 @@ def _classed(df: DataFrame, id_col: str, text_col: str, width: int, threshold: f
     rows = scratch.save(signatures(df, id_col, text_col, width), "rows")
     first = F.min(F.struct("doc", "text_key"))
     nodes = rows.filter("doc is not null").groupBy("cls").agg(first.alias("first"), F.count("*").alias("copies"), F.max("grams").alias("grams"), F.max("sig").alias("sig"))
-    nodes = scratch.save(nodes.withColumn("doc", F.col("first.doc")), "nodes")
+    nodes = scratch.save(nodes.withColumns({"doc": F.col("first.doc"), "text_key": F.col("first.text_key")}), "nodes")
     docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     verified = scratch.save(_verified(_found(nodes, scratch, threshold), docs, scratch, width, threshold, every), "links")
     links = verified.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")

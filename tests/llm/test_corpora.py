@@ -244,6 +244,30 @@ def test_drop_near_copies_tells_texts_of_an_id_apart(spark):
     assert sorted((r.doc_id, r.text or "", r.lang) for r in kept) == [(1, "something else altogether in here", "x"), (1, base, "x"), (3, "apart", "y"), (4, "", "x"), (9, "again", "q")]
 
 
+def test_near_copies_under_one_id_are_verified_once_each(spark, monkeypatch):
+    """Texts of an id meet only their own candidates: as many texts go into verification under one id as under ids of their own."""
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(120)]
+    read = []
+    slices = nearjoin.slices
+    counter = spark.sparkContext.accumulator(0)
+
+    def counted(batches, texts=1):
+        for part, found in slices(batches, texts):
+            if texts == 8 - 1:
+                counter.add(part.num_rows)
+            yield part, found
+
+    monkeypatch.setattr(nearjoin, "slices", counted)
+    links = []
+    for ids in (range(120), [1] * 120):
+        before = counter.value
+        links.append(Counter(r.n_links for r in nearjoin.near_classes(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"))[0].collect()))
+        read.append(counter.value - before)
+    assert links[0] == links[1] == {119: 120}
+    assert read[0] == read[1] <= 16 * 120
+
+
 def test_drop_near_copies_keeps_one(spark, odd, none):
     kept = nearjoin.drop_near_copies(odd)
     assert kept.columns == odd.columns
