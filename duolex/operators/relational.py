@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +135,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet in scratch_folder and read from there. For loops: what the optimizer knows of a checkpoint's plan (constraints) stays with it and grows with each round; a table's ends."""
+    path = f"{scratch_folder(df.sparkSession)}/duolex-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """node, component (its least node) by min-label propagation with pointer jumping; checkpointed each round, until nothing changes."""
     both = checkpointed(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).unionByName(edges.select(F.col(dst).alias("a"), F.col(src).alias("b"))).distinct())

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import seeded_key
-from .relational import checkpointed, quantiles
+from .relational import checkpointed, quantiles, written
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -169,42 +169,117 @@ def balanced_sample(df: DataFrame, group: str, candidate: str, key: str, limit:
     return rows.withColumn("__place", place).filter(F.col("__place") <= limit).drop("__key", "__turn", "__place")
 
 
-#: Rows that are clustered in their order at most.
-ORDERED_ROWS = 500_000
+#: Rows that one step of clustering decides in their order.
+DECIDED_ROWS = 2000
 
 
-def dp_means(points: DataFrame, id_col: str, vector: str, max_distance: float, max_iterations: int = 25) -> DataFrame:
-    """id_col, cluster, similarity, size by cosine DP-means in order of id. Whether a row opens a cluster depends on all rows before, so one task runs it; more than ORDERED_ROWS rows are an error."""
-    if points.limit(ORDERED_ROWS + 1).count() > ORDERED_ROWS:
-        raise ValueError(f"more than {ORDERED_ROWS} rows to cluster in order; pass a sample")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(id_col)
-        x = np.stack(rows[vector].to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        centres, assigned = [x[0]], None
-        for _ in range(max_iterations):
-            work, now = np.array(centres), np.zeros(len(x), int)
-            for i, v in enumerate(x):
-                far = 1 - work @ v
-                k = int(far.argmin())
-                if far[k] > max_distance:
-                    work, k = np.vstack([work, v]), len(work)
-                now[i] = k
-            _, now = np.unique(now, return_inverse=True)
-            centres = []
-            for k in range(now.max() + 1):
-                mean = x[now == k].mean(axis=0)
-                size = np.linalg.norm(mean)
-                centres.append(mean / size if size else x[now == k][0])
-            if assigned is not None and (now == assigned).all():
-                break
-            assigned = now
-        near = (x * np.array(centres)[now]).sum(axis=1)
-        return pd.DataFrame({id_col: rows[id_col].to_numpy(), "cluster": now, "similarity": np.round(near, 12), "size": np.bincount(now)[now]})
+def _opened(points: DataFrame, centres: np.ndarray, max_distance: float, step: int) -> tuple[list, np.ndarray]:
+    """The rows (id, u) that open a cluster in the order of id: those far from all centres and from all rows before them that open one.
 
+    The first `step` rows that aren't decided are, in order; then all rows near a
+    new centre are, in their own tasks. So a step needs few rows in one place,
+    and what it opens is what going through all rows one by one would.
+    """
+    ids, opened, known = [], np.empty((0, 0)), centres
+    left = points
+
+    def far(rows: DataFrame, near: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    yield batch[(1 - np.stack(batch["u"].to_numpy()) @ near.T).min(axis=1) > max_distance]
+
+        return rows.mapInPandas(run, rows.schema)
+
+    while True:
+        left = written(far(left, known)) if len(known) else left
+        rows = left.orderBy("id").limit(step).collect()
+        if not rows:
+            return ids, opened
+        fresh: list[np.ndarray] = []
+        for r in rows:
+            u = np.array(r["u"])
+            if not fresh or (1 - np.array(fresh) @ u).min() > max_distance:
+                ids.append(r["id"])
+                fresh.append(u)
+        known = np.array(fresh)
+        opened = known if not opened.size else np.vstack([opened, known])
+        if opened.nbytes > SHARED_BYTES:
+            raise ValueError(f"{len(opened)} clusters; their centres are over {SHARED_BYTES} bytes")
+
+
+def dp_means(points: DataFrame, id_col: str, vector: str, max_distance: float, max_iterations: int = 25, step: int = DECIDED_ROWS) -> DataFrame:
+    """id_col, cluster, similarity, size by cosine DP-means in the order of id.
+
+    A row further than max_distance from every centre opens a cluster, also for
+    the rows after it; centres become their rows' means, until no row changes.
+    Rows that may open one are proposed in their tasks and validated in order,
+    `step` at a time; the result is that of going through the rows one by one.
+    Assignments and means are made in the rows' own tasks. The centres travel,
+    and their size is checked. An empty table gives no rows, a zero vector is an
+    error, ids have no repeats.
+    """
     kind = points.schema[id_col].dataType.simpleString()
-    return points.select(id_col, vector).groupBy().applyInPandas(run, f"{id_col} {kind}, cluster long, similarity double, size long")
+    own = written(points.select(F.col(id_col).alias("id"), normalised(F.col(vector)).alias("u")))
+    first = own.orderBy("id").limit(1).collect()
+    if not first:
+        return own.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("cluster"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("size"))
+    centres, before = np.array([first[0]["u"]]), None
+    for _ in range(max_iterations):
+        ids, opened = _opened(own, centres, max_distance, step)
+        work = np.vstack([centres, opened]) if len(ids) else centres
+        since = np.array(ids)
+
+        def assign(batches: Iterator[pd.DataFrame], work: np.ndarray = work, since: np.ndarray = since, old: int = len(centres)) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    away = 1 - np.stack(batch["u"].to_numpy()) @ work.T
+                    if len(since):
+                        away[:, old:][since[None, :] > batch["id"].to_numpy()[:, None]] = np.inf
+                    yield pd.DataFrame({"id": batch["id"], "u": batch["u"], "c": away.argmin(axis=1)})
+
+        now = written(own.mapInPandas(assign, f"id {kind}, u array<double>, c long"))
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total: dict[int, np.ndarray] = {}
+            count: dict[int, int] = {}
+            for batch in batches:
+                for c, part in batch.groupby("c"):
+                    total[c] = total.get(c, 0) + np.stack(part["u"].to_numpy()).sum(axis=0)
+                    count[c] = count.get(c, 0) + len(part)
+            if total:
+                yield pd.DataFrame({"c": list(total), "n": list(count.values()), "s": list(total.values())})
+
+        place = now.mapInPandas(sums, "c long, n long, s array<double>").select("c", "n", F.posexplode("s").alias("k", "x"))
+        means = place.groupBy("c", "k").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).groupBy("c").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda e: e.x).alias("s"))
+        found = sorted(means.collect())  # a row for each centre
+        order = {r["c"]: k for k, r in enumerate(found)}
+        sizes, made = [r["n"] for r in found], []
+        for r in found:
+            size = np.linalg.norm(r["s"])
+            made.append(np.array(r["s"]) / size if size else work[r["c"]])
+        centres = np.array(made)
+        places = np.zeros(len(work), np.int64)
+        places[list(order)] = list(order.values())
+
+        def renamed(batches: Iterator[pd.DataFrame], places: np.ndarray = places) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch.assign(c=places[batch["c"].to_numpy(np.int64)])
+
+        now = now.mapInPandas(renamed, now.schema)
+        same = before is not None and now.alias("a").join(before.alias("b"), "id").filter("a.c <> b.c").isEmpty()
+        before = now
+        if same:
+            break
+
+    def named(batches: Iterator[pd.DataFrame], centres: np.ndarray = centres, sizes: list = sizes) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                c = batch["c"].to_numpy(np.int64)
+                near = (np.stack(batch["u"].to_numpy()) * centres[c]).sum(axis=1)
+                yield pd.DataFrame({id_col: batch["id"], "cluster": c, "similarity": np.round(near, 12), "size": np.array(sizes)[c]})
+
+    return before.mapInPandas(named, f"{id_col} {kind}, cluster long, similarity double, size long")
 
 
 def trustworthiness(original: DataFrame, projected: DataFrame, id_col: str, vector: str, neighbours: int, block: int = 512) -> DataFrame:
