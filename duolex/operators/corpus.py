@@ -265,29 +265,31 @@ def match_names(left: DataFrame, right: DataFrame, keys: list[str], name: str) -
     return left.withColumn("__key", I.name_key(F.col(name))).join(b, [*keys, "__key"]).drop("__key")
 
 
-#: Roles of people who are backed.
-BACKED = ("endorsed", "unopposed")
+def ordered_name(name: Column) -> Column:
+    """A name's words, given names first: those after a comma come before those before it."""
+    before, after = I.name_tokens(F.substring_index(name, ",", 1)), I.name_tokens(F.regexp_replace(name, r"^[^,]*,?", ""))
+    return F.concat(after, before)
 
 
-def sticking_points(evidence: DataFrame) -> DataFrame:
-    """race_id, left, right, kind, topic, left_quote, right_quote: explicit conflicts with a named opponent, and topics on which two people of a race hold unlike stances, if one of them is backed.
+def similar_names(left: DataFrame, right: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows of both, within equal keys, whose names may be one person's; right's name is right_name.
 
-    evidence: race_id, candidate_name, role, topic, stance, quote, opponent,
-    status. Only verified rows with a quote count. Of a person's rows on a
-    topic the first by stance and quote stands for it, so a race gives at most
-    its people squared for each topic.
+    Names of one word must be equal. Others have the same last word, and their
+    given names agree in order as far as both have them: equal, or one of them
+    an initial of the other ("J. Smith" and "Jane Q. Smith", also written
+    "Smith, Jane"). They meet by an equi-join on the last word and the first
+    initial, which all such pairs share, so each pair is formed once and no
+    others but those of this key; NULL and blank names meet nobody.
     """
-    rows = evidence.filter((F.col("status") == "verified") & (field(F.col("quote")) != "")).withColumn("who", I.identity(F.col("candidate_name")))
-    known = rows.groupBy("race_id", "who").agg(F.max("role").alias("known_role"), F.min("candidate_name").alias("shown"))
-    opponents = known.select("race_id", F.col("who").alias("other"), F.col("known_role").alias("other_role"), F.col("shown").alias("other_shown"))
-    named = rows.filter(field(F.col("opponent")) != "").withColumn("other", I.identity(F.col("opponent"))).join(opponents, ["race_id", "other"], "left")
-    named = named.filter(F.col("role").isin(*BACKED) | F.coalesce(F.col("other_role").isin(*BACKED), F.lit(False)))
-    explicit = named.select("race_id", F.col("candidate_name").alias("left"), F.coalesce("other_shown", "opponent").alias("right"), F.lit("explicit_conflict").alias("kind"), F.coalesce("topic", F.lit("")).alias("topic"), F.col("quote").alias("left_quote"), F.lit("").alias("right_quote"))
-    told = rows.filter(field(F.col("topic")) != "").groupBy("race_id", "topic", "who").agg(F.min(F.struct("stance", "quote")).alias("s")).join(known, ["race_id", "who"])
-    a = told.select("race_id", "topic", F.col("who").alias("a"), F.col("shown").alias("left"), "s", F.col("known_role").alias("ra"))
-    b = told.select("race_id", "topic", F.col("who").alias("b"), F.col("shown").alias("right"), F.col("s").alias("t"), F.col("known_role").alias("rb"))
-    pairs = a.join(b, ["race_id", "topic"]).filter((F.col("a") < F.col("b")) & (F.col("s.stance") != F.col("t.stance")) & (F.col("ra").isin(*BACKED) | F.col("rb").isin(*BACKED)))
-    return explicit.unionByName(pairs.select("race_id", "left", "right", F.lit("divergence").alias("kind"), "topic", F.col("s.quote").alias("left_quote"), F.col("t.quote").alias("right_quote")))
+    words = F.col("__w")
+    block = F.when(F.size(words) == 1, words[0]).when(F.size(words) > 1, F.concat_ws(" ", F.element_at(words, -1), F.substring(words[0], 1, 1)))
+    keyed = lambda df: df.withColumn("__w", ordered_name(F.col(name))).withColumn("__block", block)
+    a = keyed(left)
+    b = keyed(right).withColumnsRenamed({name: "right_name", "__w": "__r"})
+    given = F.arrays_zip(F.slice("__w", F.lit(1), F.size("__w") - 1).alias("a"), F.slice("__r", F.lit(1), F.size("__r") - 1).alias("b"))
+    agree = lambda x, y: (x == y) | ((F.length(x) == 1) & y.startswith(x)) | ((F.length(y) == 1) & x.startswith(y))
+    fits = F.forall(given, lambda p: F.coalesce(agree(p["a"], p["b"]), F.lit(True)))
+    return a.join(b, [*keys, "__block"]).filter((F.size("__w") == 1) == (F.size("__r") == 1)).filter(fits).drop("__w", "__r", "__block")
 
 
 def named_groups(text: Column, pattern: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import seeded_key
-from .relational import checkpointed, quantiles, written
+from .relational import checkpointed, quantiles, top_per_group, written
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -282,6 +282,87 @@ def dp_means(points: DataFrame, id_col: str, vector: str, max_distance: float, m
     return before.mapInPandas(named, f"{id_col} {kind}, cluster long, similarity double, size long")
 
 
+#: Different rows of a group, for each cluster, that starts are drawn from.
+STARTED_ROWS = 100
+
+
+def kmeans(points: DataFrame, id_col: str, group: str, vector: str, clusters: dict, starts: int = 20, rounds: int = 100, seed: int = 20) -> DataFrame:
+    """id_col, group, cluster, inertia: each group's rows in clusters[group] clusters by their plain vectors, the best of several seeded starts.
+
+    All starts of all groups go through the rows together: a round is one pass
+    that adds up each centre's rows in their tasks. Rounds end when no centre of
+    any start moves. Starts are drawn, far apart, from STARTED_ROWS different rows
+    a cluster in a seeded hash order. Only these and the centres come to the driver: groups x starts x clusters, which
+    is small and independent of the rows. Clusters are numbered by their centres'
+    coordinates. A group with fewer different rows than clusters has
+    fewer; ties go to the first centre.
+    """
+    own = points.select(F.col(id_col).alias("id"), F.col(group).alias("g"), F.col(vector).alias("v")).filter(F.col("g").isin(*clusters))
+    kinds = own.schema["id"].dataType.simpleString(), own.schema["g"].dataType.simpleString()
+    most = max(clusters.values(), default=0)
+    own = written(own)
+    order = top_per_group(own.groupBy("g", "v").agg(F.min("id").alias("id")), ["g"], [seeded_key(seed, F.col("id"))], STARTED_ROWS * most)
+    first: dict = {}
+    for r in order.orderBy("g", "rank").collect():
+        first.setdefault(r["g"], []).append(r["v"])
+
+    def spread_centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+        """Rows at random, far ones from those taken so far likelier (Arthur and Vassilvitskii 2007)."""
+        taken = [int(rng.integers(len(x)))]
+        while len(taken) < min(k, len(x)):
+            d = ((x[:, None, :] - x[taken][None]) ** 2).sum(axis=2).min(axis=1)
+            taken.append(int(rng.choice(len(x), p=d / d.sum())))
+        return x[taken]
+
+    centres = {g: [spread_centres(np.array(x), clusters[g], np.random.default_rng([seed, s])) for s in range(starts)] for g, x in first.items()}
+
+    def one_pass(centres: dict) -> dict:
+        """(group, start, cluster): rows, their sum, squared distances."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total: dict = {}
+            for batch in batches:
+                for g, part in batch.groupby("g"):
+                    x = np.stack(part["v"].to_numpy())
+                    for s, c in enumerate(centres[g]):
+                        d = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
+                        k = d.argmin(axis=1)
+                        for j in np.unique(k).tolist():
+                            n, total_x, total_d = total.get((g, s, j), (0, 0.0, 0.0))
+                            total[g, s, j] = n + int((k == j).sum()), total_x + x[k == j].sum(axis=0), total_d + float(d[k == j, j].sum())
+            if total:
+                yield pd.DataFrame([(g, s, j, n, x.tolist(), d) for (g, s, j), (n, x, d) in total.items()], columns=["g", "s", "j", "n", "x", "d"])
+
+        found: dict = {}
+        for r in own.select("g", "v").mapInPandas(run, f"g {kinds[1]}, s int, j int, n long, x array<double>, d double").toLocalIterator():  # a few rows from each task
+            n, x, d = found.get((r["g"], r["s"], r["j"]), (0, 0.0, 0.0))
+            found[r["g"], r["s"], r["j"]] = n + r["n"], x + np.array(r["x"]), d + r["d"]
+        return found
+
+    for _ in range(rounds):
+        found = one_pass(centres)
+        moved = {g: [np.array([found[g, s, j][1] / found[g, s, j][0] if (g, s, j) in found else c[j] for j in range(len(c))]) for s, c in enumerate(own_)] for g, own_ in centres.items()}
+        same = all(np.allclose(a, b, atol=1e-12) for g in centres for a, b in zip(centres[g], moved[g]))
+        centres = moved
+        if same:
+            break
+    found = one_pass(centres)
+    best = {}
+    for g, starts_ in centres.items():
+        inertia = [round(sum(found.get((g, s, j), (0, 0, 0.0))[2] for j in range(len(c))), 12) for s, c in enumerate(starts_)]
+        s = int(np.argmin(inertia))
+        best[g] = starts_[s][np.lexsort(starts_[s].T[::-1])], inertia[s]
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, part in batch.groupby("g"):
+                c, inertia = best[g]
+                k = ((np.stack(part["v"].to_numpy())[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+                yield pd.DataFrame({id_col: part["id"], group: g, "cluster": k, "inertia": inertia})
+
+    return own.mapInPandas(assign, f"{id_col} {kinds[0]}, {group} {kinds[1]}, cluster long, inertia double")
+
+
 def trustworthiness(original: DataFrame, projected: DataFrame, id_col: str, vector: str, neighbours: int, block: int = 512) -> DataFrame:
     """One row: how far the projection's neighbours are neighbours in the original space; ties by id, distances to 12 digits.
 

@@ -184,27 +184,6 @@ def name_matches(spark, sf_dir):
     return C.match_names(rows("customer", "c_nationkey", "c_custkey"), rows("supplier", "s_nationkey", "s_suppkey"), ["k"], "name")
 
 
-@query("""WITH e AS (SELECT CAST(o_custkey AS VARCHAR) AS race_id, 'Person ' || o_orderkey % 3 AS n, CASE o_orderkey % 3 WHEN 0 THEN 'endorsed' ELSE 'opponent' END AS role, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'topic ' || o_orderkey % 2 END AS topic, o_orderstatus AS stance, 'quote ' || o_orderkey AS quote, CASE WHEN o_orderkey % 4 = 0 THEN 'PERSON ' || (o_orderkey + 1) % 3 ELSE ' ' END AS opponent FROM orders WHERE o_orderpriority < '4'),
- k AS (SELECT race_id, n, max(role) AS role FROM e GROUP BY ALL), x AS (SELECT e.race_id, e.n AS l, coalesce(o.n, e.opponent) AS r, 'explicit_conflict' AS kind, topic, quote AS left_quote, '' AS right_quote FROM e LEFT JOIN k o ON o.race_id = e.race_id AND lower(o.n) = lower(e.opponent) WHERE trim(opponent) <> '' AND (e.role = 'endorsed' OR o.role = 'endorsed')),
- t AS (SELECT race_id, topic, n, min((stance, quote)) AS s FROM e WHERE topic <> '' GROUP BY ALL), d AS (SELECT a.race_id, a.n AS l, b.n AS r, 'divergence' AS kind, a.topic, a.s[2] AS left_quote, b.s[2] AS right_quote FROM t a JOIN t b ON a.race_id = b.race_id AND a.topic = b.topic AND a.n < b.n AND a.s[1] <> b.s[1] JOIN k ka ON ka.race_id = a.race_id AND ka.n = a.n JOIN k kb ON kb.race_id = b.race_id AND kb.n = b.n WHERE ka.role = 'endorsed' OR kb.role = 'endorsed')
- SELECT race_id, l AS "left", r AS "right", kind, topic, left_quote, right_quote FROM x UNION ALL SELECT * FROM d""")
-def sticking_points(spark, sf_dir):
-    """Conflicts that someone names, and topics with unlike stances."""
-    k = F.col("o_orderkey")
-    person = lambda p, n: F.concat(F.lit(p), (n % 3).cast("string"))
-    rows = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").cast("string").alias("race_id"),
-        person("Person ", k).alias("candidate_name"),
-        F.when(k % 3 == 0, "endorsed").otherwise("opponent").alias("role"),
-        F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("topic "), (k % 2).cast("string"))).alias("topic"),
-        F.col("o_orderstatus").alias("stance"),
-        F.concat(F.lit("quote "), k.cast("string")).alias("quote"),
-        F.when(k % 4 == 0, person("PERSON ", k + 1)).otherwise(" ").alias("opponent"),
-        F.when(F.col("o_orderpriority") < "4", "verified").otherwise("open").alias("status"),
-    )
-    return C.sticking_points(rows)
-
-
 @query("SELECT p_partkey, regexp_extract_all(p_name || '; ' || p_type, '([a-zA-Z]+) ([a-zA-Z]+)', 1) AS first, regexp_extract_all(p_name || '; ' || p_type, '([a-zA-Z]+) ([a-zA-Z]+)', 2) AS second FROM part")
 def guide_entries(spark, sf_dir):
     """A pattern's named groups for each of its matches."""

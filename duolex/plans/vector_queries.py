@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import graphs as G
 from ..operators import vectors as V
+from ..operators.relational import top_per_group
 from .registry import query, table
 
 SQL_V = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), u AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS s FROM v)"
@@ -36,6 +38,28 @@ def knn_mutual(spark, sf_dir):
     return edges.select("source", "target", F.round("similarity", 5).alias("similarity"))
 
 
+@query(f"""WITH {SQL_V}, p AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.x, b.x) / (a.s * b.s), 12) AS sim FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+ SELECT src, dst, round(sim, 5) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 10""")
+def nearest_of_queries(spark, sf_dir):
+    """The ten nearest of each vector of the query set, exact: what the neighbour graph is measured against."""
+    p = points(spark, sf_dir)
+    s = V.similarities(p, p.filter("vec_id % 100 = 0"), "vec_id", "x").filter("vec_id <> other").withColumn("similarity", F.round("similarity", 12))
+    top = top_per_group(s, ["other"], [F.desc("similarity"), "vec_id"], 10)
+    return top.select(F.col("other").alias("src"), F.col("vec_id").alias("dst"), F.round("similarity", 5).alias("similarity"))
+
+
+@query()
+def neighbour_graph(spark, sf_dir):
+    """About the ten nearest of every vector, by neighbour descent."""
+    return G.neighbours(points(spark, sf_dir), "vec_id", "x", k=10)
+
+
+@query()
+def graph_communities(spark, sf_dir):
+    """Communities of the graph of vectors that are among each other's nearest."""
+    return G.communities(V.mutual(G.neighbours(points(spark, sf_dir), "vec_id", "x", k=5, least=0.3)))
+
+
 @query(f"""WITH {SQL_V}, t AS (SELECT * FROM u WHERE vec_id < 10), p AS (SELECT a.vec_id, t.vec_id AS lab, list_dot_product(a.x, t.x) / (a.s * t.s) AS sim FROM u a, t), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, lab) AS rn FROM p)
  SELECT vec_id, coalesce(max(lab) FILTER (WHERE rn = 1 AND sim >= 0.2), -1) AS label, round(max(sim) FILTER (WHERE rn = 1), 5) AS similarity, round(max(sim) FILTER (WHERE rn = 1) - max(sim) FILTER (WHERE rn = 2), 5) AS margin FROM r GROUP BY vec_id""")
 def nearest_topic(spark, sf_dir):
@@ -141,18 +165,12 @@ def dp_means(spark, sf_dir):
 
 @query()
 def kmeans_regions(spark, sf_dir):
-    """One region for each 350 vectors and group, two at most, with its size, mean and rank by its strength."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    made = None
-    for group in (0, 1):
-        own = points(spark, sf_dir).filter(F.col("label") % 2 == group).withColumn("features", array_to_vector("x"))
-        regions = max(1, min(2, own.count() // 350))
-        found = KMeans(k=regions, seed=20, maxIter=20).fit(own).transform(own) if regions > 1 else own.withColumn("prediction", F.lit(0))
-        mean = F.avg(F.col("x")[0])
-        summary = found.groupBy(F.lit(group).alias("grp"), F.col("prediction").cast("long").alias("region")).agg(F.count("*").alias("n"), F.round(mean, 6).alias("mean"), (F.abs(mean) * F.sqrt(F.count("*"))).alias("strength"))
-        made = summary if made is None else made.unionByName(summary)
+    """One region for each 350 vectors and group, two at most, the best of twenty starts, with its size, mean and rank by its strength."""
+    p = points(spark, sf_dir).withColumn("grp", (F.col("label") % 2).cast("int"))
+    sizes = {r["grp"]: r["count"] for r in p.groupBy("grp").count().collect()}  # two groups
+    found = V.kmeans(p, "vec_id", "grp", "x", {g: max(1, min(2, n // 350)) for g, n in sizes.items()}).join(p.select("vec_id", "x"), "vec_id")
+    mean = F.avg(F.col("x")[0])
+    made = found.groupBy("grp", F.col("cluster").alias("region")).agg(F.count("*").alias("n"), F.round(mean, 6).alias("mean"), (F.abs(mean) * F.sqrt(F.count("*"))).alias("strength"), F.round(F.max("inertia"), 6).alias("inertia"))
     rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("strength"), "region"))  # two rows each
     return made.withColumn("rank", rank.cast("long")).drop("strength")
 

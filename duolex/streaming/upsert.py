@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import text as T
 from ..operators.ledger import TRANSIENT, replace_keys
 
 
@@ -26,6 +27,57 @@ def upsert_stream(stream: DataFrame, target: str, checkpoint: str, key: str, ord
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def count_duplicates(stream: DataFrame, target: str, checkpoint: str, key: str, text: str, order: str) -> StreamingQuery:
+    """Keeps each document's exact and near hash and how many documents have it, as batches of new or changed documents arrive.
+
+    A batch's last row of a key counts. Versions under target: docs (key, exact,
+    near), counts (hash, n) and changes (key, n_exact, n_near: the documents,
+    earlier ones too, whose numbers this batch has changed). A batch adds one
+    for each new hash and takes one off for each that its documents had before,
+    so only hashes are aggregated again, never texts; a repeated batch writes
+    the same version again. A text without a near hash is only its own copy.
+    """
+    spark = stream.sparkSession
+
+    def ones(docs: DataFrame, n: int) -> DataFrame:
+        both = docs.select(F.explode(F.array(F.concat(F.lit("e:"), "exact"), F.when(F.col("near") != "", F.concat(F.lit("n:"), "near")))).alias("hash"))
+        return both.filter("hash is not null").groupBy("hash").agg((F.count("*") * n).alias("n"))
+
+    def apply(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy(key).agg(F.max_by(text, order).alias("t")).select(key, T.exact_hash(F.coalesce("t", F.lit(""))).alias("exact"), T.near_hash(F.coalesce("t", F.lit(""))).alias("near"))
+        last.write.mode("overwrite").parquet(f"{target}/new/v={number}")
+        last = spark.read.parquet(f"{target}/new/v={number}")
+        before = [v for v in versions(spark, f"{target}/changes") if v < number]
+        delta, docs, counts = ones(last, 1), last, ones(last, 1)
+        if before:
+            old, known = (spark.read.parquet(f"{target}/{part}/v={before[-1]}") for part in ("docs", "counts"))
+            replaced = old.join(last.select(key), key, "left_semi")
+            delta = delta.unionByName(ones(replaced, -1)).groupBy("hash").agg(F.sum("n").alias("n")).filter("n <> 0")
+            docs = replace_keys(old, last, key)
+            counts = known.unionByName(delta).groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 0")
+        docs.write.mode("overwrite").parquet(f"{target}/docs/v={number}")
+        counts.write.mode("overwrite").parquet(f"{target}/counts/v={number}")
+        docs, counts = (spark.read.parquet(f"{target}/{part}/v={number}") for part in ("docs", "counts"))
+        touched = delta.select(F.substring("hash", 1, 2).alias("kind"), F.expr("substring(hash, 3)").alias("h"))
+        keys = docs.join(touched.filter("kind = 'e:'"), docs.exact == F.col("h"), "left_semi").select(key).unionByName(docs.join(touched.filter("kind = 'n:'"), docs.near == F.col("h"), "left_semi").select(key)).unionByName(last.select(key)).distinct()
+        _numbers(docs.join(keys, key, "left_semi"), counts, key).select(key, "n_exact", "n_near").write.mode("overwrite").parquet(f"{target}/changes/v={number}")
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _numbers(docs: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    of = lambda kind, n: counts.filter(F.col("hash").startswith(f"{kind}:")).select(F.expr("substring(hash, 3)").alias("exact" if kind == "e" else "near"), F.col("n").alias(n))
+    made = docs.join(of("e", "n_exact"), "exact").join(of("n", "n_near"), "near", "left")
+    return made.select(key, "exact", "near", "n_exact", F.coalesce("n_near", F.lit(1)).alias("n_near"))
+
+
+def duplicate_numbers(spark, target: str) -> DataFrame:
+    """key, exact, near, n_exact, n_near of all documents so far."""
+    last = versions(spark, f"{target}/changes")[-1]
+    docs, counts = (spark.read.parquet(f"{target}/{part}/v={last}") for part in ("docs", "counts"))
+    return _numbers(docs, counts, next(c for c in docs.columns if c not in ("exact", "near")))
+
+
 def versions(spark, target: str) -> list[int]:
     """Complete versions of an upserted table."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
