@@ -97,6 +97,51 @@ def test_sharding_rows_that_are_equal(spark):
     placed_well(sharding.shard(sharding.sizes_of(df), 4).collect(), 4)
 
 
+def linked_families(spark, members):
+    """Families of near texts around one sentence each; some members have copies."""
+    line = "this sentence stands in every text of family number {} and is the one with the least hash"
+    least = {}
+    for f in range(80):
+        candidates = [line.format(f"{f} {k}") for k in range(40)]
+        hashes = spark.createDataFrame([(c,) for c in candidates], "t string").select("t", F.xxhash64("t").alias("h")).orderBy("h").first()
+        least[f] = hashes.t
+    rows = [(f * 100 + m, f"{least[f]}. and own words {f} {m}") for f in range(80) for m in range(members)]
+    return rows + [(i + 50_000, t) for i, t in rows[::7]] + [(90_000 + i, f"short {i}") for i in range(200)]
+
+
+def family_cut(rows):
+    by_family = {}
+    for r in rows:
+        if r.doc_id < 90_000:
+            by_family.setdefault(r.doc_id % 50_000 // 100, []).append(r.shard)
+    pairs = lambda n: n * (n - 1) // 2
+    whole = sum(pairs(len(x)) for x in by_family.values())
+    return whole, whole - sum(pairs(n) for x in by_family.values() for n in Counter(x).values())
+
+
+@pytest.mark.parametrize("bound", [100_000, 50])
+def test_sharding_draws_near_texts_together(spark, bound, monkeypatch):
+    """Linked families end in few shards: far below the cut of a placement by hash, and below that of one vote over the first placement."""
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", bound)
+    rows = linked_families(spark, 9)
+    docs = sharding.sizes_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sharding.shard(docs, 8).collect()
+    placed_well(got, 8)
+    whole, cut = family_cut(got)
+    own = sharding.shard(docs.drop("near"), 8).collect()
+    placed_well(own, 8)
+    assert cut <= 0.05 * whole and family_cut(own)[1] >= 0.5 * whole, (cut, family_cut(own), whole)
+
+
+def test_sharding_parts_of_a_group_draw_each_other(spark):
+    """A text with two and a half shards' rows is dealt into parts that fill whole shards."""
+    rows = [(k, "the same text of some length here") for k in range(1000)] + [(k, f"own {k}") for k in range(1000, 4000)]
+    docs = sharding.sizes_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sharding.shard(docs, 10).collect()
+    placed_well(got, 10)
+    assert len({r.shard for r in got if r.doc_id < 1000}) <= 4
+
+
 # ---- n-gram join ---------------------------------------------------------------------------------------------------
 
 
