@@ -24,7 +24,10 @@ COMMANDS = {
     "analyze": ("mpif", "group_tfidf", "feature_prevalence", "hot_cold_terms", "lexical_tables"),
     "topics": ("nearest_topic", "keyword_topics", "topic_emphasis"),
     "kde": ("density_ratio", "density_zones", "kde_grid", "kmeans_regions", "projection_trust"),
-    "points": ("sticking_points", "shared_mentions", "affirmative_mentions"),
+    "points": ("sticking_points", "sticking_point_topics", "sticking_point_cycles", "shared_mentions", "affirmative_mentions"),
+    "evidence": ("inferred_fields", "scoped_documents", "entries_under_headings", "similar_names", "name_matches"),
+    "narratives": ("neighbour_graph", "nearest_of_queries", "knn_mutual", "graph_communities", "dp_means", "narrative_lift"),
+    "duplicates": ("exact_dupes", "near_dupes", "streamed_duplicates"),
     "addresses": ("url_canonical", "url_class", "historical_urls", "discovery_urls", "candidate_domains"),
     "report": ("canonical_report", "gates"),
 }

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import corpus as C
 from .registry import query, table
 from .rule_queries import pick, sql_pick
-from .text_queries import grouped
+from .text_queries import SQL_FEATURES, grouped
 
 PAIR = ("endorsed", "opponent")
 #: A race is a customer's orders of a year; who takes part is named by the clerk, the role is by priority.
@@ -197,7 +197,8 @@ def census_gate(spark, sf_dir):
     return C.census_errors(rows, "o_orderkey", "o_orderstatus", ("O", "P"), strict=False)
 
 
-@query()
+@query(f"""WITH {SQL_FEATURES}, u AS (SELECT count(DISTINCT term) AS n FROM (SELECT unnest(tokens) AS term FROM tok)), f AS (SELECT feature, count(*) AS n, count(DISTINCT doc_id) AS d FROM feats GROUP BY feature)
+ SELECT 'tfidf' AS name, n AS "rows" FROM u UNION ALL SELECT 'hot_cold', n FROM u UNION ALL SELECT 'log_odds', count(*) FROM f WHERE n >= 5 UNION ALL SELECT 'prevalence', count(*) FROM f WHERE d >= 5""")
 def lexical_tables(spark, sf_dir):
     """The rows of each table of the word analysis."""
     made = C.lexical_analysis(grouped(spark, sf_dir), "doc_id", "grp", "tokens", PAIR, least=5)

@@ -129,21 +129,30 @@ def best_overlap(spark, sf_dir):
     return best_other(table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("m")))
 
 
-def best_other(rows):
+#: Members of a set up to which all its subsets are made (at most 1,023).
+FEW_MEMBERS = 10
+
+
+def best_other(rows, few: int = FEW_MEMBERS):
     """order_key, best, overlap: for every order the other one with most members in common, ties by its key.
 
-    What two orders share is a subset of both, so each subset (there are few, as
-    an order has few lines) keeps its two least orders, and no pair of orders is formed.
+    What two orders share is a subset of both, so each subset of a small set
+    keeps its two least orders, and no pair of orders is formed. Sets of more
+    than `few` members are compared by their members instead: each is counted
+    against the orders that share one, in both directions.
     """
-    sets = rows.groupBy(F.col("l_orderkey").alias("order_key")).agg(F.sort_array(F.collect_set("m")).alias("s"))
+    sets = R.checkpointed(rows.groupBy(F.col("l_orderkey").alias("order_key")).agg(F.sort_array(F.collect_set("m")).alias("s")))
     none = F.array().cast("array<array<bigint>>")
     subsets = F.aggregate("s", F.array(F.array().cast("array<bigint>")), lambda made, m: F.concat(made, F.transform(made, lambda x: F.concat(x, F.array(m.cast("bigint"))))))
-    x = sets.select("order_key", F.explode(F.filter(F.coalesce(subsets, none), lambda x: F.size(x) > 0)).alias("t"))
+    x = sets.filter(F.size("s") <= few).select("order_key", F.explode(F.filter(F.coalesce(subsets, none), lambda x: F.size(x) > 0)).alias("t"))
     first = x.groupBy("t").agg(F.min("order_key").alias("p0"), F.max("order_key").alias("last")).filter("p0 < last").drop("last")
     second = x.join(first, "t").filter("order_key > p0").groupBy("t").agg(F.min("order_key").alias("p1"))
     least = first.join(second, "t")
     found = x.join(least, "t").select("order_key", F.size("t").cast("long").alias("n"), F.when(F.col("p0") == F.col("order_key"), F.col("p1")).otherwise(F.col("p0")).alias("p"))
-    return found.groupBy("order_key").agg(F.min_by("p", F.struct(-F.col("n"), F.col("p"))).alias("best"), F.max("n").alias("overlap"))
+    large = sets.filter(F.size("s") > few).select(F.col("order_key").alias("big"), F.explode("s").alias("m"))
+    shared = large.join(sets.select(F.col("order_key").alias("o"), F.explode("s").alias("m")), "m").filter("big <> o").groupBy("big", "o").agg(F.count("*").alias("n"))
+    met = shared.select(F.col("big").alias("order_key"), "n", F.col("o").alias("p")).unionByName(shared.select(F.col("o").alias("order_key"), "n", F.col("big").alias("p")))
+    return found.unionByName(met).groupBy("order_key").agg(F.min_by("p", F.struct(-F.col("n"), F.col("p"))).alias("best"), F.max("n").alias("overlap"))
 
 
 @query("""WITH y AS (SELECT unnest(range(1995, 1999)) AS year), c AS (SELECT n_nationkey, year(o_orderdate) AS year, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)

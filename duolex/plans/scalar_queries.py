@@ -47,9 +47,12 @@ def list_cells(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", merged.alias("joined"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, round(-1.0 + 0.25 * i, 9) AS x FROM range(9) t(i)")
+@query("WITH b AS (SELECT o_orderpriority AS grp, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1) SELECT grp, CAST(i AS INT) AS i, round(lo + (hi - lo) * i / 8.0, 6) AS x FROM b, range(9) t(i)")
 def linear_grid(spark, sf_dir):
-    return spark.range(9).select(F.col("id").alias("i"), F.round(-1.0 + 0.25 * F.col("id"), 9).alias("x"))
+    """Nine evenly spaced values over the range of each group."""
+    ends = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
+    grid = ends.select("grp", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i"))
+    return grid.select("grp", "i", F.round(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / F.lit(8.0), 6).alias("x"))
 
 
 @query("SELECT doc_id, CAST(length(regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f]', ' ', 'g')) AS BIGINT) AS n, CAST(len(regexp_extract_all(text, '(19|20)[0-9][0-9]')) AS BIGINT) AS years FROM documents")
@@ -135,7 +138,12 @@ def html_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(links).cast("long").alias("links"), F.coalesce(F.array_min(links), F.lit("")).alias("first_link"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-@query()
+SQL_BARE = "regexp_replace(html, '(?is)" + "|".join(rf"<{t}\b.*?</{t}\s*>" for t in ("script", "style", "noscript", "svg")) + "|<!--.*?-->|<!doctype[^>]*>', ' ', 'g')"
+SQL_LINES = rf"regexp_replace(regexp_replace({SQL_BARE}, '(?i)</?(p|div|li|ul|ol|h[1-6]|br|tr|table|section|article|header|footer|nav|main|title|body|head|html)\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
+SQL_PLAIN = f"""replace(replace(replace(replace(replace(replace({SQL_LINES}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')"""
+
+
+@query(f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({SQL_PLAIN}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM pages")
 def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 

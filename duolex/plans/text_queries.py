@@ -274,9 +274,26 @@ def shared_mentions(spark, sf_dir):
     return stats.two_sided_mentions(docs, ["lang"], "grp", "doc_id", "text", plain, ("endorsed", "opponent"), skip_negated=False)
 
 
-@query()
+_EDGE, _OUT = r"(?:^|[^\pL\pN_])", r"(?:$|[^\pL\pN_])"
+SQL_NEGATION = T.NEGATION.replace("\\b", _EDGE).replace("'", "''")
+
+
+def _sql_inner(pattern: str) -> str:
+    """The pattern's alternatives and the edge after them, with word edges as classes of characters, which both engines read alike."""
+    return "(?:" + "|".join(x.removeprefix("\\b").removesuffix("\\b") for x in pattern.split("|")) + ")" + _OUT
+
+
+@query(
+    "WITH m AS (SELECT doc_id, lang, "
+    + SQL_GROUP
+    + " AS grp, unnest(["
+    + ", ".join(f"{{'feature': '{f}', 'hit': regexp_matches(text, '(?i){_EDGE}{_sql_inner(p)}'), 'before': regexp_extract(text, '(?is)^(.*?{_EDGE}){_sql_inner(p)}', 1)}}" for p, f in MECHANISMS)
+    + f"""], recursive := true) FROM documents), k AS (SELECT * FROM m WHERE hit AND NOT regexp_matches(lower(regexp_extract(before, '[^.!?\n]*$')), '{SQL_NEGATION}')),
+ s AS (SELECT lang, feature, count(*) FILTER (WHERE grp = 'endorsed') AS a, count(*) FILTER (WHERE grp = 'opponent') AS b, min(doc_id) FILTER (WHERE grp = 'endorsed') AS ea, min(doc_id) FILTER (WHERE grp = 'opponent') AS eb FROM k GROUP BY ALL)
+ SELECT lang, feature, CAST(a AS BIGINT) AS endorsed, CAST(b AS BIGINT) AS opponent, ea AS endorsed_example, eb AS opponent_example FROM s WHERE a > 0 AND b > 0"""
+)
 def affirmative_mentions(spark, sf_dir):
-    """With the negation test, whose look back over the sentence SQL can't express."""
+    """With the negation test, which looks back over the sentence before a text's first mention."""
     docs = table(spark, sf_dir, "documents").withColumn("grp", F.when(F.substring("source", 4, 9).cast("int") % 2 == 0, "endorsed").otherwise("opponent"))
     return stats.two_sided_mentions(docs, ["lang"], "grp", "doc_id", "text", MECHANISMS, ("endorsed", "opponent"))
 
