@@ -10,7 +10,7 @@
 import sys
 
 from .functions.session import session
-from .plans import corpus_queries, entity_queries, relational_queries, rule_queries, scalar_queries, text_queries, vector_queries  # noqa: F401
+from .plans import corpus_queries, entity_queries, relational_queries, rule_queries, scalar_queries, scope_queries, text_queries, vector_queries  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 #: The queries that a command runs.
