@@ -26,7 +26,7 @@ COMMANDS = {
     "kde": ("density_ratio", "density_zones", "kde_grid", "kmeans_regions", "projection_trust"),
     "points": ("sticking_points", "sticking_point_topics", "sticking_point_cycles", "shared_mentions", "affirmative_mentions"),
     "evidence": ("inferred_fields", "scoped_documents", "entries_under_headings", "similar_names", "name_matches"),
-    "narratives": ("neighbour_graph", "nearest_of_queries", "knn_mutual", "graph_communities", "dp_means", "narrative_lift"),
+    "narratives": ("neighbour_graph", "nearest_of_queries", "knn_mutual", "dp_means", "narrative_lift"),
     "duplicates": ("exact_dupes", "near_dupes", "streamed_duplicates"),
     "addresses": ("url_canonical", "url_class", "historical_urls", "discovery_urls", "candidate_domains"),
     "report": ("canonical_report", "gates"),

@@ -54,12 +54,6 @@ def neighbour_graph(spark, sf_dir):
     return G.neighbours(points(spark, sf_dir), "vec_id", "x", k=10)
 
 
-@query()
-def graph_communities(spark, sf_dir):
-    """Communities of the graph of vectors that are among each other's nearest."""
-    return G.communities(V.mutual(G.neighbours(points(spark, sf_dir), "vec_id", "x", k=5, least=0.3)))
-
-
 @query(f"""WITH {SQL_V}, t AS (SELECT * FROM u WHERE vec_id < 10), p AS (SELECT a.vec_id, t.vec_id AS lab, list_dot_product(a.x, t.x) / (a.s * t.s) AS sim FROM u a, t), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, lab) AS rn FROM p)
  SELECT vec_id, coalesce(max(lab) FILTER (WHERE rn = 1 AND sim >= 0.2), -1) AS label, round(max(sim) FILTER (WHERE rn = 1), 5) AS similarity, round(max(sim) FILTER (WHERE rn = 1) - max(sim) FILTER (WHERE rn = 2), 5) AS margin FROM r GROUP BY vec_id""")
 def nearest_topic(spark, sf_dir):
