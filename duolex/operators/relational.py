@@ -18,7 +18,7 @@ def last_per_key(df: DataFrame, keys: list[str], order: str, *columns: str) -> D
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str, value: str, grain: int | None = None) -> DataFrame:
-    """left with the value of each key's latest right row whose since is not after at; NULL without one.
+    """left with the value of each key's latest right row whose since is not after at; NULL without one. Null keys and times meet nothing.
 
     One union and one running window over both sides: linear in the rows, no
     range join. With keys of many rows, grain (units of at) cuts a key's rows
@@ -26,7 +26,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: st
     last values.
     """
     a = left.withColumn("__at", F.col(at)).withColumn("__kind", F.lit(1)).withColumn("__value", F.lit(None).cast(right.schema[value].dataType))
-    b = right.select(*keys, F.col(since).alias("__at"), F.lit(0).alias("__kind"), F.col(value).alias("__value"))
+    b = right.dropna(subset=[*keys, since]).select(*keys, F.col(since).alias("__at"), F.lit(0).alias("__kind"), F.col(value).alias("__value"))
     rows = a.unionByName(b, allowMissingColumns=True)
     if grain is None:
         carried = F.last("__value", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__at", "__kind", "__value").rowsBetween(Window.unboundedPreceding, 0))

@@ -73,8 +73,13 @@ AS_OF_SQL = """WITH v AS (SELECT user_id, epoch(ts)::BIGINT AS since, event_id F
  SELECT e.event_id AS purchase_id, coalesce((SELECT max_by(v.event_id, (v.since, v.event_id)) FROM v WHERE v.user_id = e.user_id AND v.since <= e.at), -1) AS event_id FROM e"""
 
 
+def seconds(ts):
+    """Whole seconds since 1970, the nearest one, halves to the even one (as SQL's cast of a fraction)."""
+    return F.rint(F.unix_micros(ts.cast("timestamp")) / 1e6).cast("long")
+
+
 def _as_of(spark, sf_dir, grain):
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", seconds(F.col("ts")).alias("at"))
     left = e.filter("event_type = 'purchase'").select("user_id", "at", F.col("event_id").alias("purchase_id"))
     right = e.filter("event_type in ('signup', 'click')").select("user_id", F.col("at").alias("since"), "event_id")
     return R.as_of(left, right, ["user_id"], "at", "since", "event_id", grain).select("purchase_id", F.coalesce("event_id", F.lit(-1)).alias("event_id"))
@@ -103,7 +108,7 @@ def window_class(spark, sf_dir):
 @query("""WITH i AS (SELECT l_suppkey, l_orderkey, l_linenumber, epoch(l_shipdate)::BIGINT // 86400 AS lo, epoch(l_shipdate)::BIGINT // 86400 + CAST(l_quantity AS BIGINT) % 7 AS hi FROM lineitem)
  SELECT a.l_orderkey AS left_order, a.l_linenumber AS left_line, b.l_orderkey AS right_order, b.l_linenumber AS right_line FROM i a JOIN i b ON a.l_suppkey = b.l_suppkey AND a.lo <= b.hi AND b.lo <= a.hi AND (a.l_orderkey, a.l_linenumber) < (b.l_orderkey, b.l_linenumber)""")
 def range_overlap(spark, sf_dir):
-    day = F.floor(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) / 86400)
+    day = F.floor(seconds(F.col("l_shipdate")) / 86400)
     i = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", day.alias("lo"), (day + F.col("l_quantity").cast("long") % 7).alias("hi"))
     both = R.overlapping(i, i, ["l_suppkey"], "lo", "hi", grain=16)
     both = both.filter("l_orderkey < r_l_orderkey or (l_orderkey = r_l_orderkey and l_linenumber < r_l_linenumber)")

@@ -25,6 +25,18 @@ def test_as_of_with_and_without_spans(spark):
         assert got == {(1, 5): "a", (1, 25): "c", (2, 1): None, (1, 0): None}
 
 
+def test_as_of_by_nearest_seconds_and_without_nulls(spark, tmp_path):
+    from duolex.plans.relational_queries import asof_carry_forward, asof_in_spans, seconds
+
+    times = spark.createDataFrame([("2024-01-01 00:00:00.5",), ("2024-01-01 00:00:01.5",), ("2024-01-01 00:00:01.4",)], "t string").select(F.col("t").cast("timestamp").alias("t"))
+    assert [r[0] - 1704067200 for r in times.select(seconds(F.col("t"))).collect()] == [0, 2, 1]
+    rows = [(1, "10:00:00.9", 1, "click"), (2, "10:00:00.8", 1, "purchase"), (3, "10:00:01.6", 1, "click"), (4, "10:00:01.2", 1, "purchase"), (5, "09:00:00", None, "click"), (6, "11:00:00", None, "purchase"), (7, None, 2, "click"), (8, None, 2, "purchase")]
+    events = spark.createDataFrame(rows, "event_id long, t string, user_id long, event_type string")
+    events.select("event_id", F.concat(F.lit("2024-01-01 "), "t").cast("timestamp").alias("ts"), "user_id", "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    for run in (asof_carry_forward, asof_in_spans):
+        assert sorted(map(tuple, run(spark, str(tmp_path)).collect())) == [(2, 1), (4, 1), (6, -1), (8, -1)]
+
+
 @pytest.mark.parametrize("grain", [1, 3, 50])
 def test_overlapping_each_pair_once(spark, grain):
     rows = [(1, k, lo, lo + n) for k, (lo, n) in enumerate([(0, 5), (3, 1), (5, 9), (20, 0), (14, 6)])]
