@@ -134,30 +134,60 @@ def best_overlap(spark, sf_dir):
     return best_other(table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("m")))
 
 
-#: Members of a set up to which all its subsets are made (at most 1,023).
+#: Members of a set, of those that it shares by twos, up to which the subsets that it shares are made (at most 1,023).
 FEW_MEMBERS = 10
 
 
 def best_other(rows, few: int = FEW_MEMBERS):
     """order_key, best, overlap: for every order the other one with most members in common, ties by its key.
 
-    What two orders share is a subset of both, so each subset of a small set
-    keeps its two least orders, and no pair of orders is formed. Sets of more
-    than `few` members are compared by their members instead: each is counted
-    against the orders that share one, in both directions.
+    Orders with equal sets are one class, named by its least order. What two
+    classes share is a subset of both, so each shared subset keeps its two
+    least classes, and no pair of classes is formed. Subsets grow by a member at
+    a time, only from those that another class has too: a subset of a shared
+    one is shared. Sets with more than `few` members in shared pairs are
+    compared by these pairs instead: each is counted against the classes that
+    have one, in both directions.
     """
-    sets = R.checkpointed(rows.groupBy(F.col("l_orderkey").alias("order_key")).agg(F.sort_array(F.collect_set("m")).alias("s")))
-    none = F.array().cast("array<array<bigint>>")
-    subsets = F.aggregate("s", F.array(F.array().cast("array<bigint>")), lambda made, m: F.concat(made, F.transform(made, lambda x: F.concat(x, F.array(m.cast("bigint"))))))
-    x = sets.filter(F.size("s") <= few).select("order_key", F.explode(F.filter(F.coalesce(subsets, none), lambda x: F.size(x) > 0)).alias("t"))
-    first = x.groupBy("t").agg(F.min("order_key").alias("p0"), F.max("order_key").alias("last")).filter("p0 < last").drop("last")
-    second = x.join(first, "t").filter("order_key > p0").groupBy("t").agg(F.min("order_key").alias("p1"))
-    least = first.join(second, "t")
-    found = x.join(least, "t").select("order_key", F.size("t").cast("long").alias("n"), F.when(F.col("p0") == F.col("order_key"), F.col("p1")).otherwise(F.col("p0")).alias("p"))
-    large = sets.filter(F.size("s") > few).select(F.col("order_key").alias("big"), F.explode("s").alias("m"))
-    shared = large.join(sets.select(F.col("order_key").alias("o"), F.explode("s").alias("m")), "m").filter("big <> o").groupBy("big", "o").agg(F.count("*").alias("n"))
-    met = shared.select(F.col("big").alias("order_key"), "n", F.col("o").alias("p")).unionByName(shared.select(F.col("o").alias("order_key"), "n", F.col("big").alias("p")))
-    return found.unionByName(met).groupBy("order_key").agg(F.min_by("p", F.struct(-F.col("n"), F.col("p"))).alias("best"), F.max("n").alias("overlap"))
+    sets = rows.filter("l_orderkey is not null").groupBy(F.col("l_orderkey").alias("order_key")).agg(F.sort_array(F.collect_set(F.col("m").cast("bigint"))).alias("s"))
+    sets = R.checkpointed(sets.filter(F.size("s") > 0))
+    classes = R.checkpointed(sets.groupBy("s").agg(F.min("order_key").alias("c"), F.count("*").alias("n")))
+    copies = R.checkpointed(sets.join(classes.filter("n > 1"), "s").filter("order_key > c").select("order_key", "c", F.size("s").cast("long").alias("n")))
+    found = copies.groupBy("c").agg(F.max("n").alias("n"), F.min("order_key").alias("p"))
+
+    def shared(made):
+        """made (c, t): the rows whose t other classes have too, with the least of them."""
+        least = made.groupBy("t").agg(F.min("c").alias("p0"), F.max("c").alias("last")).filter("p0 < last").drop("last")
+        return R.checkpointed(made.join(least, "t"))
+
+    def least_others(own):
+        n = F.size("t").cast("long").alias("n")
+        second = own.groupBy("t", "p0").agg(F.min(F.when(F.col("c") > F.col("p0"), F.col("c"))).alias("p"))
+        return own.filter("c > p0").select("c", n, F.col("p0").alias("p")).unionByName(second.select(F.col("p0").alias("c"), n, "p"))
+
+    one = shared(classes.select("c", F.explode("s").alias("t")).select("c", F.array("t").alias("t")))
+    found = found.unionByName(least_others(one))
+    ms = F.sort_array(F.collect_list(F.col("t")[0]))
+    twos = F.flatten(F.transform("ms", lambda a: F.transform(F.filter("ms", lambda b: b > a), lambda b: F.array(a, b))))
+    own = shared(one.groupBy("c").agg(ms.alias("ms")).select("c", F.explode(twos).alias("t")))
+    big = R.checkpointed(own.groupBy("c").agg(F.size(F.array_distinct(F.flatten(F.collect_list("t")))).alias("active")).filter(F.col("active") > few).select("c"))
+    if not big.isEmpty():
+        met = own.join(big, "c").select(F.col("c").alias("big"), "t").join(own.select("c", "t"), "t").filter("big <> c").groupBy("big", "c").agg(F.count("*").alias("k"))
+        # n members' pairs: n * (n - 1) / 2
+        met = R.checkpointed(met.select("big", "c", F.round((1 + F.sqrt(1 + 8 * F.col("k"))) / 2).cast("long").alias("n")))
+        found = found.unionByName(met.select(F.col("big").alias("c"), "n", F.col("c").alias("p"))).unionByName(met.select("c", "n", F.col("big").alias("p")))
+        own = own.join(big, "c", "left_anti")
+    while True:
+        found = found.unionByName(least_others(own))
+        head, last = lambda t: F.slice(t, 1, F.size(t) - 1), lambda t: F.element_at(t, -1)
+        longer = F.flatten(F.transform("ts", lambda t: F.transform(F.filter("ts", lambda u: (head(u) == head(t)) & (last(u) > last(t))), lambda u: F.concat(t, F.array(last(u))))))
+        own = shared(own.groupBy("c").agg(F.collect_list("t").alias("ts")).filter(F.size("ts") > 2).select("c", F.explode(longer).alias("t")))
+        if own.isEmpty():
+            break
+    best = R.checkpointed(found.filter("p is not null").groupBy("c").agg(F.min_by("p", F.struct(-F.col("n"), F.col("p"))).alias("best"), F.max("n").alias("overlap")))
+    # a copy's best is the class's least order, or what that one has found if it is less
+    others = copies.drop("n").join(best, "c").select("order_key", F.least("c", "best").alias("best"), "overlap")
+    return best.withColumnRenamed("c", "order_key").unionByName(others)
 
 
 @query("""WITH y AS (SELECT unnest(range(1995, 1999)) AS year), c AS (SELECT n_nationkey, year(o_orderdate) AS year, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)

@@ -410,3 +410,25 @@ def test_best_other_against_brute_force(spark):
     for few in (10, 3):  # with 3, larger sets are compared by their members
         got = {r.order_key: (r.best, r.overlap) for r in best_other(spark.createDataFrame(rows, "l_orderkey long, m long"), few).collect()}
         assert got == want and 500 not in got
+
+
+def test_best_other_makes_only_shared_subsets(spark):
+    import random
+
+    from duolex.plans.relational_queries import best_other
+
+    draw = random.Random(8)
+    sets = [{draw.randrange(40) for _ in range(draw.randrange(1, 7))} for _ in range(80)]
+    sets += [{*range(100 + 30 * k, 125 + 30 * k)} for k in range(4)]  # 25 members: too many for all their subsets
+    sets += [sets[-1] | {5}, {*range(100, 118)} | {3}] + [sets[k] for k in (3, 3, 20, 80, 81, 81)]
+    keys = draw.sample(range(1000), len(sets))
+    own = dict(zip(keys, sets))
+    want = {}
+    for o, s in own.items():
+        n, p = min((-len(s & t), p) for p, t in own.items() if p != o)
+        if n:
+            want[o] = (p, -n)
+    rows = [(o, m) for o, s in own.items() for m in s]
+    for few in (10, 2):
+        got = {r.order_key: (r.best, r.overlap) for r in best_other(spark.createDataFrame([*rows, (None, 3), (2000, None)], "l_orderkey long, m long"), few).collect()}
+        assert got == want
