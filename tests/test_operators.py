@@ -432,3 +432,26 @@ def test_best_other_makes_only_shared_subsets(spark):
     for few in (10, 2):
         got = {r.order_key: (r.best, r.overlap) for r in best_other(spark.createDataFrame([*rows, (None, 3), (2000, None)], "l_orderkey long, m long"), few).collect()}
         assert got == want
+
+
+def test_pairs_with_a_query_set_are_cut_down_in_their_tasks(spark):
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
+
+    x = np.random.default_rng(4).integers(-1, 2, (60, 4)) + 0.25  # many ties
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    asked, u = range(0, 60, 7), x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = [(a, b, round(float(u[a] @ u[b]), 12)) for a in asked for b in range(60) if a != b]
+    near = {a: [(b, s) for _, b, s in sorted((-s, b, s) for o, b, s in pairs if o == a)[:5]] for a in asked}
+    close = [(t, hashlib.md5(f"7:{a}:{b}".encode()).hexdigest(), a, b) for a, b, s in pairs for d, t in [min((round(abs(round(s, 6) - t), 9), t) for t in (0.0, 0.5))] if d <= 0.2]
+    first = {(a, b, t) for k in (0.0, 0.5) for t, _, a, b in sorted(r for r in close if r[0] == k)[:4]}
+    for cells in (1, 40, 10_000):
+        q = df.filter("id % 7 = 0")
+        assert sorted((r.other, r.id) for r in V.similarities(df, q, "id", "v", least=0.3, cells=cells).collect() if r.id != r.other) == sorted((a, b) for a, b, s in pairs if s >= 0.3)
+        got = V.nearest_points(df, q, "id", "v", 5, cells).collect()
+        assert {a: sorted([(r.id, r.similarity) for r in got if r.other == a], key=lambda e: (-e[1], e[0])) for a in asked} == near
+        assert {(r.other, r.id, r.threshold) for r in V.near_thresholds(df, q, "id", "v", (0.0, 0.5), 0.2, 4, 7, cells).collect()} == first
+    rows = pd.DataFrame({"id": range(60), "v": list(x)})
+    assert all(s.size <= 90 for _, s in V._blocks(iter([rows]), "id", "v", u[:9], 90))
