@@ -455,3 +455,12 @@ def test_pairs_with_a_query_set_are_cut_down_in_their_tasks(spark):
         assert {(r.other, r.id, r.threshold) for r in V.near_thresholds(df, q, "id", "v", (0.0, 0.5), 0.2, 4, 7, cells).collect()} == first
     rows = pd.DataFrame({"id": range(60), "v": list(x)})
     assert all(s.size <= 90 for _, s in V._blocks(iter([rows]), "id", "v", u[:9], 90))
+
+
+def test_sentences_are_cut_in_small_slices(spark, monkeypatch):
+    monkeypatch.setattr(segment, "CUT_BYTES", 40)
+    monkeypatch.setattr(segment, "PIECES", 2)
+    texts = ["One. Two. Three.", None, "", "Four and more words than fit a slice of so few bytes. Five.\n\nSix", "Ü. Ä."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    got = sorted(map(tuple, segment.with_sentences(df, "doc_id", "text").collect()))
+    assert got == [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate((s for b in segment.blocks(t or "") for s in segment.sentences(b)), 1)]
