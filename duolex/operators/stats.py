@@ -7,6 +7,8 @@ tokenise every text once more.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,11 +146,18 @@ def distinctive_terms(df: DataFrame, id_col: str, group: str, tokens: str, top:
 
 
 def keyword_topics(df: DataFrame, id_col: str, text: str, topics) -> DataFrame:
-    """The topic with the most seed patterns found, over the root of their number; the first topic wins ties."""
-    low = F.lower(F.col(text))
-    scores = [(sum((low.rlike(f"(^|[^a-z0-9_]){w}($|[^a-z0-9_])").cast("int") for w in seeds), F.lit(0)) / F.sqrt(F.lit(float(len(seeds))))) for _, seeds in topics]
+    """The topic with the most seed patterns found, over the root of their number; the first topic wins ties.
+
+    What lies between words becomes one blank, once for all seeds; a seed that
+    is a plain word is then looked for as that, others as patterns.
+    """
+    low, words = F.col("__low"), F.col("__words")
+    own = df.select(id_col, F.lower(F.col(text)).alias("__low"))
+    own = own.select(id_col, "__low", F.concat(F.lit(" "), F.regexp_replace("__low", "[^a-z0-9_]+", " "), F.lit(" ")).alias("__words"))
+    found = lambda w: words.contains(f" {w} ") if re.fullmatch("[a-z0-9_]+", w) else low.rlike(f"(^|[^a-z0-9_]){w}($|[^a-z0-9_])")
+    scores = [(sum((found(w).cast("int") for w in seeds), F.lit(0)) / F.sqrt(F.lit(float(len(seeds))))) for _, seeds in topics]
     best = F.array_max(F.array(*(F.struct(s.alias("score"), F.lit(-k).alias("order"), F.lit(code).alias("code")) for k, (s, (code, _)) in enumerate(zip(scores, topics)))))
-    made = df.select(id_col, best.alias("b"))
+    made = own.select(id_col, best.alias("b"))
     return made.select(id_col, F.when(F.col("b.score") > 0, F.col("b.code")).otherwise("unclassified").alias("topic"), F.round("b.score", 6).alias("score"))
 
 

@@ -177,7 +177,7 @@ TOPICS = (("articles", ("the", "der", "les")), ("endings", ("tion", "ung", "ment
     + "], recursive := true) FROM documents)), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS rn FROM s) SELECT doc_id, CASE WHEN score > 0 THEN code ELSE 'unclassified' END AS topic, round(score, 6) AS score FROM b WHERE rn = 1"
 )
 def keyword_topics(spark, sf_dir):
-    return stats.keyword_topics(table(spark, sf_dir, "documents"), "doc_id", "text", TOPICS)
+    return stats.keyword_topics(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", TOPICS)
 
 
 # ---- duplicates, boilerplate, provenance ---------------------------------------------------------------------------

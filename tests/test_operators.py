@@ -464,3 +464,19 @@ def test_sentences_are_cut_in_small_slices(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
     got = sorted(map(tuple, segment.with_sentences(df, "doc_id", "text").collect()))
     assert got == [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate((s for b in segment.blocks(t or "") for s in segment.sentences(b)), 1)]
+
+
+def test_keyword_topics_look_for_plain_words_without_patterns(spark):
+    import contextlib
+
+    from duolex.operators import stats
+
+    texts = ["The end.", "xthe the_ 9the", "a\tTHE\n", "the", "", None, "cat-cot", "no, ünd und"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    made = stats.keyword_topics(df, "id", "t", (("a", ("the", "no")), ("b", ("c.t", "und"))))
+    half = round(1 / math.sqrt(2), 6)
+    assert {r.id: (r.topic, r.score) for r in made.collect()} == {0: ("a", half), 1: ("unclassified", 0.0), 2: ("a", half), 3: ("a", half), 4: ("unclassified", 0.0), 5: ("unclassified", None), 6: ("b", half), 7: ("a", half)}
+    told = io.StringIO()
+    with contextlib.redirect_stdout(told):
+        stats.keyword_topics(df, "id", "t", (("a", ("the", "no")),)).explain()
+    assert "RLIKE" not in told.getvalue()
