@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..functions.predicates import field
 from . import ledger, stats
-from .relational import checkpointed
+from .relational import checkpointed, written
 
 #: What a candidate's row is known by.
 CANDIDATE = ("race_id", "slug", "election_date", "role")
@@ -233,12 +233,14 @@ def extraction_batch(queue: DataFrame, attempts: DataFrame, fetcher: Callable, l
 
 
 def lexical_analysis(df: DataFrame, id_col: str, group: str, tokens: str, pair: tuple[str, str], least: int) -> dict[str, DataFrame]:
-    """The tables of a two-group word analysis, from one table of tokens."""
+    """The tables of a two-group word analysis, from one table of tokens, which is written once, and one of sums by term."""
+    df = written(df.select(id_col, group, tokens))
+    sums = written(stats.term_sums(df, group, tokens, pair))
     return {
-        "tfidf": stats.group_tfidf(df, id_col, group, tokens, pair),
+        "tfidf": stats.group_tfidf(df, id_col, group, tokens, pair, sums),
         "log_odds": stats.log_odds(df, group, tokens, pair, least=least),
         "prevalence": stats.prevalence(df, id_col, group, tokens, pair, least=least),
-        "hot_cold": stats.hot_cold(df, id_col, group, tokens, *pair),
+        "hot_cold": stats.hot_cold(df, id_col, group, tokens, *pair, sums=sums),
     }
 
 

@@ -41,14 +41,14 @@ def term_sums(df: DataFrame, group: str, tokens: str, pair: tuple[str, str]) ->
     return rows.groupBy(F.col("x.term").alias("term")).agg(F.sum("x.first").alias("df"), *sums)
 
 
-def group_tfidf(df: DataFrame, id_col: str, group: str, tokens: str, pair: tuple[str, str]) -> DataFrame:
-    """term, the mean TF-IDF of each group's documents (empty ones included) and their difference. idf = ln((1 + N) / (1 + df)) + 1.
+def group_tfidf(df: DataFrame, id_col: str, group: str, tokens: str, pair: tuple[str, str], sums: DataFrame | None = None) -> DataFrame:
+    """term, the mean TF-IDF of each group's documents (empty ones included) and their difference. idf = ln((1 + N) / (1 + df)) + 1. sums: the term_sums, if they are there.
 
     As idf is a factor of the term, term frequencies are summed first; one shuffle by term.
     """
     sizes = {r[0]: r[1] for r in df.groupBy(group).agg(F.count("*")).collect()}
     total = sum(sizes.values())
-    by_term = term_sums(df, group, tokens, pair).filter("term is not null")
+    by_term = (term_sums(df, group, tokens, pair) if sums is None else sums).filter("term is not null")
     idf = F.log((1.0 + total) / (1 + F.col("df"))) + 1
     made = by_term.select("term", *((F.col(f"tf_{k}") * idf / max(1, sizes.get(g, 0))).alias(g) for k, g in enumerate(pair)))
     return made.withColumn("difference", F.col(pair[0]) - F.col(pair[1]))
@@ -99,9 +99,9 @@ def bag_cosine(df: DataFrame, keys: list[str], group: str, tokens: str, pair: tu
     return counts.groupBy(*keys).agg(F.round(F.coalesce(cosine, F.lit(0.0)), 6).alias("cosine"))
 
 
-def hot_cold(df: DataFrame, id_col: str, group: str, tokens: str, hot: str, cold: str, least: int = 1) -> DataFrame:
-    """Differences of mean TF-IDF and of normalised pointwise mutual information; documents of other groups count in the corpus only."""
-    sums = checkpointed(term_sums(df, group, tokens, (hot, cold)))  # a row for each term; texts are read once
+def hot_cold(df: DataFrame, id_col: str, group: str, tokens: str, hot: str, cold: str, least: int = 1, sums: DataFrame | None = None) -> DataFrame:
+    """Differences of mean TF-IDF and of normalised pointwise mutual information; documents of other groups count in the corpus only. sums: the term_sums, if they are there."""
+    sums = checkpointed(term_sums(df, group, tokens, (hot, cold))) if sums is None else sums  # a row for each term; texts are read once
     counted = sums.filter("term is null").first()
     if counted is None or not counted.df_0 or not counted.df_1:
         raise ValueError("both comparison groups need documents")

@@ -480,3 +480,24 @@ def test_keyword_topics_look_for_plain_words_without_patterns(spark):
     with contextlib.redirect_stdout(told):
         stats.keyword_topics(df, "id", "t", (("a", ("the", "no")),)).explain()
     assert "RLIKE" not in told.getvalue()
+
+
+def test_arriving_batches_have_as_many_files_as_the_input_needs():
+    from duolex.plans.scope_queries import batch_files
+
+    assert batch_files(1, 4) == 4 and batch_files(90, 4) == 30 and batch_files(91, 4) == 31
+
+
+def test_lexical_analysis_reads_its_tokens_once(spark):
+    from pyspark.sql.types import ArrayType, StringType
+
+    read = spark.sparkContext.accumulator(0)
+
+    def cut(text):
+        read.add(1)
+        return text.split()
+
+    df = spark.createDataFrame([(1, "endorsed", "a b a"), (2, "opponent", "b c"), (3, "opponent", "c c a")], "doc_id int, grp string, t string")
+    df = df.select("doc_id", "grp", F.udf(cut, ArrayType(StringType()))("t").alias("tokens"))
+    made = C.lexical_analysis(df, "doc_id", "grp", "tokens", ("endorsed", "opponent"), least=1)
+    assert {k: v.count() for k, v in made.items()} == {"tfidf": 3, "hot_cold": 3, "log_odds": 8, "prevalence": 8} and read.value == 3
