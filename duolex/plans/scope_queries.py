@@ -163,6 +163,11 @@ def inferred_fields(spark, sf_dir):
     return E.inferred(docs)
 
 
+def batch_files(partitions: int, cores: int) -> int:
+    """Files of each of three batches: no task has more than the input's partitions have, and all cores have one."""
+    return max(1, -(-partitions // 3), cores)
+
+
 @query(f"""WITH i AS (SELECT doc_id, {SQL_INF} AS inf, sha256({SQL_NORMALISED}) AS exact FROM documents), h AS (SELECT doc_id, exact, {SQL_NEAR} AS near FROM i)
  SELECT doc_id, exact, near, CAST(count(*) OVER (PARTITION BY exact) AS BIGINT) AS n_exact, CASE WHEN near = '' THEN 1 ELSE CAST(count(*) OVER (PARTITION BY near) AS BIGINT) END AS n_near FROM h""")
 def streamed_duplicates(spark, sf_dir):
@@ -173,7 +178,9 @@ def streamed_duplicates(spark, sf_dir):
     from ..streaming.upsert import count_duplicates, duplicate_numbers
 
     root = f"{scratch_folder(spark)}/duplicates-{uuid.uuid4().hex}"
-    table(spark, sf_dir, "documents").select("doc_id", "text").repartition(3).write.parquet(f"{root}/in")
-    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = batch_files(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    docs.repartition(3 * files).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", files).parquet(f"{root}/in")
     count_duplicates(stream, f"{root}/table", f"{root}/log", "doc_id", "text", "doc_id").awaitTermination()
     return duplicate_numbers(spark, f"{root}/table")
