@@ -501,3 +501,15 @@ def test_lexical_analysis_reads_its_tokens_once(spark):
     df = df.select("doc_id", "grp", F.udf(cut, ArrayType(StringType()))("t").alias("tokens"))
     made = C.lexical_analysis(df, "doc_id", "grp", "tokens", ("endorsed", "opponent"), least=1)
     assert {k: v.count() for k, v in made.items()} == {"tfidf": 3, "hot_cold": 3, "log_odds": 8, "prevalence": 8} and read.value == 3
+
+
+def test_knn_of_blocks_that_meet_once(spark):
+    import numpy as np
+
+    x = np.random.default_rng(5).integers(-1, 2, (50, 3)) + 0.25  # many ties
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = [(a, -round(float(u[a] @ u[b]), 12), b) for a in range(50) for b in range(50) if a != b]
+    want = {(a, b) for a in range(50) for _, s, b in sorted(p for p in pairs if p[0] == a and p[1] <= -0.1)[:4]}
+    for block, cells in ((7, 20), (25, 1), (50, 10_000)):
+        assert {(r.src, r.dst) for r in V.knn(df, "id", "v", 4, 0.1, block, cells).collect()} == want
