@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from ..functions import text as T
 from ..functions.predicates import field
+from .relational import written
 
 #: Roles of people who are backed.
 BACKED = ("endorsed", "unopposed")
@@ -42,15 +43,18 @@ def sticking_points(evidence: DataFrame) -> DataFrame:
     two rows have different subtopics. The rows shown are the first of the
     first person, and of the second person's the first that stands against it.
     A person's rows are reduced to four before people are compared, so a race
-    costs its people squared, whatever it holds of their rows.
+    costs its people squared, whatever it holds of their rows. Rows are written
+    once with both identities, as they are read some times; else each reading
+    makes the identities anew, and again for what the optimizer infers of the keys.
     """
     text = lambda c: F.coalesce(c, F.lit(""))
     rows = evidence.filter((F.col("status") == "verified") & (field(F.col("quote")) != ""))
     rows = rows.select("race_id", "candidate_name", *(text(c).alias(c) for c in ("role", "topic", "subtopic", "stance", "quote", "source", "opponent")), "ord", I.text_identity(F.col("candidate_name")).alias("who"))
+    rows = written(rows.withColumn("other", F.when(field(F.col("opponent")) != "", I.text_identity(F.col("opponent")))))
     known = rows.groupBy("race_id", "who").agg(F.max_by("role", "ord").alias("role"), F.min_by("candidate_name", "ord").alias("shown"))
     me = known.select("race_id", "who", F.col("shown").alias("own_shown"))
     other = known.select("race_id", F.col("who").alias("other"), F.col("role").alias("other_role"), F.col("shown").alias("other_shown"))
-    named = rows.filter(field(F.col("opponent")) != "").withColumn("other", I.text_identity(F.col("opponent"))).join(me, ["race_id", "who"]).join(other, ["race_id", "other"], "left")
+    named = rows.filter("other is not null").join(me, ["race_id", "who"]).join(other, ["race_id", "other"], "left")
     named = named.filter(F.col("role").isin(*BACKED) | F.coalesce(F.col("other_role").isin(*BACKED), F.lit(False)))
     none = F.lit("")
     explicit = named.select(
