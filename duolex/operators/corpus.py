@@ -281,11 +281,13 @@ def similar_names(left: DataFrame, right: DataFrame, keys: list[str], name: str)
     an initial of the other ("J. Smith" and "Jane Q. Smith", also written
     "Smith, Jane"). They meet by an equi-join on the last word and the first
     initial, which all such pairs share, so each pair is formed once and no
-    others but those of this key; NULL and blank names meet nobody.
+    others but those of this key; NULL and blank names meet nobody. Both tables
+    are written with their words before they meet: else the optimizer makes the
+    words anew for what it infers of the keys, of rows that the tables drop too.
     """
     words = F.col("__w")
     block = F.when(F.size(words) == 1, words[0]).when(F.size(words) > 1, F.concat_ws(" ", F.element_at(words, -1), F.substring(words[0], 1, 1)))
-    keyed = lambda df: df.withColumn("__w", ordered_name(F.col(name))).withColumn("__block", block)
+    keyed = lambda df: written(df.withColumn("__w", ordered_name(F.col(name))).withColumn("__block", block))
     a = keyed(left)
     b = keyed(right).withColumnsRenamed({name: "right_name", "__w": "__r"})
     given = F.arrays_zip(F.slice("__w", F.lit(1), F.size("__w") - 1).alias("a"), F.slice("__r", F.lit(1), F.size("__r") - 1).alias("b"))

@@ -39,6 +39,14 @@ def test_named_conflicts_show_the_first_names(spark):
     assert contrasts.sticking_points(statements(spark, rows).limit(0)).collect() == []
 
 
+def test_identities_are_made_once(spark):
+    """The plans that join identities and words hold no expression that makes them."""
+    points = contrasts.sticking_points(statements(spark, [("Ann", "endorsed", "tax", "x", "mixed", "bo"), ("Bo", "opponent", "tax", "y", "support", "")]))
+    names = spark.createDataFrame([(1, "J. Smith"), (1, "Jane Smith")], "y int, name string").distinct()
+    for df in (points, corpus.similar_names(names, names, ["y"], "name")):
+        assert "regexp_replace" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_similar_names(spark):
     names = ["J. Smith", "Jane Smith", "Smith, Jane Q.", "John Smith", "Jane Smythe", "Cher", "cher", None, " ", "J.D. Vance", "JD Vance Jr."]
     df = spark.createDataFrame([(1, n) for n in names], "y int, name string")
