@@ -1,5 +1,6 @@
 """Operators that learn from or join the corpus."""
 
+import itertools
 import math
 import random
 from collections import Counter
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duolex.llm import decontaminate, langid, nearjoin, quality, queries, sharding, toxicity
-from duolex.llm.common import remainder
+from duolex.llm.common import Scratch, remainder
 from duolex.llm.words import shingles, word_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -264,6 +265,20 @@ def test_near_classes_link_recall_with_a_hub_and_a_group_over_a_block(spark, mon
         assert {got[i].class_id for i in range(5000, 5200)} == set(range(5000, 5200))
 
 
+def test_components_join_no_more_edges_than_nodes(spark):
+    """Each two of 60 nodes, of a path and of a star are linked, in no order; what meets the labels is a few edges a node."""
+    draw = random.Random(4)
+    names = draw.sample(range(10**6), 200)
+    pairs = list(itertools.combinations(names[:60], 2)) + list(zip(names[60:100], names[61:101])) + [(names[101], x) for x in names[102:190]] + [(names[190], names[191])]
+    links = spark.createDataFrame([(b"%06d" % a, b"%06d" % b) for a, b in draw.sample(pairs, len(pairs))], "a binary, b binary")
+    scratch = Scratch(spark)
+    root = {int(r.node): int(r.root) for r in nearjoin.components(links, scratch).collect()}
+    groups = [names[:60], names[60:101], names[101:190], names[190:192]]
+    assert root == {x: min(part) for part in groups for x in part}
+    assert spark.read.parquet(f"{scratch.root}/edges").count() <= 4 * len(root)
+    assert nearjoin.components(links.limit(0), Scratch(spark)).collect() == []
+
+
 def test_recall_is_measured_on_the_candidates(spark):
     """Pairs of one similarity only: the share that meets at a lower depth follows from it."""
     equal = [0] * (nearjoin._HASHES + 1)
