@@ -132,3 +132,19 @@ def test_dp_means_equals_the_sequential_form(spark, step, most):
     want = sequential_dp_means(range(60), x, most, 4)
     assert {r.id: r.cluster for r in got} == want
     assert all(r.size == sum(c == r.cluster for c in want.values()) for r in got)
+
+
+def test_a_round_of_kmeans_is_one_job(spark):
+    """Rows in several files: all tasks of a pass run at once, and the clusters are those of all rows."""
+    x = np.random.default_rng(6).standard_normal((400, 3))
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "id long, g int, v array<double>").repartition(8)
+    count = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    made, settled = [], None
+    for rounds in (0, 3, 100):
+        before = count()
+        settled = V.kmeans(df, "id", "g", "v", {0: 2}, starts=4, rounds=rounds).collect()
+        made.append(count() - before)
+    assert made[1] - made[0] <= 3
+    part = {r.id: r.cluster for r in settled}
+    means = [x[[part[i] == k for i in range(400)]].mean(axis=0) for k in (0, 1)]
+    assert all(int(np.argmin([((x[i] - m) ** 2).sum() for m in means])) == k for i, k in part.items())
