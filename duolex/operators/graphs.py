@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .relational import written, components, top_per_group
-from .vectors import normalised
+from .vectors import CELLS, normalised
 
+#: Rows drawn as pivots of an order of `neighbours`, at most.
+PIVOTS = 256
 #: Keys with more than 1 / HOT_KEYS of all rows are at most so many; they are broadcast.
 HOT_KEYS = 100_000
 
@@ -22,105 +24,241 @@ def spread_lookup(left: DataFrame, right: DataFrame, key: str, hot: Column) -> D
     return left.join(F.broadcast(many), key).unionByName(left.join(F.broadcast(many.select(key)), key, "left_anti").join(right.filter(~hot), key))
 
 
-def _first_lists(points: DataFrame, k: int, trees: int, leaf: int, seed: int, kind: str) -> DataFrame:
-    """src, dst, s: the nearest others within blocks of rows that lie together in the order of some random hyperplanes' signs, for each tree of hyperplanes."""
-    size = len(points.select("v").first()["v"])
-    planes = np.random.default_rng(seed).standard_normal((trees, 32, size))
+def _codes(points: DataFrame, kind: str) -> DataFrame:
+    """id, c, x: a vector's direction as one signed byte a dimension, and the vector itself (v) as 4-byte floats where these hold it exactly, else as 8-byte ones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                u, x = np.stack(batch["u"].to_numpy()), np.stack(batch["v"].to_numpy())
+                c = np.round(u * (127 / np.abs(u).max(axis=1, keepdims=True))).astype(np.int8)
+                short = x.astype(np.float32)
+                exact = (short == x).all(axis=1)
+                yield pd.DataFrame({"id": batch["id"], "c": [r.tobytes() for r in c], "x": [(s if e else r).tobytes() for s, r, e in zip(short, x, exact)]})
+
+    return points.mapInPandas(run, f"id {kind}, c binary, x binary")
+
+
+def _unpacked(codes: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Codes as rows of whole numbers and their lengths. Products of rows are exact, so that a pair's similarity is the same wherever it is computed."""
+    c = np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1)
+    c = c.astype(np.float32 if c.shape[1] <= 1024 else np.float64)
+    return c, np.sqrt(np.einsum("ij,ij->i", c, c))
+
+
+def _best(src: np.ndarray, dst: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each src, a pair once, ties by dst."""
+    order = np.lexsort((dst, -s, src))
+    src, dst, s = src[order], dst[order], s[order]
+    once = np.ones(len(src), bool)
+    once[1:] = (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])
+    src, dst, s = src[once], dst[once], s[once]
+    keep = np.arange(len(src)) - np.searchsorted(src, src) < k
+    return src[keep], dst[keep], s[keep]
+
+
+def _block_pairs(known: DataFrame, n: int, k: int, trees: int, leaf: int, seed: int, kind: str) -> DataFrame:
+    """src, dst, s: for each of some orders, a row's k best others better than its worst in the blocks of rows that lie together.
+
+    An order is by the nearest of some rows drawn as pivots, then by the signs of
+    random hyperplanes. Blocks overlap by half; two rows meet once an order.
+    """
+    many = min(PIVOTS, -(-n // leaf))
+    drawn = known.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(trees * many).select("c").toPandas()["c"]
+    pivots, length = _unpacked(drawn)
+    pivots = pivots / length[:, None]
+    planes = np.random.default_rng(seed).standard_normal((trees, 32, pivots.shape[1])).astype(np.float32)
 
     def signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.stack(batch["v"].to_numpy())
-            for t in range(trees):
-                yield pd.DataFrame({"tree": t, "key": [b.tobytes() for b in np.packbits(x @ planes[t].T > 0, axis=1)], "id": batch["id"], "v": batch["v"]})
+            if len(batch):
+                c, _ = _unpacked(batch["c"])
+                for t in range(trees):
+                    own = pivots[t::trees]
+                    first = (c @ own.T).argmax(axis=1).astype(">u2") if len(own) else np.zeros(len(c), ">u2")
+                    keys = np.hstack([first.view(np.uint8).reshape(-1, 2), np.packbits(c @ planes[t].T > 0, axis=1)])
+                    yield batch.assign(tree=t, key=[b.tobytes() for b in keys])[["tree", "key", "id", "c", "worst"]]
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, met = None, 0
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
             while len(held) >= 2 * leaf:
-                cut = leaf
-                yield from near(held.iloc[:cut])
-                held = held.iloc[cut // 2 :]
+                yield from near(held.iloc[:leaf], met)
+                held, met = held.iloc[leaf // 2 :], leaf - leaf // 2
         if held is not None:
-            yield from near(held)
-
-    def near(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for _, part in rows.groupby("tree"):
-            if len(part) < 2:
-                continue
-            ids, x = part["id"].to_numpy(), np.stack(part["v"].to_numpy())
-            s = np.round(x @ x.T, 12)
-            np.fill_diagonal(s, -2)
-            order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-            top = np.take_along_axis(s, order, axis=1)
-            i, j = np.nonzero(top > -2)
-            yield pd.DataFrame({"src": ids[i], "dst": ids[order[i, j]], "s": top[i, j]})
+            yield from near(held, met)
+
+    def near(rows: pd.DataFrame, met: int) -> Iterator[pd.DataFrame]:
+        """The first `met` rows have met each other in the block before."""
+        for lo, hi in _runs(rows["tree"].to_numpy()):
+            if hi - lo > 1:
+                yield from compared(rows.iloc[lo:hi], max(0, met - lo))
+
+    def compared(part: pd.DataFrame, met: int) -> Iterator[pd.DataFrame]:
+        (c, length), worst, m = _unpacked(part["c"]), part["worst"].to_numpy(np.float32), len(part)
+        ids, place = np.unique(part["id"].to_numpy(), return_inverse=True)
+        step = max(1, CELLS // m)
+        for lo in range(0, m, step):
+            s = (c[lo : lo + step] @ c.T) / (length[lo : lo + step, None] * length[None, :])
+            rows = np.arange(lo, lo + len(s))
+            s[rows - lo, rows] = -2
+            if lo < met:
+                s[: met - lo, :met] = -2
+            good = s > worst[lo : lo + step, None]
+            more = np.flatnonzero(good.sum(axis=1) > k)
+            if len(more):
+                good[more] &= s[more] >= np.partition(s[more], m - k, axis=1)[:, m - k, None]
+            i, j = np.nonzero(good)
+            src, dst, s = _best(place[lo + i], place[j], s[i, j], k)
+            yield pd.DataFrame({"src": ids[src], "dst": ids[dst], "s": s})
+
+    keyed = known.mapInPandas(signs, f"tree int, key binary, id {kind}, c binary, worst float")
+    tasks = max(1, -(-n * trees // (4 * leaf)))
+    return keyed.repartitionByRange(tasks, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").mapInPandas(blocks, f"src {kind}, dst {kind}, s float")
+
+
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal keys begins and ends."""
+    cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    return list(zip([0, *cuts], [*cuts, len(keys)])) if len(keys) else []
+
+
+def _renewed(lists: DataFrame | None, pairs: DataFrame, k: int) -> DataFrame:
+    """src, dst, s, old: the k best of each src among its list and new pairs, ties by id; old: it was in the list. One shuffle, by src."""
+    rows = pairs.withColumn("old", F.lit(False))
+    if lists is not None:
+        rows = lists.withColumn("old", F.lit(True)).unionByName(rows)
+    once = rows.repartition("src").groupBy("src", "dst").agg(F.max("s").alias("s"), F.max("old").alias("old"))
+    return written(top_per_group(once, ["src"], [F.desc("s"), "dst"], k).drop("rank"))
+
+
+def _looked_up(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """left joined to right, which has one row a key; hot: keys with many rows on the left, if any."""
+    if hot is None:
+        return left.join(right, key)
+    return spread_lookup(left, right.join(F.broadcast(hot.withColumn("hot", F.lit(True))), key, "left").fillna(False, ["hot"]), key, F.col("hot")).drop("hot")
+
+
+def _met_pairs(met: DataFrame, k: int, kind: str) -> DataFrame:
+    """src, dst, s: pairs of rows of the same mid that are better than src's worst, of which one is fresh there."""
 
-    keyed = points.mapInPandas(signs, f"tree int, key binary, id {kind}, v array<double>")
-    return keyed.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id").mapInPandas(blocks, f"src {kind}, dst {kind}, s double")
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = held["mid"].iloc[-1] if len(held) else None
+            whole, held = held[held["mid"] != last], held[held["mid"] == last]
+            yield from found(whole)
+        if held is not None:
+            yield from found(held)
 
+    def found(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not len(rows):
+            return
+        (c, length), worst, fresh = _unpacked(rows["c"]), rows["worst"].to_numpy(np.float32), rows["fresh"].to_numpy(bool)
+        ids, place = np.unique(rows["id"].to_numpy(), return_inverse=True)
+        runs = np.array(_runs(rows["mid"].to_numpy()))
+        size = int((runs[:, 1] - runs[:, 0]).max())
+        step, out = max(1, CELLS // (size * size)), []
+        for lo in range(0, len(runs), step):
+            start, end = runs[lo : lo + step].T
+            at = start[:, None] + np.arange(size)
+            there = at < end[:, None]
+            at = np.where(there, at, start[:, None])
+            x, long, new = c[at], length[at], fresh[at]
+            s = (x @ x.transpose(0, 2, 1)) / (long[:, :, None] * long[:, None, :])
+            good = (s > worst[at][:, :, None]) & (new[:, :, None] | new[:, None, :]) & there[:, :, None] & there[:, None, :] & ~np.eye(size, dtype=bool)
+            g, i, j = np.nonzero(good)
+            out.append((place[at[g, i]], place[at[g, j]], s[g, i, j]))
+        src, dst, s = _best(*(np.concatenate(x) for x in zip(*out)), k)
+        yield pd.DataFrame({"src": ids[src], "dst": ids[dst], "s": s})
+
+    return met.repartition("mid").sortWithinPartitions("mid").mapInPandas(compare, f"src {kind}, dst {kind}, s float")
+
+
+def _exact(pairs: DataFrame, kind: str) -> DataFrame:
+    """src, dst, similarity of pairs with both vectors, to 12 digits."""
+
+    def vectors(packed: pd.Series, size: int) -> np.ndarray:
+        x = np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * size else np.float64) for b in packed]).astype(np.float64)
+        return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                size = int(batch["size"].iloc[0])
+                s = np.einsum("ij,ij->i", vectors(batch["x"], size), vectors(batch["y"], size))
+                yield pd.DataFrame({"src": batch["src"], "dst": batch["dst"], "similarity": np.round(s, 12)})
 
-def _nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best of each src, a pair once, ties by id; Spark keeps k rows of a src before the shuffle."""
-    return top_per_group(pairs.groupBy("src", "dst").agg(F.max("s").alias("s")), ["src"], [F.desc("s"), "dst"], k).drop("rank")
+    return pairs.mapInPandas(run, f"src {kind}, dst {kind}, similarity double")
 
 
-def neighbours(points: DataFrame, id_col: str, vector: str, k: int, least: float = -1.0, width: int | None = None, trees: int = 4, leaf: int = 256, tolerance: float = 0.001, seed: int = 7) -> DataFrame:
+def neighbours(points: DataFrame, id_col: str, vector: str, k: int, least: float = -1.0, width: int | None = None, trees: int = 32, leaf: int = 2048, tolerance: float = 0.001, seed: int = 7) -> DataFrame:
     """src, dst, similarity: about each point's k nearest others of at least the least similarity, by neighbour descent.
 
-    Lists start from blocks of the orders of a few random hyperplanes' signs.
+    Lists start from blocks of rows that lie together in some orders, eight at a
+    time, until eight change under a tenth of the entries or `trees` are done.
     In each round a point's neighbours and up to k of those that it is a
     neighbour of are compared with each other, as a neighbour's neighbour is
-    likely one; rounds end when fewer than tolerance of the lists' entries
-    change. On the way each list has `width` entries (twice k), of which the k best
+    likely one; two that have met there before are not compared again, and a
+    point around which nothing is new gets no vectors. Rounds end when fewer than tolerance of the lists' entries
+    change. On the way each list has `width` entries (twice k), compared by codes of one byte a
+    dimension; the k best of them by their exact similarity
     are returned: vectors without any order need the longer ones. The work of a round is linear in the points; a point that is
     everybody's neighbour is no hot key, as only its best k lists look back
     from it. ids must have no repeats; a zero vector is an error.
     """
     kind, most, k = points.schema[id_col].dataType.simpleString(), k, width or 2 * k
-    own = written(points.select(F.col(id_col).alias("id"), normalised(F.col(vector)).alias("v")))
-    if own.isEmpty():
-        return own.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("similarity"))
+    raw = points.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    own = written(_codes(raw.withColumn("u", normalised(F.col("v"))), kind))
     n = own.count()
+    if not n:
+        return own.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("similarity"))
     limit = max(10_000, 4 * k * n // HOT_KEYS)
-    lists = written(_nearest(_first_lists(own, k, trees, leaf, seed, kind), k))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = held["mid"].iloc[-1] if len(held) else None
-            whole, held = held[held["mid"] != last], held[held["mid"] == last]
-            yield from found(whole)
-        if held is not None:
-            yield from found(held)
-
-    def found(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        out = []
-        for _, part in rows.groupby("mid", sort=False):
-            ids, x = part["id"].to_numpy(), np.stack(part["v"].to_numpy())
-            s = np.round(x @ x.T, 12)
-            s[(ids[:, None] == ids[None, :]) | (s <= part["worst"].to_numpy()[:, None])] = -2
-            i, j = np.nonzero(s > -2)
-            out.append(pd.DataFrame({"src": ids[i], "dst": ids[j], "s": s[i, j]}))
-        if out:
-            yield pd.concat(out, ignore_index=True)
 
+    def known() -> DataFrame:
+        if lists is None:
+            return own.select("id", "c", F.lit(-2.0).cast("float").alias("worst"))
+        worst = lists.groupBy(F.col("src").alias("id")).agg(F.when(F.count("*") == k, F.min("s")).otherwise(-2.0).cast("float").alias("worst"))
+        return own.select("id", "c").join(worst, "id", "left").fillna(-2.0, ["worst"])
+
+    def renewed(pairs: DataFrame) -> tuple[DataFrame, int]:
+        better = _renewed(lists, pairs, k)
+        return better.drop("old"), better.filter(~F.col("old")).count()
+
+    def often() -> DataFrame | None:
+        """Points of so many lists that they are broadcast."""
+        hot = lists.groupBy(F.col("dst").alias("id")).count().filter(F.col("count") > limit - k - 1).select("id")
+        hot = written(hot)
+        return None if hot.isEmpty() else hot
+
+    lists = None
+    for done in range(0, trees, 8):
+        lists, changed = renewed(_block_pairs(known(), n, k, min(8, trees - done), leaf, seed + done, kind))
+        if changed <= 0.1 * n * k:
+            break
+    before = None
     while True:
         slot = F.pmod(F.xxhash64("src"), F.lit(k))
-        back = lists.groupBy(F.col("dst").alias("mid"), slot).agg(F.max_by("src", F.struct("s", "src")).alias("id")).select("mid", "id")
-        around = lists.select(F.col("src").alias("mid"), F.col("dst").alias("id")).unionByName(back).unionByName(own.select(F.col("id").alias("mid"), "id")).distinct()
+        back = lists.groupBy(F.col("dst").alias("mid"), slot).agg(F.max_by("src", F.struct("s", "src")).alias("id")).groupBy("mid").agg(F.collect_list("id").alias("back"))
+        to = lists.groupBy(F.col("src").alias("mid")).agg(F.collect_list("dst").alias("to"))
+        ids = F.array_distinct(F.flatten(F.array(F.array("mid"), F.coalesce("to", F.array()), F.coalesce("back", F.array()))))
+        around = own.select(F.col("id").alias("mid")).join(to, "mid", "left").join(back, "mid", "left").select("mid", ids.alias("ids"))
+        if before is None:
+            around = around.withColumn("fresh", F.col("ids"))
+        else:
+            around = around.join(before, "mid").withColumn("fresh", F.array_except("ids", "seen")).drop("seen")
         around = written(around)
-        worst = lists.groupBy(F.col("src").alias("id")).agg(F.when(F.count("*") == k, F.min("s")).otherwise(-2.0).alias("worst"))
-        seen = around.groupBy("id").agg(F.count("*").alias("n"))
-        known = written(own.join(seen, "id").join(worst, "id", "left").fillna(-2.0, ["worst"]))
-        met = spread_lookup(around, known, "id", F.col("n") > limit).select("mid", "id", "v", "worst")
-        new = met.repartition("mid").sortWithinPartitions("mid").mapInPandas(compare, f"src {kind}, dst {kind}, s double")
-        better = written(_nearest(lists.unionByName(new), k))
-        changed = better.join(lists.select("src", "dst"), ["src", "dst"], "left_anti").count()
-        lists = better
+        before = around.select("mid", F.col("ids").alias("seen"))
+        live = around.filter(F.size("fresh") > 0).select("mid", "fresh", F.explode("ids").alias("id")).select("mid", "id", F.array_contains("fresh", F.col("id")).alias("fresh"))
+        met = _looked_up(live, known(), "id", often()).select("mid", "id", "fresh", "c", "worst")
+        lists, changed = renewed(_met_pairs(met, k, kind))
         if changed <= tolerance * n * k:
-            return _nearest(lists.filter(F.col("s") >= least), most).withColumnRenamed("s", "similarity")
+            break
+    ends = _looked_up(lists.select("src", F.col("dst").alias("id")), own.select("id", F.col("x").alias("y")), "id", often()).withColumnRenamed("id", "dst")
+    ends = ends.join(own.select(F.col("id").alias("src"), "x", F.length("c").alias("size")), "src").select("src", "dst", "x", "y", "size")
+    return top_per_group(_exact(ends, kind).filter(F.col("similarity") >= least), ["src"], [F.desc("similarity"), "dst"], most).drop("rank")
 
 
 # communities

@@ -51,6 +51,27 @@ def test_neighbours_of_few_points(spark):
     assert G.neighbours(points.limit(1), "id", "v", k=5).collect() == []
 
 
+def test_neighbours_ship_little_for_each_point_and_reach_the_recall_with_many_blocks(spark):
+    rng = np.random.default_rng(11)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((4000, 64)))], "id long, v array<double>")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    found = G.neighbours(points, "id", "v", k=10, leaf=256).collect()
+    assert 0 < shuffled() - before < 4000 * 30_000
+    assert recall(found, V.knn(points, "id", "v", k=10, least=-1.0).collect()) >= 0.9
+
+
+def test_neighbours_compare_codes_but_return_exact_similarities(spark):
+    """Ids are texts; numbers that 4 bytes don't hold, far apart in size, are kept as they are."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((300, 16)) * 10.0 ** rng.integers(-9, 9, (300, 1)) / 3
+    points = spark.createDataFrame([(f"p{i}", v.tolist()) for i, v in enumerate(x)], "id string, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = G.neighbours(points, "id", "v", k=6, leaf=64).collect()
+    assert recall(found, V.knn(points, "id", "v", k=6, least=-1.0).collect()) >= 0.97
+    assert all(abs(r.similarity - u[int(r.src[1:])] @ u[int(r.dst[1:])]) < 1e-11 for r in found)
+
+
 def quality(edges, part, resolution=1.0):
     double = 2 * sum(w for _, _, w in edges)
     deg, inside = {}, 0.0
