@@ -100,7 +100,7 @@ def _block_pairs(known: DataFrame, n: int, k: int, trees: int, leaf: int, seed:
         ids, place = np.unique(part["id"].to_numpy(), return_inverse=True)
         step = max(1, CELLS // m)
         for lo in range(0, m, step):
-            s = (c[lo : lo + step] @ c.T) / (length[lo : lo + step, None] * length[None, :])
+            s = ((c[lo : lo + step] @ c.T) / (length[lo : lo + step, None] * length[None, :])).astype(np.float32)
             rows = np.arange(lo, lo + len(s))
             s[rows - lo, rows] = -2
             if lo < met:
@@ -167,7 +167,7 @@ def _met_pairs(met: DataFrame, k: int, kind: str) -> DataFrame:
             there = at < end[:, None]
             at = np.where(there, at, start[:, None])
             x, long, new = c[at], length[at], fresh[at]
-            s = (x @ x.transpose(0, 2, 1)) / (long[:, :, None] * long[:, None, :])
+            s = ((x @ x.transpose(0, 2, 1)) / (long[:, :, None] * long[:, None, :])).astype(np.float32)
             good = (s > worst[at][:, :, None]) & (new[:, :, None] | new[:, None, :]) & there[:, :, None] & there[:, None, :] & ~np.eye(size, dtype=bool)
             g, i, j = np.nonzero(good)
             out.append((place[at[g, i]], place[at[g, j]], s[g, i, j]))
