@@ -80,11 +80,12 @@ def navigation_text(spark, sf_dir):
 
 @query()
 def sentences(spark, sf_dir):
-    """Sentences with abbreviation rules, a scanner over the characters that SQL can't express."""
+    """Sentences with abbreviation rules, a scanner over the characters that SQL can't express. Documents without any have 0."""
     from ..sources.segment import with_sentences
 
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return with_sentences(docs, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_sentences(spread(docs), "doc_id", "text").select("doc_id", "place")
+    return found.unionByName(docs.select("doc_id"), allowMissingColumns=True).groupBy("doc_id").agg(F.count("place").alias("n"))
 
 
 @query()

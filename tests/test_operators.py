@@ -466,6 +466,26 @@ def test_sentences_are_cut_in_small_slices(spark, monkeypatch):
     assert got == [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate((s for b in segment.blocks(t or "") for s in segment.sentences(b)), 1)]
 
 
+def test_sentences_judge_a_stop_by_its_whole_word():
+    for letters in (3, 20, 21, 22, 40, 1000):
+        name = "A." * letters
+        assert segment.sentences(f"Ask {name} Then go. He left") == [f"Ask {name} Then go.", "He left"]
+        assert segment.sentences(f"Ask x{name} Then go.") == [f"Ask x{'A.'}", *["A."] * (letters - 1), "Then go."]
+    assert segment.sentences("In \ufb06. Paul. By Xst. Paul. Then No. 5 and \u212a. Lee.") == ["In \ufb06. Paul.", "By Xst.", "Paul.", "Then No. 5 and \u212a. Lee."]
+
+
+def test_sentences_of_texts_with_controls_and_of_none(spark, tmp_path):
+    from duolex.plans.scalar_queries import sentences
+
+    assert segment.blocks("a\tb\r\n\u200b\r\nc\x00d\xade\ue000\U0001fae0 \xa0") == ["a b", "c d e \U0001fae0"]
+    texts = ["One.\u200bTwo.\x00Three", None, "", " \n\x07\n", "Four. Five.\n\nSix"]
+    docs = spark.createDataFrame([*enumerate(texts), (4, "Seven."), (None, "Eight. Nine.")], "doc_id long, text string")
+    got = segment.with_sentences(docs.filter("doc_id = 0"), "doc_id", "text").sort("place").collect()
+    assert [(r.place, r.text) for r in got] == [(1, "One."), (2, "Two."), (3, "Three")]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n for r in sentences(spark, str(tmp_path)).collect()} == {0: 3, 1: 0, 2: 0, 3: 0, 4: 4, None: 2}
+
+
 def test_keyword_topics_look_for_plain_words_without_patterns(spark):
     import contextlib
 
